@@ -129,11 +129,30 @@ def _nearest(us: Column, unit: int) -> Column:
     return floor_div(us + F.lit(unit // 2), unit) * F.lit(unit)
 
 
+def _one_decimal(us: Column, unit: int, quotient: Column) -> Column:
+    """``us / unit`` with one decimal, rounded the way printing the double ``quotient`` rounds.
+
+    Only an exact half needs the double: its binary value lies a little above or below the half, and
+    that decides; a double that is the half itself goes to the even digit.
+    """
+    tenths, rest = floor_div(us * 10, unit), F.pmod(us * 10, F.lit(unit).cast("long")) * 2
+    wide = "decimal(38,0)"
+    # The fraction of the double as a whole number of 2^-56 parts, which is exact.
+    parts = ((quotient - F.floor(quotient)) * F.lit(float(2**56))).cast("long").cast(wide) * F.lit(unit).cast("decimal(12,0)")
+    half = F.pmod(us, F.lit(unit).cast("long")).cast("decimal(12,0)") * F.lit(2**56).cast("decimal(18,0)")
+    up = (
+        F.when(rest != unit, (rest > unit).cast("long"))
+        .when(parts > half, F.lit(1)).when(parts < half, F.lit(0)).otherwise(F.pmod(tenths, F.lit(2)))
+    )
+    rounded = tenths + up
+    return F.concat(floor_div(rounded, 10), F.lit("."), F.pmod(rounded, F.lit(10)))
+
+
 def drift_text(us: Column) -> Column:
     """How far a clock is off, at a readable precision: days, minutes, seconds or milliseconds."""
-    days = F.bround(us.cast("double") / F.lit(float(HOUR)) / F.lit(24.0), 1)
+    days = _one_decimal(us, DAY, us / F.lit(float(HOUR)) / F.lit(24.0))
     return (
-        F.when(us >= 48 * HOUR, F.concat(days.cast("decimal(30,1)"), F.lit(" days")))
+        F.when(us >= 48 * HOUR, F.concat(days, F.lit(" days")))
         .when(us >= HOUR, duration_text(_nearest(us, MINUTE)))
         .when(us >= MINUTE, duration_text(_nearest(us, SECOND)))
         .otherwise(duration_text(_nearest(us, MILLISECOND)))
@@ -156,7 +175,7 @@ def relative_time(ts: Column, now: Column) -> Column:
 def latency_text(us: Column) -> Column:
     """Milliseconds with one decimal, or whole microseconds where that would read 0.0 ms."""
     return F.when((us > 0) & (us < 100), F.concat(us, F.lit(" µs"))).otherwise(
-        F.concat(F.bround(us / F.lit(1000.0), 1).cast("decimal(30,1)"), F.lit(" ms"))
+        F.concat(_one_decimal(us, MILLISECOND, us / F.lit(1000.0)), F.lit(" ms"))
     )
 
 

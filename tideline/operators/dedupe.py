@@ -70,15 +70,13 @@ def append_events(
     Only the days the new rows fall on are read back from the table.
     """
     spark = df.sparkSession
-    dated = with_event_date(df)
-    seen = Observation()
-    counted = dated.observe(seen, F.count(F.lit(1)).alias("rows"))
-    fresh = dedupe_events(counted, order_by=order_by)
+    # One row per day: as many as the days of the batch, never as many as its rows.
+    per_day = with_event_date(df).groupBy("event_date").count().collect()
+    fresh = dedupe_events(df, order_by=order_by)
     if exists(spark, area(path, which)):
-        # One row per day: as many as the days of the batch, never as many as its rows.
-        days = [r[0] for r in dated.select("event_date").distinct().collect()]
-        fresh = insert_if_absent(fresh, on_dates(read_telemetry(spark, path, which), days))
-    stored = Observation()
-    write_daily(fresh.observe(stored, F.count(F.lit(1)).alias("rows")), path, which)
-    inserted = stored.get["rows"]
-    return AppendResult(inserted, seen.get["rows"] - inserted)
+        stored = on_dates(read_telemetry(spark, path, which), [r["event_date"] for r in per_day])
+        fresh = insert_if_absent(fresh, stored)
+    written = Observation()
+    write_daily(fresh, path, which, written=written)
+    inserted = written.get["rows"]
+    return AppendResult(inserted, sum(r["count"] for r in per_day) - inserted)

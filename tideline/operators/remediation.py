@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,10 +102,11 @@ def remediation_timeline(
     ``decisions``: incident_id, action (approve / reject), actor, at. ``outcomes``: incident_id,
     step_index, status_code, error - at most one row per step.
     """
-    spark_runs = remediation_starts(incidents, steps, markers, poll).filter("outcome = 'started'")
-    runs = spark_runs.select("id", "started_at", "resolved_at", "runbook_id", "approval_timeout_us", "steps")
+    started = remediation_starts(incidents, steps, markers, poll).filter("outcome = 'started'")
+    runs = started.select("id", "started_at", "resolved_at", "runbook_id", "approval_timeout_us", "steps")
     # Catalog-sized: the largest number of gates one runbook has.
-    gates = steps.filter("mode = 'approval'").groupBy("runbook_id").count().agg(F.max("count")).first()[0] or 0
+    gated_steps = Counter(r[0] for r in steps.filter("mode = 'approval'").select("runbook_id").collect())
+    gates = max(gated_steps.values(), default=0)
     listed = runs.select(
         F.col("id").alias("incident_id"), "started_at", "resolved_at", "runbook_id", "approval_timeout_us", F.inline("steps")
     )

@@ -203,7 +203,7 @@ def decisions(incidents_: DataFrame) -> DataFrame:
     """Three answers per incident, some early, some late, mostly approvals."""
     n = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n")
     numbered = incidents_.select("id", "opened_at", "event_count", n)
-    pace = F.pmod(F.col("event_count") + F.col("n"), F.lit(5)) * 3 + F.col("n") * 4 - 1
+    pace = F.pmod(F.col("event_count") + F.col("n"), F.lit(5)) * 5 + F.col("n") * 4 - 1
     return numbered.select(
         F.col("id").alias("incident_id"),
         F.when(F.pmod(F.col("event_count") * 3 + F.col("n"), F.lit(7)) == 0, F.lit("reject")).otherwise(F.lit("approve")).alias("action"),

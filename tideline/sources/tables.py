@@ -8,7 +8,7 @@ Layout of the telemetry table below its root folder::
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,20 +72,26 @@ def with_event_date(df: DataFrame) -> DataFrame:
     return df.withColumn("event_date", F.to_date("event_timestamp"))
 
 
-def write_daily(df: DataFrame, path: str, which: str = DAILY, mode: str = "append", rows_per_file: int = 20_000_000) -> None:
+def write_daily(
+    df: DataFrame, path: str, which: str = DAILY, mode: str = "append", rows_per_file: int = 20_000_000,
+    written: Observation | None = None,
+) -> None:
     """Write rows below one folder per day, clustered for the (tenant, service, time) filters of the readers.
 
     A day's rows are spread over many tasks: AQE splits a shuffled day that is larger than its
-    advisory size, so one hot day does not become one task or one file.
+    advisory size, so one hot day does not become one task or one file. ``written`` receives the
+    number of rows; it is taken last, where no empty input can optimise it away.
     """
     columns = [f.name for f in TABLES["telemetry_events"].fields]
-    (
+    clustered = (
         with_event_date(df)
         .select(*columns, "event_date")
         .hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "tenant_id", "service_name", "event_timestamp")
-        .write.mode(mode)
-        .option("maxRecordsPerFile", rows_per_file)
-        .partitionBy("event_date")
+    )
+    if written is not None:
+        clustered = clustered.observe(written, F.count(F.lit(1)).alias("rows"))
+    (
+        clustered.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("event_date")
         .parquet(area(path, which))
     )
