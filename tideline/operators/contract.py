@@ -19,19 +19,25 @@ from tideline.schema import (
 
 FIELD_ERRORS = "array<struct<field:string,message:string>>"
 TEXT_FIELDS = tuple(f for f in WIRE_FIELDS if f not in ("timestamp", "attributes"))
-# The telemetry columns a decoded record has, before it is stored.
-EVENT_COLUMNS = tuple("event_timestamp" if f == "timestamp" else f for f in WIRE_FIELDS)
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+# The type text of a record whose every value has the declared type, in Spark's alphabetical key order.
+# Any field may be missing; the text ends exactly where the record ends, so nothing nested can pass for it.
+_KINDS = {"attributes": r"(OBJECT<.*>|VOID)", "timestamp": "STRING"}
+_PLAIN = (
+    r"^ARRAY<OBJECT<" + "".join(rf"({n}: {_KINDS.get(n, '(STRING|VOID)')}(, |(?=>>$)))?" for n in sorted(WIRE_FIELDS)) + r">>$"
+)
 
 
 def _wrapped(raw: Column) -> Column:
-    """Parse as a one-element array: text after the JSON value makes the whole parse fail."""
-    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    """As a one-element array: text after the JSON value makes the whole parse fail."""
+    return F.concat(F.lit("["), raw, F.lit("]"))
 
 
 def single_json(raw: Column) -> Column:
     """The one JSON value in ``raw`` as a variant, null when it is malformed, absent or followed by more."""
-    array = _wrapped(raw)
-    # "x] y" would close the wrapper early; only text that could do so pays for a second look.
+    array = F.try_parse_json(_wrapped(raw))
+    # "x] y" would close the wrapper early; only text with a bracket pays for a second look.
     enclosed = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}"))).isNotNull()
     second = F.try_variant_get(array, "$[1]", "variant")
     return F.when(
@@ -41,75 +47,85 @@ def single_json(raw: Column) -> Column:
 
 
 def _values_by_field(fields: Column) -> Column:
-    """Variants in ``WIRE_FIELDS`` order. Keys match in any letter case; exact spelling is the quick path."""
-    exact = F.array(*[fields[name] for name in WIRE_FIELDS])
+    """Variants in ``WIRE_FIELDS`` order, whatever the letter case of the key."""
     entries = F.map_entries(fields)
-
-    def any_case(name: str) -> Column:
-        hits = F.filter(entries, lambda e: F.lower(e["key"]) == name)
-        return F.try_element_at(hits, F.lit(-1))["value"]
-
-    other_case = F.exists(F.map_keys(fields), lambda k: (k != F.lower(k)) & F.lower(k).isin(*WIRE_FIELDS))
-    return F.when(other_case, F.array(*[any_case(name) for name in WIRE_FIELDS])).otherwise(exact)
+    return F.transform(
+        F.array(*[F.lit(name) for name in WIRE_FIELDS]),
+        lambda name: F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"],
+    )
 
 
 def decode_events(df: DataFrame, raw: str = "value", strict: bool = False) -> DataFrame:
-    """Decode JSON records into event columns plus ``decode_error`` (null when the record decoded).
+    """Decode JSON records (text or binary) into event columns plus ``decode_error``, null when all is well.
 
-    ``raw`` is a text, binary or already parsed variant column. ``strict`` also refuses unknown keys.
-    A value of the wrong JSON type is refused in both modes; a JSON null is a blank field.
+    ``strict`` also refuses unknown keys. A value of the wrong JSON type is refused in both modes; a
+    JSON null is a blank field. A record whose types are all as declared is read straight into columns;
+    only the others go through the field-by-field decode, so its cost grows with the share of bad input.
     """
-    kept = [c for c in df.columns if c != raw]
-    is_variant = dict(df.dtypes)[raw] == "variant"
-    document = F.col(raw) if is_variant else single_json(F.col(raw).cast("string"))
-    parsed = df.select("*", document.alias("_doc"))
-    keyed = parsed.select("*", F.col("_doc").try_cast("map<string,variant>").alias("_map"))
-    valued = keyed.select("*", _values_by_field(F.col("_map")).alias("_values"))
-
-    value = {name: F.try_element_at(F.col("_values"), F.lit(i + 1)) for i, name in enumerate(WIRE_FIELDS)}
-    kinds = valued.select("*", F.transform("_values", F.schema_of_variant).alias("_kinds"))
-    kind = {name: F.try_element_at(F.col("_kinds"), F.lit(i + 1)) for i, name in enumerate(WIRE_FIELDS)}
-
-    time_text = F.try_variant_get(value["timestamp"], "$", "string")
-    texts = [
-        F.coalesce(F.try_variant_get(value[name], "$", "string"), F.lit("")).alias(name) for name in TEXT_FIELDS
-    ]
-    opened = kinds.select(
-        *kept, raw, "_doc", "_map", "_kinds", *texts,
-        time_text.alias("_time_text"),
-        text.parse_rfc3339(time_text).alias("event_timestamp"),
-        F.to_json(value["attributes"]).alias("_attributes"),
+    body = F.col(raw).cast("string")
+    wire = "array<struct<" + ",".join(f"{n}:{'variant' if n == 'attributes' else 'string'}" for n in WIRE_FIELDS) + ">>"
+    parsed = df.select("*", body.alias("_body"), F.from_json(_wrapped(body), wire, STRICT_JSON).alias("_parsed"))
+    kinds = F.schema_of_variant(F.try_parse_json(_wrapped(F.col("_body"))))
+    # A bracket after an object may have closed the wrapper early; let the slow decode find out.
+    closed = F.contains("_body", F.lit("]")) & F.col("_body").rlike(r"\}\s*\]")
+    plain = (F.size("_parsed") == 1) & kinds.rlike(_PLAIN) & ~closed
+    first = parsed.select("*", F.when(plain, F.get("_parsed", F.lit(0))).alias("_quick"))
+    slow = F.col("_quick").isNull()
+    second = first.select("*", F.when(slow, single_json(F.coalesce("_body", F.lit("")))).alias("_doc"))
+    third = second.select("*", F.col("_doc").try_cast("map<string,variant>").alias("_map"))
+    values = third.select("*", F.when(slow, _values_by_field(F.col("_map"))).alias("_values"))
+    sifted = values.select(
+        "*",
+        F.transform("_values", F.schema_of_variant).alias("_kinds"),
+        F.transform("_values", lambda v: F.try_variant_get(v, "$", "string")).alias("_texts"),
     )
 
-    not_object = F.col("_doc").isNull() | (
-        F.col("_map").isNull() & (F.schema_of_variant(F.col("_doc")) != F.lit("VOID"))
+    def at(column: str, name: str) -> Column:
+        return F.get(column, F.lit(WIRE_FIELDS.index(name)))
+
+    def text_of(name: str) -> Column:
+        return F.coalesce(F.when(slow, at("_texts", name)).otherwise(F.col("_quick")[name]), F.lit(""))
+
+    time_text = F.when(slow, at("_texts", "timestamp")).otherwise(F.col("_quick.timestamp"))
+    attributes = F.to_json(F.when(slow, at("_values", "attributes")).otherwise(F.col("_quick.attributes")))
+    opened = sifted.select(
+        *df.columns, "_body", "_doc", "_map", "_kinds", slow.alias("_slow"), *[text_of(n).alias(n) for n in TEXT_FIELDS],
+        time_text.alias("_time_text"), text.parse_rfc3339(time_text).alias("event_timestamp"),
+        attributes.alias("attributes"),
+    )
+
+    # The slow decode alone can meet these; they are tested in this order.
+    not_object = F.col("_doc").isNull() | (F.col("_map").isNull() & (F.schema_of_variant("_doc") != F.lit("VOID")))
+    names = F.array(*[F.lit(n) for n in TEXT_FIELDS])
+    wrong_text = F.get(F.filter(
+        names, lambda n: ~F.get("_kinds", F.array_position(F.array(*[F.lit(w) for w in WIRE_FIELDS]), n).cast("int") - 1).isin("STRING", "VOID")
+    ), F.lit(0))
+    time_kind, tail_kind = at("_kinds", "timestamp"), at("_kinds", "attributes")
+    slow_error = F.coalesce(
+        F.when(not_object, F.lit("message is not a JSON object")),
+        F.when(wrong_text.isNotNull(), F.concat(F.lit("field "), wrong_text, F.lit(" must be of type string"))),
+        F.when(~time_kind.isin("STRING", "VOID"), F.lit("timestamp must be an RFC3339 string")),
+        F.when((time_kind == "VOID"), F.lit('timestamp "" is not a valid RFC3339 timestamp')),
+        F.when(~(tail_kind.startswith("OBJECT<") | (tail_kind == "VOID")), F.lit("field attributes must be of type object")),
     )
-    unknown = F.filter(F.map_keys("_map"), lambda k: ~F.lower(k).isin(*WIRE_FIELDS))
-    checks = [F.when(not_object, F.lit("message is not a JSON object"))]
+    bad_time = F.when(
+        F.col("_time_text").isNotNull() & F.col("event_timestamp").isNull(),
+        F.concat(F.lit('timestamp "'), F.col("_time_text"), F.lit('" is not a valid RFC3339 timestamp')),
+    )
+    errors = [F.when(F.col("_slow"), slow_error), bad_time]
     if strict:
-        checks.append(
-            F.when(F.size(unknown) > 0, F.concat(F.lit('unknown field "'), F.try_element_at(unknown, F.lit(1)), F.lit('"')))
-        )
-    checks += [
-        F.when(~kind[name].isin("STRING", "VOID"), F.lit(f"field {name} must be of type string"))
-        for name in TEXT_FIELDS
-    ]
-    checks += [
-        F.when(kind["timestamp"].isNotNull() & (kind["timestamp"] != "STRING") & (kind["timestamp"] != "VOID"),
-               F.lit("timestamp must be an RFC3339 string")),
-        F.when(kind["timestamp"].isNotNull() & F.col("event_timestamp").isNull(),
-               F.concat(F.lit('timestamp "'), F.coalesce("_time_text", F.lit("")),
-                        F.lit('" is not a valid RFC3339 timestamp'))),
-        F.when(~(kind["attributes"].startswith("OBJECT<") | (kind["attributes"] == "VOID")),
-               F.lit("field attributes must be of type object")),
-    ]
-    attributes = F.when(F.col("_attributes") != "null", F.col("_attributes"))
+        keys = F.when(F.col("_slow"), F.map_keys("_map")).otherwise(F.json_object_keys("_body"))
+        unknown = F.get(F.filter(keys, lambda k: ~F.lower(k).isin(*WIRE_FIELDS)), F.lit(0))
+        undecodable = F.when(F.col("_slow") & not_object, F.lit("message is not a JSON object"))
+        errors = [undecodable, F.when(unknown.isNotNull(), F.concat(F.lit('unknown field "'), unknown, F.lit('"'))), *errors]
     # Year 1 at midnight is the zero time: present in the text, absent as a value.
-    moment = F.when(F.col("event_timestamp") != F.lit("0001-01-01 00:00:00").cast("timestamp"), F.col("event_timestamp"))
+    zero = F.lit("0001-01-01 00:00:00").cast("timestamp")
     return with_settled(
-        opened, kept if is_variant else [*kept, raw],
+        opened, df.columns,
         **{name: F.col(name) for name in TEXT_FIELDS},
-        event_timestamp=moment, attributes=attributes, decode_error=F.coalesce(*checks),
+        event_timestamp=F.when(F.col("event_timestamp") != zero, F.col("event_timestamp")),
+        attributes=F.when(F.col("attributes") != "null", F.col("attributes")),
+        decode_error=F.coalesce(*errors),
     )
 
 

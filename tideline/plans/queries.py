@@ -134,7 +134,7 @@ def _batch_items(spark, sf):
 @query
 def read_event_batches(spark, sf):
     items = _batch_items(spark, sf)
-    event_id = F.try_variant_get("raw", "$.event_id", "string")
+    event_id = F.get_json_object("raw", "$.event_id")
     return items.select("request_id", "index", "batch_error", event_id.alias("event_id"))
 
 

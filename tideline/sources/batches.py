@@ -10,7 +10,7 @@ from tideline.schema import MAX_BATCH_EVENTS
 
 
 def explode_batches(requests: DataFrame, body: str = "body", max_events: int = MAX_BATCH_EVENTS) -> DataFrame:
-    """One row per event of an envelope ``{"events": [...]}`` with its ``index`` and its parsed value ``raw``.
+    """One row per event of an envelope ``{"events": [...]}`` with its ``index`` and its own JSON text ``raw``.
 
     A request refused as a whole keeps a single row with a null index and a ``batch_error``.
     """
@@ -34,7 +34,8 @@ def explode_batches(requests: DataFrame, body: str = "body", max_events: int = M
     )
     judged = opened.select(*kept, "_events", refused.alias("batch_error"))
     items = F.when(F.col("batch_error").isNull(), F.col("_events"))
-    return judged.select(*kept, "batch_error", F.posexplode_outer(items).alias("index", "raw"))
+    exploded = judged.select(*kept, "batch_error", F.posexplode_outer(items).alias("index", "_item"))
+    return exploded.select(*kept, "batch_error", "index", F.to_json("_item").alias("raw"))
 
 
 def batch_result(validated: DataFrame) -> DataFrame:
