@@ -21,14 +21,30 @@ FIELD_ERRORS = "array<struct<field:string,message:string>>"
 TEXT_FIELDS = tuple(f for f in WIRE_FIELDS if f not in ("timestamp", "attributes"))
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
-# The type text of a record whose every value has the declared type, in Spark's alphabetical key order.
-# Any field may be missing; the text ends exactly where the record ends, so nothing nested can pass for it.
-_KINDS = {"attributes": r"(OBJECT<.*>|VOID)", "timestamp": "STRING"}
-_PLAIN = (
-    r"^ARRAY<OBJECT<" + "".join(rf"({n}: {_KINDS.get(n, '(STRING|VOID)')}(, |(?=>>$)))?" for n in sorted(WIRE_FIELDS)) + r">>$"
+EVENT_COLUMNS = tuple("event_timestamp" if f == "timestamp" else f for f in WIRE_FIELDS)
+
+# The type text of a record in Spark's alphabetical key order, after its attributes: every field may be
+# missing, none may have another type or another name.
+_TEXT_KINDS = "".join(
+    rf"({n}: {'STRING' if n == 'timestamp' else '(STRING|VOID)'}(, |(?=>>$)))?" for n in sorted(WIRE_FIELDS) if n != "attributes"
 )
 
 
+def _as_declared(kinds: Column, attributes: Column) -> Column:
+    """Whether ``kinds``, the type text of ``[record]``, is that of a record with only declared types.
+
+    The attributes may hold anything. Their own type text comes first in the record's, so exactly
+    that much is cut off before the rest is matched.
+    """
+    head = "ARRAY<OBJECT<"
+    own = F.schema_of_variant(attributes)
+    opened = F.concat(F.lit(f"{head}attributes: "), own)
+    rest = F.when(own.isNull(), F.substr(kinds, F.lit(len(head) + 1))).when(
+        F.startswith(kinds, opened) & own.rlike("^(OBJECT<|VOID$)"), F.substr(kinds, F.length(opened) + 1)
+    )
+    return F.coalesce(rest.rlike(rf"^(, )?{_TEXT_KINDS}>>$"), F.lit(False))
+
+
 def _wrapped(raw: Column) -> Column:
     """As a one-element array: text after the JSON value makes the whole parse fail."""
     return F.concat(F.lit("["), raw, F.lit("]"))
@@ -68,7 +84,8 @@ def decode_events(df: DataFrame, raw: str = "value", strict: bool = False) -> Da
     kinds = F.schema_of_variant(F.try_parse_json(_wrapped(F.col("_body"))))
     # A bracket after an object may have closed the wrapper early; let the slow decode find out.
     closed = F.contains("_body", F.lit("]")) & F.col("_body").rlike(r"\}\s*\]")
-    plain = (F.size("_parsed") == 1) & kinds.rlike(_PLAIN) & ~closed
+    attached = F.get("_parsed", F.lit(0))["attributes"]
+    plain = (F.size("_parsed") == 1) & _as_declared(kinds, attached) & ~closed
     first = parsed.select("*", F.when(plain, F.get("_parsed", F.lit(0))).alias("_quick"))
     slow = F.col("_quick").isNull()
     second = first.select("*", F.when(slow, single_json(F.coalesce("_body", F.lit("")))).alias("_doc"))
