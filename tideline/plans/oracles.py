@@ -234,6 +234,23 @@ FROM acked{suffix}""", f"acked{suffix}")
 _incidents("no_acts", "_0")
 _incidents("acts", "")
 
+_cte("seeds", "SELECT fingerprint, tick AS opened_at, event_count AS first_count FROM det", "det")
+# What a stream sees: event-time windows, and the firings among them.
+_cte("live_windows", """
+SELECT t.tick, 259200000000 AS window_us, tenant_id, service_name, count(*) AS total,
+  count(*) FILTER (severity IN ('error','critical')) AS errors,
+  count(*) FILTER (severity IN ('error','critical') AND event_timestamp >= t.tick - INTERVAL 1 DAY) AS new_errors
+FROM telemetry e, (SELECT unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS tick) t
+WHERE e.event_timestamp < t.tick AND e.event_timestamp >= t.tick - INTERVAL 3 DAY GROUP BY ALL""", "telemetry")
+_cte("live_fired", """
+SELECT *, 'error_rate' || chr(31) || tenant_id || chr(31) || service_name AS fingerprint, lag(tick) OVER (PARTITION BY tenant_id, service_name ORDER BY tick) AS prev
+FROM live_windows WHERE total >= 5 AND errors / total >= 0.4 AND tick <= (SELECT max(event_timestamp) FROM telemetry)""", "live_windows", "telemetry")
+_cte("live_numbered", f"""
+SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(tick) - epoch_us(prev) >= 3 * {DAY_US} THEN 1 ELSE 0 END) OVER (PARTITION BY fingerprint ORDER BY tick) AS run FROM live_fired""", "live_fired")
+_cte("live_runs", """
+SELECT fingerprint, run, any_value(tenant_id) AS tenant_id, any_value(service_name) AS service_name, min(tick) AS opened_at, max(tick) AS last_seen_at,
+  arg_min(errors, tick) + sum(new_errors) - arg_min(new_errors, tick) AS event_count FROM live_numbered GROUP BY fingerprint, run""", "live_numbered")
+
 # The operator log by incident id.
 _cte("stored_inc", "SELECT * REPLACE (CASE WHEN event_count % 4 = 0 THEN status ELSE 'open' END AS status) FROM inc_0", "inc_0")
 _cte("id_acts", f"""
@@ -577,4 +594,13 @@ SELECT path, '| `' || path || '` | ' || work || ' | ' || format('{{:,}}', CAST(r
 SELECT path, count(*) FILTER (NOT failed) AS requests, count(*) FILTER (NOT failed AND status = 200) AS successes, count(*) FILTER (failed) AS failures,
   count(*) FILTER (NOT failed) || '×' || max(status) AS statuses_text,
   count(*) FILTER (failed) = 0 AND bool_and(status = 200) AS is_clean FROM samples GROUP BY path""", "samples"),
+    "stream_ingest": _with("""
+SELECT DISTINCT n_id AS event_id, event_timestamp, n_tenant AS tenant_id, n_severity AS severity, CAST(event_timestamp AS DATE) AS event_date
+FROM accepted WHERE n % 230 <> 0 AND (n % 250 = 0 OR (n % 270 <> 0 AND n % 290 <> 0))""", "accepted"),
+    "stream_windows": _with("SELECT * FROM live_windows WHERE tick <= (SELECT max(event_timestamp) FROM telemetry)", "live_windows", "telemetry"),
+    "stream_incidents": _with(f"""
+SELECT {_INCIDENT_ID} AS id, fingerprint, tenant_id, service_name, 'error_rate' AS rule_id, 'error' AS severity, CAST(event_count AS BIGINT) AS event_count,
+  opened_at, last_seen_at, last_seen_at + INTERVAL 2 DAY AS resolved_at
+FROM live_runs WHERE last_seen_at + INTERVAL 60 HOUR - INTERVAL 1 MICROSECOND <= (SELECT max(event_timestamp) FROM telemetry)""", "live_runs", "telemetry"),
+    "stateful_incidents": _with("SELECT id, fingerprint, opened_at, first_count AS event_count FROM inc JOIN seeds USING (fingerprint, opened_at)", "inc", "seeds"),
 }

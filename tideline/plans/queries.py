@@ -678,3 +678,59 @@ def latency_report_lines(spark, sf):
 @query
 def status_distribution(spark, sf):
     return reports.status_distribution(given.latency_samples(spark, sf)).drop("statuses")
+
+
+# --- streaming: the same table as an unbounded input, run until it is used up ------------------------------
+
+def _settle(stream, spark, label):
+    """Run an append-mode stream to the end of its input and return what it wrote."""
+    path = scratch_path(spark, label)
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query
+def stream_ingest(spark, sf):
+    """The topic is consumed twice, as after a lost checkpoint; the table holds every event once."""
+    from tideline.streaming.ingest import start_ingest
+
+    path = scratch_path(spark, "ingest")
+    for attempt in ("first", "again"):
+        records = given.stream_records(spark, sf, given.stream_events(spark, sf)).drop("seq")
+        start_ingest(
+            records, f"{path}/table", f"{path}/quarantine-{attempt}", f"{path}/checkpoint-{attempt}", clock=lambda: given.NOW, available_now=True
+        ).awaitTermination()
+    return tables.scan_events(spark, f"{path}/table").select("event_id", "event_timestamp", "tenant_id", "severity", "event_date")
+
+
+def _window_stream(spark, sf):
+    from tideline.streaming.detection import stream_windows
+
+    return stream_windows(given.telemetry(spark, sf, given.stream_events(spark, sf)), given.WINDOW, given.STEP)
+
+
+@query
+def stream_windows(spark, sf):
+    return _settle(_window_stream(spark, sf).drop("window"), spark, "windows")
+
+
+@query
+def stream_incidents(spark, sf):
+    """Incidents the session chain has closed by the end of the input."""
+    from tideline.streaming.detection import stream_incidents as sessions
+
+    return _settle(sessions(_window_stream(spark, sf), given.RULES[0], given.STEP, given.RESOLVE_AFTER), spark, "sessions")
+
+
+@query
+def stateful_incidents(spark, sf):
+    """The openings in the changelog of the stateful form, operator actions included."""
+    from tideline.streaming.stateful import stateful_incidents as changelog
+
+    log = scratch_path(spark, "detections")
+    given.detections(spark, sf).write.parquet(log)
+    fired = spark.readStream.schema(spark.read.parquet(log).schema).parquet(log)
+    actions = given.operator_actions(spark, sf, given.stream_events(spark, sf))
+    changes = changelog(fired, given.STEP, given.RESOLVE_AFTER, actions)
+    return _settle(changes, spark, "changes").filter("change = 'opened'").select("id", "fingerprint", "opened_at", "event_count")

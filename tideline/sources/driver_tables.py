@@ -70,6 +70,12 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(EVENTS_DDL).parquet(f"{sf_dir}/events.parquet")
 
 
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table as an unbounded input."""
+    configure(spark)
+    return spark.readStream.schema(EVENTS_DDL).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def event_uuid(n: Column) -> Column:
     return F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(n.cast("string"), 12, "0"))
 
@@ -107,11 +113,11 @@ def telemetry_columns() -> dict[str, Column]:
     }
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_events(spark, sf_dir).select(*[c.alias(n) for n, c in telemetry_columns().items()])
+def telemetry(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    return (read_events(spark, sf_dir) if events is None else events).select(*[c.alias(n) for n, c in telemetry_columns().items()])
 
 
-def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Telemetry as careless producers send it, every twentieth event twice.
 
     Adds ``seq`` (the event's number), ``copy`` and a log ``offset`` that tells any two rows apart.
@@ -123,7 +129,7 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # Same columns, but repeated rows arrive as later copies of the same record.
     copies = F.when(F.pmod(F.col("event_id"), F.lit(20)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    base = read_events(spark, sf_dir).select(
+    base = (read_events(spark, sf_dir) if events is None else events).select(
         *[c.alias(name) for name, c in telemetry_columns().items()], F.col("event_id").alias("seq"), F.explode(copies).alias("copy")
     )
     return base.withColumns({
@@ -139,9 +145,9 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_records(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """The dirty events as topic records; some values are cut off, misspelt or of the wrong type."""
-    dirty = dirty_events(spark, sf_dir)
+    dirty = dirty_events(spark, sf_dir, events)
     when = F.when(F.col("event_timestamp").isNotNull(), rfc3339_nano(F.col("event_timestamp")))
     value = F.to_json(F.struct(
         "event_id", "schema_version", "tenant_id", "service_name", "environment", "event_type", "severity",
@@ -174,10 +180,10 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(windows(spark, sf_dir), RULES)
 
 
-def operator_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def operator_actions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Sign-ups stand in for what people do: acknowledge or resolve the service's current incident."""
     t = telemetry_columns()
-    return read_events(spark, sf_dir).filter("event_type = 'signup'").select(
+    return (read_events(spark, sf_dir) if events is None else events).filter("event_type = 'signup'").select(
         F.col("event_id").cast("string").alias("action_id"),
         fingerprint(F.lit("error_rate"), t["tenant_id"], t["service_name"]).alias("target"),
         F.when(F.pmod("event_id", F.lit(4)) == 0, F.lit("resolve")).otherwise(F.lit("acknowledge")).alias("action"),

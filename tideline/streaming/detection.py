@@ -45,11 +45,12 @@ def stream_detections(windows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def stream_incidents(windows: DataFrame, rule: Rule, step: timedelta, resolve_after: timedelta) -> DataFrame:
     """Incidents of one rule as sessions of its firing windows, emitted when they have gone quiet.
 
-    Two firings belong together while fewer than ``resolve_after // step + 2`` ticks lie between them,
-    which is exactly a session gap of that many steps. Operator actions need ``stateful_incidents``.
+    Two firings belong together while they are fewer than ``resolve_after // step + 2`` ticks apart. Firings
+    lie on ticks, so a session gap half a tick short of that separates exactly those.
+    Operator actions need ``stateful_incidents``.
     """
     quiet = micros(resolve_after) // micros(step)
-    gap = timedelta(microseconds=(quiet + 2) * micros(step))
+    gap = timedelta(microseconds=(quiet + 1) * micros(step) + micros(step) // 2)
     rate = F.col("errors") / F.col("total")
     fired = windows.filter((F.col("total") >= rule.min_events) & (rate >= rule.threshold)).select(
         "window", "tick", *SERVICE, "errors", "new_errors",
