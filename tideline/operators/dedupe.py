@@ -38,7 +38,8 @@ def label_outcomes(
     ``order_by`` must tell any two rows of a key apart (a log position does). The winner of a key is
     found by a partial aggregate; the join back is one that AQE may split when a key is hot.
     """
-    position = F.struct(*[F.col(c) for c in order_by])
+    # A single plain column keeps the aggregate hash-based.
+    position = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*[F.col(c) for c in order_by])
     winners = df.groupBy(*keys).agg(F.min(position).alias("_first"))
     if existing is not None:
         known = existing.select(*keys, F.lit(True).alias("_known"))

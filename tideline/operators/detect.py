@@ -6,10 +6,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.frames import local_frame
 from tideline.functions.text import duration_literal, fingerprint, micros
 from tideline.schema import DETECTION, RULE
 
@@ -58,17 +57,26 @@ def error_rate(judged: DataFrame) -> DataFrame:
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {"error_rate": error_rate}
 
 
+def _rules_value(rules: Sequence[Rule]) -> Column:
+    """The rules as one constant array of structs."""
+    return F.array(*[
+        F.struct(*[F.lit(r.row()[f.name]).cast(f.dataType).alias(f.name) for f in RULE.fields]) for r in rules
+    ])
+
+
 def detect(windows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Every rule against every service window of its own lookback; a kind nobody registered never fires.
 
-    The rules are a local relation: Catalyst broadcasts them while they are small.
+    Rules are a constant of the plan: each window row meets those of its lookback in place, so there is
+    neither a join nor a shuffle.
     """
-    spark = windows.sparkSession
     found = None
     for kind, judge in RULES.items():
-        mine = [r.row() for r in rules if r.kind == kind]
+        mine = [r for r in rules if r.kind == kind]
         if not mine:
             continue
-        fired = judge(windows.join(local_frame(spark, mine, RULE), "window_us"))
+        fitting = F.filter(_rules_value(mine), lambda r: r["window_us"] == F.col("window_us"))
+        met = windows.select("*", F.explode(fitting).alias("_rule"))
+        fired = judge(met.select(*[c for c in windows.columns if c != "window_us"], "_rule.*"))
         found = fired if found is None else found.unionByName(fired)
-    return found if found is not None else spark.createDataFrame([], DETECTION)
+    return found if found is not None else windows.sparkSession.createDataFrame([], DETECTION)

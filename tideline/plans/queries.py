@@ -36,6 +36,21 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in zoned else F.col(c) for c in df.columns])
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows as a table in the shared folder.
+
+    Incidents and what follows from them are far smaller than the events, and most queries below use
+    them several times: writing them once cuts the lineage instead of repeating the detection.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _incidents(spark, sf):
+    return written(given.incidents(spark, sf), "incidents")
+
+
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
@@ -256,6 +271,7 @@ def incidents_with_actions(spark, sf):
 @query
 def cycle_metrics(spark, sf):
     found = given.detections(spark, sf)
+    found = written(found, "detections")
     return incidents.cycle_metrics(
         found, incidents.incidents_from_detections(found, given.STEP, given.RESOLVE_AFTER, given.HORIZON)
     )
@@ -264,13 +280,14 @@ def cycle_metrics(spark, sf):
 def _open_incidents(spark, sf):
     """What the detector alone leaves, as if nobody had acted: the input of the operator log."""
     found = incidents.incidents_from_detections(given.detections(spark, sf), given.STEP, given.RESOLVE_AFTER, given.HORIZON)
+    found = written(found, "open-incidents")
     return found.withColumn("status", F.when(F.pmod("event_count", F.lit(4)) == 0, F.col("status")).otherwise(F.lit("open")))
 
 
-def _actions_by_id(spark, sf):
+def _actions_by_id(stored):
     """Three requests per incident: two of one kind and one of the other; every ninth names a stranger."""
     n = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n")
-    base = _open_incidents(spark, sf).select("id", "opened_at", "event_count", n)
+    base = stored.select("id", "opened_at", "event_count", n)
     kind = F.pmod(F.col("event_count") + F.col("n"), F.lit(2))
     return base.select(
         F.concat_ws("#", "id", F.col("n").cast("string")).alias("action_id"),
@@ -282,22 +299,25 @@ def _actions_by_id(spark, sf):
 
 @query
 def apply_actions_transitions(spark, sf):
-    return incidents.apply_actions(_open_incidents(spark, sf), _actions_by_id(spark, sf))[0]
+    stored = _open_incidents(spark, sf)
+    return incidents.apply_actions(stored, _actions_by_id(stored))[0]
 
 
 @query
 def apply_actions_rejected(spark, sf):
-    return incidents.apply_actions(_open_incidents(spark, sf), _actions_by_id(spark, sf))[1]
+    stored = _open_incidents(spark, sf)
+    return incidents.apply_actions(stored, _actions_by_id(stored))[1]
 
 
 @query
 def incident_status(spark, sf):
-    asked = _actions_by_id(spark, sf).select(F.col("target").alias("id")).distinct()
-    return incidents.incident_status(_open_incidents(spark, sf), asked)
+    stored = _open_incidents(spark, sf)
+    asked = _actions_by_id(stored).select(F.col("target").alias("id")).distinct()
+    return incidents.incident_status(stored, asked)
 
 
 def _damaged_incidents(spark, sf):
-    found = given.incidents(spark, sf)
+    found = _incidents(spark, sf)
 
     def every(k):
         return F.pmod("event_count", F.lit(k)) == 0
@@ -327,81 +347,81 @@ def check_constraints(spark, sf):
 
 # --- escalation and remediation --------------------------------------------------------------------------
 
-def _pages(spark, sf):
-    return oncall.escalation_timeline(given.incidents(spark, sf), given.levels(spark), given.POLL)
+def _pages(found):
+    return oncall.escalation_timeline(found, given.levels(found.sparkSession), given.POLL)
 
 
 @query
 def on_call_at(spark, sf):
     """Who of each level was on call when each incident opened."""
-    opened = given.incidents(spark, sf).select("id", "opened_at", F.explode(oncall.policy_value(given.levels(spark))).alias("rung"))
+    opened = _incidents(spark, sf).select("id", "opened_at", F.explode(oncall.policy_value(given.levels(spark))).alias("rung"))
     contact = oncall.on_call_at(F.col("rung"), F.col("opened_at"))
     return opened.select("id", F.col("rung.level").alias("level"), contact["name"].alias("contact"), F.col("rung.offset_us").alias("offset_us"))
 
 
 @query
 def first_ack_or_resolve(spark, sf):
-    return oncall.first_ack_or_resolve(given.incidents(spark, sf)).select("id", "stopped_at", "signalled_at")
+    return oncall.first_ack_or_resolve(_incidents(spark, sf)).select("id", "stopped_at", "signalled_at")
 
 
 @query
 def alert_starts(spark, sf):
-    found = given.incidents(spark, sf)
+    found = _incidents(spark, sf)
     marked = found.filter("event_count % 6 = 0").select(F.col("id").alias("incident_id"))
     return oncall.alert_starts(found, marked, given.POLL).select("id", "started_at")
 
 
 @query
 def escalation_timeline(spark, sf):
-    return _pages(spark, sf).drop("title", "severity")
+    return _pages(_incidents(spark, sf)).drop("title", "severity")
 
 
-def _notifications(spark, sf):
-    pages = _pages(spark, sf)
+def _notifications(found):
+    pages = _pages(found)
     return oncall.notification_rows(pages, given.deliveries(pages))
 
 
 @query
 def notification_rows(spark, sf):
-    return _notifications(spark, sf).withColumn("error", F.get_json_object("detail", "$.error")).drop("detail")
+    return _notifications(_incidents(spark, sf)).withColumn("error", F.get_json_object("detail", "$.error")).drop("detail")
 
 
 @query
 def match_runbook(spark, sf):
-    return remediation.match_runbook(given.incidents(spark, sf), given.steps(spark)).select(
+    return remediation.match_runbook(_incidents(spark, sf), given.steps(spark)).select(
         "id", "runbook_id", F.size("steps").alias("n_steps")
     )
 
 
 @query
 def remediation_starts(spark, sf):
-    return remediation.remediation_starts(given.incidents(spark, sf), given.steps(spark), poll=given.POLL).select(
+    return remediation.remediation_starts(_incidents(spark, sf), given.steps(spark), poll=given.POLL).select(
         "id", "started_at", "outcome", "runbook_id"
     )
 
 
-def _remediation_log(spark, sf):
-    found = given.incidents(spark, sf)
-    return remediation.remediation_timeline(found, given.steps(spark), given.decisions(found), given.outcomes(found), given.POLL)
+def _remediation_log(found):
+    steps = given.steps(found.sparkSession)
+    return remediation.remediation_timeline(found, steps, given.decisions(found), given.outcomes(found), given.POLL)
 
 
-def _remediation(spark, sf):
-    return remediation.latest_action_status(_remediation_log(spark, sf))
+def _remediation(found):
+    return remediation.latest_action_status(_remediation_log(found))
 
 
 @query
 def remediation_timeline(spark, sf):
-    return _remediation_log(spark, sf).drop("detail", "id")
+    return _remediation_log(_incidents(spark, sf)).drop("detail", "id")
 
 
 @query
 def latest_action_status(spark, sf):
-    return _remediation(spark, sf).drop("detail")
+    return _remediation(_incidents(spark, sf)).drop("detail")
 
 
 @query
 def step_outcome(spark, sf):
-    return _remediation(spark, sf).filter("status IN ('succeeded', 'failed')").select(
+    return _remediation(_incidents(spark, sf)).filter("status IN ('succeeded', 'failed')").select(
         "incident_id", "step_index", "status", F.get_json_object("detail", "$.error").alias("error"),
         F.get_json_object("detail", "$.executed").alias("executed"),
     )
@@ -409,20 +429,20 @@ def step_outcome(spark, sf):
 
 @query
 def decide(spark, sf):
-    found = given.incidents(spark, sf)
-    return remediation.decide(given.decisions(found), _remediation_log(spark, sf))
+    found = _incidents(spark, sf)
+    return remediation.decide(given.decisions(found), _remediation_log(found))
 
 
 @query
 def decisions_asof(spark, sf):
-    found = given.incidents(spark, sf)
-    return remediation.decisions_asof(given.decisions(found), _remediation_log(spark, sf))
+    found = _incidents(spark, sf)
+    return remediation.decisions_asof(given.decisions(found), _remediation_log(found))
 
 
 @query
 def pending_action(spark, sf):
     """What was waiting for a decision half-way through the month."""
-    so_far = _remediation_log(spark, sf).filter(F.col("at") <= instant(PENDING_AT))
+    so_far = _remediation_log(_incidents(spark, sf)).filter(F.col("at") <= instant(PENDING_AT))
     return reads.pending_action(remediation.latest_action_status(so_far)).select("incident_id", "step_index", "step_name", "updated_at")
 
 
@@ -431,7 +451,8 @@ PENDING_AT = datetime(2024, 1, 17, 2, 30)
 
 @query
 def incident_detail(spark, sf):
-    detail = reads.incident_detail(given.incidents(spark, sf), _notifications(spark, sf), _remediation(spark, sf))
+    found = _incidents(spark, sf)
+    detail = reads.incident_detail(found, _notifications(found), _remediation(found))
     pages = F.transform("timeline", lambda p: F.concat(F.lit("L"), p["level"], F.lit(":"), p["target"], F.lit(":"), p["status"]))
     steps = F.transform("actions", lambda a: F.concat(a["step_index"], F.lit(":"), a["status"]))
     return detail.select("id", "status", "event_count", F.array_join(pages, ";").alias("timeline"), F.array_join(steps, ";").alias("actions"), "pending_step")
@@ -439,8 +460,8 @@ def incident_detail(spark, sf):
 
 @query
 def cascade_filter(spark, sf):
-    kept = given.incidents(spark, sf).filter("event_count % 3 <> 0")
-    return reads.cascade_filter(_notifications(spark, sf), kept).select("id", "incident_id")
+    found = _incidents(spark, sf)
+    return reads.cascade_filter(_notifications(found), found.filter("event_count % 3 <> 0")).select("id", "incident_id")
 
 
 # --- reads ---------------------------------------------------------------------------------------------
@@ -458,12 +479,12 @@ def trace_events(spark, sf):
 
 @query
 def filter_incidents(spark, sf):
-    return reads.filter_incidents(given.incidents(spark, sf), status="resolved", tenant="tenant-2", severity="error").select("id", "service_name")
+    return reads.filter_incidents(_incidents(spark, sf), status="resolved", tenant="tenant-2", severity="error").select("id", "service_name")
 
 
 @query
 def get_incident(spark, sf):
-    found = given.incidents(spark, sf)
+    found = _incidents(spark, sf)
     first = found.agg(F.min("id")).scalar()
     return found.filter(F.col("id") == first).select("id", "service_name", "status", "event_count")
 
@@ -484,7 +505,7 @@ def page_events_offset(spark, sf):
 
 @query
 def page_incidents(spark, sf):
-    found = given.incidents(spark, sf)
+    found = _incidents(spark, sf)
     _, token = reads.page_incidents(found, limit=15)
     return reads.page_incidents(found, limit=15, cursor=token)[0].select("last_seen_at", "id", "status")
 
@@ -498,20 +519,20 @@ def cursor_codec(spark, sf):
 
 @query
 def notification_timeline(spark, sf):
-    notes = _notifications(spark, sf)
+    notes = written(_notifications(_incidents(spark, sf)), "notifications")
     some = notes.agg(F.max("incident_id")).scalar()
     return notes.filter(F.col("incident_id") == some).orderBy("sent_at", "level").select("incident_id", "sent_at", "level", "target", "status")
 
 
 @query
 def action_trail(spark, sf):
-    done = _remediation(spark, sf)
+    done = written(_remediation(_incidents(spark, sf)), "actions")
     some = done.agg(F.max("incident_id")).scalar()
     return done.filter(F.col("incident_id") == some).orderBy("step_index").select("incident_id", "step_index", "status", "actor")
 
 
 def _marked(spark, sf):
-    found = given.incidents(spark, sf)
+    found = _incidents(spark, sf)
     still_open = F.when(F.col("auto_resolved"), F.lit("open")).otherwise(F.col("status"))
     marker = F.when(F.pmod("event_count", F.lit(3)) == 0, F.col("opened_at"))
     return found.withColumns({"status": still_open, "alerted_at": marker, "remediated_at": F.when(F.pmod("event_count", F.lit(4)) == 0, F.col("opened_at"))})
@@ -560,27 +581,27 @@ def recent_events(spark, sf):
 
 @query
 def incidents_by_status_severity(spark, sf):
-    return reads.incidents_by_status_severity(given.incidents(spark, sf))
+    return reads.incidents_by_status_severity(_incidents(spark, sf))
 
 
 @query
 def recent_incidents(spark, sf):
-    return reads.recent_incidents(given.incidents(spark, sf))
+    return reads.recent_incidents(_incidents(spark, sf))
 
 
 @query
 def actions_by_runbook_status(spark, sf):
-    return reads.actions_by_runbook_status(_remediation(spark, sf))
+    return reads.actions_by_runbook_status(_remediation(_incidents(spark, sf)))
 
 
 @query
 def recent_actions(spark, sf):
-    return reads.recent_actions(_remediation(spark, sf))
+    return reads.recent_actions(_remediation(_incidents(spark, sf)))
 
 
 @query
 def recent_notifications(spark, sf):
-    return reads.recent_notifications(_notifications(spark, sf))
+    return reads.recent_notifications(_notifications(_incidents(spark, sf)))
 
 
 # --- retention -----------------------------------------------------------------------------------------
