@@ -30,14 +30,13 @@ _TEXT_KINDS = "".join(
 )
 
 
-def _as_declared(kinds: Column, attributes: Column) -> Column:
+def _as_declared(kinds: Column, own: Column) -> Column:
     """Whether ``kinds``, the type text of ``[record]``, is that of a record with only declared types.
 
-    The attributes may hold anything. Their own type text comes first in the record's, so exactly
+    The attributes may hold anything. ``own``, their type text, comes first in the record's, so exactly
     that much is cut off before the rest is matched.
     """
     head = "ARRAY<OBJECT<"
-    own = F.schema_of_variant(attributes)
     opened = F.concat(F.lit(f"{head}attributes: "), own)
     rest = F.when(own.isNull(), F.substr(kinds, F.lit(len(head) + 1))).when(
         F.startswith(kinds, opened) & own.rlike("^(OBJECT<|VOID$)"), F.substr(kinds, F.length(opened) + 1)
@@ -81,11 +80,13 @@ def decode_events(df: DataFrame, raw: str = "value", strict: bool = False) -> Da
     body = F.col(raw).cast("string")
     wire = "array<struct<" + ",".join(f"{n}:{'variant' if n == 'attributes' else 'string'}" for n in WIRE_FIELDS) + ">>"
     parsed = df.select("*", body.alias("_body"), F.from_json(_wrapped(body), wire, STRICT_JSON).alias("_parsed"))
-    kinds = F.schema_of_variant(F.try_parse_json(_wrapped(F.col("_body"))))
+    parsed = parsed.select(
+        "*", F.schema_of_variant(F.try_parse_json(_wrapped(F.col("_body")))).alias("_shape"),
+        F.schema_of_variant(F.get("_parsed", F.lit(0))["attributes"]).alias("_own"),
+    )
     # A bracket after an object may have closed the wrapper early; let the slow decode find out.
     closed = F.contains("_body", F.lit("]")) & F.col("_body").rlike(r"\}\s*\]")
-    attached = F.get("_parsed", F.lit(0))["attributes"]
-    plain = (F.size("_parsed") == 1) & _as_declared(kinds, attached) & ~closed
+    plain = (F.size("_parsed") == 1) & _as_declared(F.col("_shape"), F.col("_own")) & ~closed
     first = parsed.select("*", F.when(plain, F.get("_parsed", F.lit(0))).alias("_quick"))
     slow = F.col("_quick").isNull()
     second = first.select("*", F.when(slow, single_json(F.coalesce("_body", F.lit("")))).alias("_doc"))
