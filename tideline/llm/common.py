@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tideline.session import scratch_path
 
@@ -18,6 +23,14 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def local_table(spark: SparkSession, schema: str, rows: Iterable[tuple]) -> DataFrame:
+    """A small table made on the driver, of known size: Spark broadcasts it under its threshold and shuffles beyond."""
+    fields = StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    table = pa.Table.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, fields, strict=True)], fields.names)
+    return spark.createDataFrame(table, fields)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, exact, lines
+from tideline.llm import chat, exact, lines, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,15 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(chat.format_examples(rows))
 
 
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op5_chat_format": op5_chat_format,
+    "op7_mix": op7_mix,
 }
 
 ORACLES: dict[str, str] = {
@@ -86,4 +91,34 @@ ORACLES: dict[str, str] = {
                CAST(sum(upto) FILTER (WHERE role = 'assistant' OR is_last) AS BIGINT) AS formatted_chars,
                count(*) FILTER (WHERE role = 'assistant' OR is_last) AS n_examples
         FROM running GROUP BY conv_id""",
+    # Capped sources are those of the smallest cap a weight; the first k of that order stop, the rest share what is left.
+    "op7_mix": r"""
+        WITH sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        sources AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                   (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+            FROM sized GROUP BY source),
+        ordered AS (
+            SELECT *, sum(source_size) OVER () AS total,
+                   coalesce(sum(3 * source_size) OVER before, 0) AS capped,
+                   sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open_weight,
+                   row_number() OVER (ORDER BY 3.0 * source_size / weight, source) AS nth
+            FROM sources WINDOW before AS (ORDER BY 3.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        first_open AS (
+            SELECT min(nth) AS nth FROM ordered WHERE (total - capped) * weight < 3 * source_size * open_weight),
+        targets AS (
+            SELECT o.source, o.source_size,
+                   CASE WHEN o.nth < f.nth OR f.nth IS NULL THEN 3.0 * o.source_size
+                        ELSE CAST(s.total - s.capped AS DOUBLE) * o.weight / CAST(s.open_weight AS DOUBLE) END AS target
+            FROM ordered o CROSS JOIN first_open f LEFT JOIN ordered s ON s.nth = f.nth),
+        laid AS (
+            SELECT doc_id, source, size,
+                   2 * sum(size) OVER (PARTITION BY source ORDER BY CAST('0x' || substr(md5('mix' || doc_id), 1, 13) AS BIGINT), doc_id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS middle
+            FROM sized)
+        SELECT doc_id, size, source_size, round(CAST(target AS DOUBLE), 6) AS target,
+               CAST(CASE WHEN size = 0 THEN 0
+                    ELSE size * greatest(0, ceil((2 * round(target) - middle) / (2.0 * source_size))) END AS BIGINT) AS taken
+        FROM laid JOIN targets ON laid.source IS NOT DISTINCT FROM targets.source""",
 }
