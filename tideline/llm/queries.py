@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, exact, lines, mixing, packing, quality
+from tideline.llm import chat, exact, licenses, lines, mixing, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,10 +56,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op5_chat_format": op5_chat_format,
     "op7_mix": op7_mix,
+    "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 
+def _license_sql() -> str:
+    """Every block against every template, with nothing filtered first."""
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES)
+    templates = ", ".join(f"({sorted(set(t.split()))!r}, '{label}')" for t, label in licenses.TEMPLATES)
+    return rf"""
+        WITH split AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents),
+        phrases(parts, label) AS (VALUES {phrases}),
+        templates(members, label) AS (VALUES {templates}),
+        starts AS (SELECT doc_id, words, unnest(range(len(words))) AS w FROM split),
+        places AS (
+            SELECT doc_id, w, label FROM starts JOIN phrases
+            ON words[w + 1] = parts[1] AND words[w + 1 : w + len(parts)] = parts),
+        base AS (
+            SELECT doc_id, count(*) AS n_base, min(w) AS first_word, max(w) AS last_word,
+                   string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+            FROM places GROUP BY doc_id),
+        blocks AS (
+            SELECT doc_id, list_distinct(words[b * {licenses.STRIDE} + 1 : (b + 2) * {licenses.STRIDE}]) AS held
+            FROM (SELECT doc_id, words, unnest(range(greatest(1, (len(words) + {licenses.STRIDE} - 1) // {licenses.STRIDE}))) AS b FROM split)),
+        met AS (
+            SELECT doc_id, label, len(list_intersect(held, members)) / len(members) AS containment
+            FROM blocks CROSS JOIN templates
+            WHERE len(list_intersect(held, members)) >= greatest(1, ceil({licenses.THRESHOLD} * len(members) - 1e-9))),
+        labelled AS (
+            SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+            FROM (SELECT doc_id, label FROM met UNION SELECT doc_id, label FROM places) GROUP BY doc_id),
+        best AS (SELECT doc_id, max(containment) AS best FROM met GROUP BY doc_id)
+        SELECT s.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END :: DOUBLE AS score
+        FROM split s LEFT JOIN base USING (doc_id) LEFT JOIN labelled USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -131,4 +173,5 @@ ORACLES: dict[str, str] = {
                CAST(CASE WHEN size = 0 THEN 0
                     ELSE size * greatest(0, ceil((2 * round(target) - middle) / (2.0 * source_size))) END AS BIGINT) AS taken
         FROM laid JOIN targets ON laid.source IS NOT DISTINCT FROM targets.source""",
+    "op8_licenses": _license_sql(),
 }
