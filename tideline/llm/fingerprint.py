@@ -135,18 +135,18 @@ def _read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def likeness(one: str, other: str) -> float:
-    """Share of steps, of the longer walk, at which both wrote the same, as the samples tell; 1 for equal ones."""
+    """Share of the longer walk's sampled steps at which both walks wrote the same; 1 for equal fingerprints.
+
+    Steps the shorter walk never reached count as different. Every sampled step of the longer walk that the shorter
+    one reached is among the latter's samples too.
+    """
     if one == other:
         return 1.0
-    (steps, symbols), (steps2, symbols2) = sorted((_read(one), _read(other)), key=lambda x: (len(x[0]), x[0][-1:].sum()))
-    if int(one.split(":")[0]) != int(other.split(":")[0]):
-        (steps, symbols), (steps2, symbols2) = (_read(f) for f in sorted((one, other), key=lambda f: int(f.split(":")[0])))
-    if not len(steps2):
-        return 1.0
-    at = np.searchsorted(steps, steps2)
-    met = at < len(steps)
-    met[met] = steps[at[met]] == steps2[met]
-    return float((symbols[at[met]] == symbols2[met]).sum() / len(steps2))
+    short, long = sorted((one, other), key=lambda f: int(f.split(":")[0]))
+    (steps, symbols), (steps2, symbols2) = _read(short), _read(long)
+    reached = steps2 < int(short.split(":")[0])
+    same = symbols[np.searchsorted(steps, steps2[reached])] == symbols2[reached]
+    return float(same.sum() / len(steps2))
 
 
 # One document and the next: the operator's own job -------------------------------------------------------------------
@@ -206,8 +206,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def block_heads(docs: DataFrame, blocks: int) -> list[int | None]:
     """Ids that head a block, descending: the largest id and quantiles of the rest; ``[None]`` without any id."""
     shares = [1 - k / blocks for k in range(blocks)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 100 * blocks)).first()[0] or []
-    return sorted(set(found), reverse=True) or [None]
+    largest, found = docs.agg(F.max("doc_id"), F.percentile_approx("doc_id", shares, 100 * blocks)).first()
+    return sorted({largest, *(found or [])} - {None}, reverse=True) or [None]
 
 
 def _block_of(heads: list) -> Column:
@@ -269,21 +269,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def band_keys(fingerprint: str) -> list[int]:
-    """One key a band: a hash of what the walk wrote at the band's sampled steps. Bands take steps by their own number."""
+    """One key a band: a hash of what the walk wrote at the band's steps, those of the smallest hash for this band."""
     steps, symbols = _read(fingerprint)
     if not len(steps):
         return [0] * BANDS
-    slot = _mix(steps.astype(np.uint64) + np.uint64(SEED << 30))
-    order = np.argsort(slot, kind="stable")
-    said = _mix(_mix(steps.astype(np.uint64)) + symbols)
-    picks = np.random.default_rng(SEED).random((BANDS, 64))
-    keys = []
-    for band in range(BANDS):
-        near = _mix(slot + np.uint64(int(picks[band][0] * 2**53)))
-        best = np.argsort(near, kind="stable")[:BAND_STEPS]
-        keys.append(int(_mix(said[best]).astype(np.uint64).sum(dtype=np.uint64).astype(np.int64)))
-    del order
-    return keys
+    steps = steps.astype(np.uint64)
+    salts = _mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(SEED << 30))
+    order = np.argsort(_mix(steps[None, :] ^ salts[:, None]), axis=1, kind="stable")[:, :BAND_STEPS]
+    said = _mix(_mix(steps) + symbols.astype(np.uint64))
+    return _mix(said[order].sum(axis=1, dtype=np.uint64)).astype(np.int64).tolist()
 
 
 def near_links(prints: DataFrame, at_least: float = 0.8) -> DataFrame:
