@@ -27,7 +27,7 @@ LAPS = 3
 #: Source weights repeat in this order over the sources.
 WEIGHTS = (1, 2, 3)
 #: Rows of a block of the seeded order.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 #: The seeded order has so many places.
 PLACES = 1 << 52
 
