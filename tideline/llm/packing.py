@@ -24,7 +24,7 @@ BATCH_TOKENS = 65_536
 #: Up to here the histogram is exact.
 EXACT_LENGTHS = 16_384
 LEADING_BITS = 8
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 
 
 def histogram_length(length: Column) -> Column:
