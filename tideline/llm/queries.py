@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, classlm, exact, fingerprint, licenses, lines, mixing, packing, quality
+from tideline.llm import chat, classlm, exact, fingerprint, licenses, lines, minhash, mixing, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(_table(spark, sf_dir, "documents"))
+
+
 #: A text made of the template's own signs; both turns of conversation -7 say it.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_class_lm": op6_class_lm,
     "op7_mix": op7_mix,
