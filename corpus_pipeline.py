@@ -1,8 +1,74 @@
-"""The training-data pipeline over ``documents``, stage by stage."""
+"""The training-data pipeline over ``documents``: five stages, each written and read again as the next one's input.
 
-STAGES = []
+``run(spark, sf_dir)`` applies them to the documents of ``sf_dir``. A stage is a function of (spark, docs, sf_dir); all
+but the last return the columns of its input, so that any stage can be left out or repeated.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.llm import lines, minhash, mixing, packing, quality
+from tideline.llm.common import saved, word_count
+
+#: No SQL: the classifier's random features, MinHash and the packing program have none.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the quality classifier accepts, from one reading of their texts."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.with_scores(docs, model, "__score").filter(F.col("__score") >= quality.GOOD).drop("__score")
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines they repeat; one that only repeats others is gone with its last line.
+
+    ``n_chars`` follows the text. A document that had no text stays.
+    """
+    cleaned = lines.drop_repeated_lines(docs)
+    emptied = (F.col("n_removed") > 0) & (F.length(F.trim("text")) == 0)
+    chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cleaned.filter(~emptied).withColumn("n_chars", chars).select(*docs.columns)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each class of near duplicates."""
+    goes = minhash.near_classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__goes")).distinct()
+    return docs.join(goes, F.col("doc_id") == F.col("__goes"), "left_anti")
+
+
+def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them (not at all, once, or repeated); documents without words stay out."""
+    taken = mixing.mix_documents(docs).filter("taken > 0").select(
+        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("__laps")
+    )
+    times = taken.groupBy("__id", "__size").agg(F.max("__laps").alias("__laps"))
+    rows = docs.withColumn("__words", word_count(F.col("text")))
+    joined = rows.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__laps"))).alias("__lap")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every document in batches of optimal length buckets."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", without_repeated_lines),
+    ("MinHash near-dedup", one_of_near_duplicates),
+    ("mixing to weights", mixed_to_weights),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number + 1 < len(STAGES):
+            docs = saved(docs, f"pipeline-{number}")
+    return docs
