@@ -230,9 +230,10 @@ def exchange(bigrams: DataFrame, units: Units, passes: int = PASSES) -> tuple[np
         matrix = class_counts(bigrams, of)
 
         def moved(batches: Iterator[pa.RecordBatch], of=of, matrix=matrix, step=step) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(batches)
-            if not table.num_rows:
+            held = [b for b in batches if b.num_rows]
+            if not held:
                 return
+            table = pa.Table.from_batches(held)
             unit, side, other, count = (table.column(i).to_numpy() for i in range(4))
             ids, at = np.unique(unit, return_inverse=True)
             own = of.value[ids]
