@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions.frames import local_frame
 from tideline.operators import oncall, reads, remediation
 from tideline.schema import INCIDENT, INT, POLICY_LEVEL, STRING, TIMESTAMP, columns
-from tideline.sources.config import ConfigError, load_policy, parse_policy, parse_runbooks, policy_rows, runbook_rows
+from tideline.sources.config import ConfigError, duration_us, load_policy, parse_policy, parse_runbooks, policy_rows, runbook_rows
 
 T0 = datetime(2026, 7, 25, 9, 30, tzinfo=timezone.utc)
 MIN = timedelta(minutes=1)
@@ -135,9 +135,12 @@ def level(**changes):
 
 
 @pytest.mark.parametrize("document,words", [
-    ('{"levels": []}', "at least one level"), (level(target='""'), "target is required"), (level(ack_timeout='"soon"'), "ack_timeout"),
-    (level(ack_timeout='"0s"'), "greater than zero"), (level(contacts="[]"), "at least one contact"), (level(contacts='[{"name":" "}]'), "name is required"),
-    (level(extra=',"more":1'), "parse escalation policy"), ("nope", "parse escalation policy"),
+    ('{"levels": []}', "levels has 0 entries"), (level(target='""'), "target is blank"), (level(ack_timeout='"soon"'), "ack_timeout is 'soon'"),
+    (level(ack_timeout='"0s"'), "too short"), (level(contacts="[]"), "contacts has 0 entries"), (level(contacts='[{"name":" "}]'), "contacts.0..name is blank"),
+    (level(extra=',"more":1'), "unknown key 'more'"), ("nope", "no JSON"), (level(target="5"), "target is no text"), (level(ack_timeout="5"), "ack_timeout is no text"),
+    (level(contacts='[{"name":"a"}],"start":"2024-01-05"'), "no RFC 3339 time"), (level(contacts='[{"name":"a"}],"start":"20240105T000000"'), "no RFC 3339 time"),
+    (level(contacts='[{"name":"a"}],"start":5'), "start is no text"), (level(contacts='[{"name":"a"}],"shift":"-1h"'), "shift is '-1h', too short"), ("[]", "is no object"),
+    ('{"levels": {}}', "levels is no list"),
 ])
 def test_policy_errors(document, words):
     with pytest.raises(ConfigError, match=words):
@@ -152,16 +155,28 @@ def book(step=STEP, match='{"rule_id":"r"}', timeout="1m", id_="a"):
 
 
 @pytest.mark.parametrize("books,words", [
-    ("", "at least one runbook"), (book(match="{}"), "match.rule_id is required"), (book(step=""), "at least one step"),
-    (book(step=STEP.replace("noop", "launch")), "unknown action kind"), (book(step=STEP.replace("noop", "webhook")), "needs a target"),
-    (book(step=STEP.replace("auto", "whenever")), "mode must be"), (book() + "," + book(), "defined more than once"), (book(timeout="soon"), "approval_timeout"),
-    (book(step=STEP.replace("}", ',"q":1}')), "parse runbook catalog"),
+    ("", "runbooks has 0 entries"), (book(match="{}"), "match.rule_id is blank"), (book(step=""), "steps has 0 entries"),
+    (book(step=STEP.replace("noop", "launch")), "kind is 'launch'"), (book(step=STEP.replace("noop", "webhook")), "a webhook needs one"),
+    (book(step=STEP.replace("auto", "whenever")), "mode is 'whenever'"), (book() + "," + book(), "repeats 'a'"), (book(timeout="soon"), "approval_timeout is 'soon'"),
+    (book(step=STEP.replace("}", ',"q":1}')), "unknown key 'q'"), (book(step=STEP.replace("}", ',"params":[1]}')), "params is no object of texts"),
+    (book(step=STEP.replace("}", ',"params":"x"}')), "params is no object of texts"), (book(step=STEP.replace("}", ',"params":{"a":1}}')), "params is no object of texts"),
 ])
 def test_catalog_errors(books, words):
     with pytest.raises(ConfigError, match=words):
         runbook_rows(f'{{"runbooks":[{books}]}}')
 
 
+def test_all_problems_at_once():
+    with pytest.raises(ConfigError) as found:
+        policy_rows('{"levels": [{"target": "", "ack_timeout": "x"}, {"more": 1}]}')
+    assert len(found.value.problems) == 7
+
+
+def test_durations():
+    assert [duration_us(x) for x in ("0", "1h30m", "-1.5s", ".5ms", "1.ms", "+2us", "1ns")] == [0, 5_400_000_000, -1_500_000, 500, 1000, 2, 0]
+    assert [duration_us(x) for x in ("", "5", "h", "1h ", "1d", "- 1h")] == [None] * 6
+
+
 def test_match_runbook(spark):
     rows = remediation.match_runbook(local_frame(spark, [incident("p"), incident("o", service="order"), incident("n", rule="else")], INCIDENT),
                                      parse_runbooks(spark, CATALOG)).collect()
