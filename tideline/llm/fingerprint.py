@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import shuffle_partitions, text_or_empty
+from tideline.llm.common import saved, shuffle_partitions, text_or_empty
+from tideline.llm.components import components
 
 #: Sampled steps of a fingerprint.
 SAMPLES = 128
@@ -305,3 +306,16 @@ def near_links(prints: DataFrame, at_least: float = 0.8) -> DataFrame:
     mine, theirs = unique.toDF("f1", "i1"), unique.toDF("f2", "i2")
     met = pairs.join(mine, F.col("doc_id") == F.col("i1")).join(theirs, F.col("leader") == F.col("i2")).select("doc_id", "leader", "f1", "f2")
     return met.mapInArrow(verified, "doc_id long, leader long, likeness double").filter(F.col("likeness") >= at_least)
+
+
+def near_groups(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """``doc_id, group_id``, one row per document with an id: the smallest id that verified links lead to.
+
+    Documents of equal fingerprints are in one group; one without any link is its own. Rows without an id are left out.
+    """
+    prints = saved(fingerprints(docs).filter(F.col("doc_id").isNotNull()), "fingerprints")
+    links = near_links(prints, at_least).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+    labels = components(links).toDF("l", "label")
+    first = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
+    named = first.join(labels, F.col("id") == F.col("l"), "left").select("fingerprint", F.coalesce("label", "id").alias("group_id"))
+    return prints.join(named, "fingerprint").select("doc_id", "group_id")
