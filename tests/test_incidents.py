@@ -120,3 +120,44 @@ def test_transitions(spark):
     pairs = local_frame(spark, [{"a": a, "b": b} for a in names for b in names], columns(a=STRING, b=STRING))
     legal = {(r.a, r.b) for r in pairs.filter(can_transition(F.col("a"), F.col("b"))).collect()}
     assert legal == {("open", "acknowledged"), ("open", "resolved"), ("acknowledged", "resolved")}
+
+
+def test_actions_ahead_of_detections_lose_nothing(spark, tmp_path):
+    """Several triggers; every action is read long before the detections of its time."""
+    from tideline.streaming.stateful import STATE_STORE, stateful_incidents
+
+    fired = {"a": [1, 2, 3, 30, 31], "b": [2, 40]}
+    acts = [("a1", "a", "acknowledge", 2), ("a2", "a", "resolve", 30.5), ("n", "nobody", "resolve", 200), ("b1", "b", "acknowledge", 5), ("b2", "b", "acknowledge", 6)]
+    folders = {name: str(tmp_path / name) for name in ("detections", "actions", "out", "checkpoint")}
+
+    def drop(name, rows, schema):
+        local_frame(spark, rows, schema).coalesce(1).write.mode("append").parquet(folders[name])
+
+    drop("actions", [{"action_id": i, "target": t, "action": k, "actor": "x", "at": at(n)} for i, t, k, n in acts], OPERATOR_ACTION)
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+    before = 0
+    try:
+        for last in (2, 10, 35, 50, 200, 201):
+            rows = [detection(f, t) for f, ticks in fired.items() for t in ticks if before < t <= last]
+            before = last
+            drop("detections", rows + [detection("clock", last)], DETECTION)
+            # A restarted query knows no watermark of a stream that stays silent: the heartbeat.
+            drop("actions", [{"action_id": f"beat-{last}", "target": "nobody", "action": "resolve", "actor": "x", "at": at(last)}], OPERATOR_ACTION)
+            streams = [spark.readStream.schema(s).parquet(folders[n]) for n, s in (("detections", DETECTION), ("actions", OPERATOR_ACTION))]
+            changes = stateful_incidents(streams[0], STEP, timedelta(seconds=40), timedelta(seconds=30), streams[1])
+            writer = changes.writeStream.format("parquet").option("checkpointLocation", folders["checkpoint"]).trigger(availableNow=True)
+            writer.start(folders["out"]).awaitTermination()
+    finally:
+        for key in STATE_STORE:
+            spark.conf.unset(key)
+    batch = incidents_from_detections(
+        local_frame(spark, [detection(f, t) for f, ticks in fired.items() for t in ticks], DETECTION), STEP, timedelta(seconds=40), at(150),
+        local_frame(spark, [{"action_id": i, "target": t, "action": k, "actor": "x", "at": at(n)} for i, t, k, n in acts], OPERATOR_ACTION))
+    log = spark.read.parquet(folders["out"]).filter("fingerprint IN ('a', 'b')")
+    last = log.groupBy("fingerprint", "opened_at").agg(
+        F.max_by("event_count", "at").alias("event_count"), F.max("last_seen_at").alias("last_seen_at"), F.max(F.when(F.col("change") == "acknowledged", F.col("at"))).alias("acked"),
+        F.max(F.when(F.col("change").isin("resolved", "auto_resolved"), F.col("at"))).alias("resolved"), F.max(F.col("change") == "auto_resolved").alias("auto"))
+    got = sorted(map(tuple, last.filter("opened_at IS NOT NULL").collect()))
+    assert got == sorted(map(tuple, batch.select("fingerprint", "opened_at", "event_count", "last_seen_at", "acknowledged_at", "resolved_at", "auto_resolved").collect()))
+    assert len(got) == 5 and [r.action_id for r in log.filter("change = 'rejected'").collect()] == ["b2"]

@@ -1,10 +1,12 @@
 """The day-partitioned table, its maintenance, and the streams that fill it."""
 
+import base64
 from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.functions.cursor import read_cursor
 from tideline.functions.frames import local_frame
 from tideline.operators import dedupe, reads, reports, retention
 from tideline.operators.detect import Rule, detect
@@ -12,7 +14,7 @@ from tideline.operators.windows import replay_windows, window_stats
 from tideline.schema import BOOLEAN, INT, LONG, PARTITION, STRING, TELEMETRY, TIMESTAMP, columns
 from tideline.sources import streams, tables
 from tideline.streaming.detection import stream_windows
-from tideline.streaming.ingest import start_ingest
+from tideline.streaming.ingest import read_quarantine, start_ingest
 
 DAY = datetime(2026, 7, 20, 12, tzinfo=timezone.utc)
 LATER = datetime(2026, 7, 25, tzinfo=timezone.utc)
@@ -52,12 +54,13 @@ def test_stream_ingest_survives_redelivery(spark, tmp_path):
     seen = {}
     for attempt in (1, 2):
         stream = streams.read_event_stream(spark, "parquet", str(tmp_path / "topic"))
-        start_ingest(stream, str(tmp_path / "table"), str(tmp_path / f"q{attempt}"), str(tmp_path / f"c{attempt}"), clock=lambda: LATER, available_now=True,
+        start_ingest(stream, str(tmp_path / "table"), str(tmp_path / "q"), str(tmp_path / f"c{attempt}"), clock=lambda: LATER, available_now=True,
                      on_outcomes=lambda batch, outcomes: seen.setdefault(attempt, outcomes)).awaitTermination()
     assert seen == {1: {"stored": 3, "duplicate": 1, "invalid": 5}, 2: {"stored": 0, "duplicate": 4, "invalid": 5}}
     stored = tables.scan_events(spark, str(tmp_path / "table"))
     assert sorted(r.event_id[-1] for r in stored.collect()) == ["1", "2", "3"]
-    refused = spark.read.parquet(str(tmp_path / "q1"))
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 10
+    refused = read_quarantine(spark, str(tmp_path / "q"))
     assert refused.count() == 5 and refused.filter("reason LIKE '%not a valid%'").count() == 3
 
 
@@ -66,7 +69,7 @@ def test_batch_equals_stream_on_timely_data(spark, tmp_path):
     rows.append(event(999, DAY + timedelta(days=1), service="late"))
     frame(spark, rows).write.parquet(str(tmp_path / "in"))
     window, step = timedelta(seconds=60), timedelta(seconds=15)
-    out = stream_windows(spark.readStream.schema(TELEMETRY).parquet(str(tmp_path / "in")), window, step).drop("window")
+    out = stream_windows(spark.readStream.schema(TELEMETRY).parquet(str(tmp_path / "in")), window, step, timedelta(0)).drop("window")
     query = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "o"))
     query.awaitTermination()
     batch = replay_windows(frame(spark, rows), window, step, mode="half_open").filter("service_name <> 'late'")
@@ -117,7 +120,7 @@ def test_rule_boundaries(spark):
 
 def test_page_limits_and_cursor_rules(spark):
     rows = frame(spark, [event(n, DAY + timedelta(seconds=n // 3)) for n in range(120)])
-    assert [reads.page_limit(n) for n in (None, 0, 7, 500)] == [50, 50, 7, 200]
+    assert [reads.page_limit(n) for n in (None, 0, 7, 500)] == [50, 50, 7, 500]
     seen, token, pages = [], "", 0
     while pages == 0 or token:
         page, token = reads.page_events(rows, limit=50, cursor=token)
@@ -168,3 +171,48 @@ def test_status_distribution(spark):
     got = {r.path: r for r in reports.status_distribution(local_frame(spark, rows, schema)).collect()}
     assert got["a"].is_clean and not got["b"].is_clean
     assert (got["b"].failures, got["b"].statuses_text, got["b"].statuses) == (3, "2×503", {503: 2})
+
+
+def test_ties_have_one_winner(spark):
+    rows = [event(1), event(1), event(1), event(2)]
+    got = sorted(r.outcome for r in dedupe.label_outcomes(frame(spark, rows), ("processed_at",)).collect())
+    assert got == ["duplicate", "duplicate", "stored", "stored"]
+    twice = frame(spark, [event(1), event(1)])
+    assert [r.outcome for r in dedupe.label_outcomes(frame(spark, [event(1)]), ("processed_at",), twice).collect()] == ["duplicate"]
+
+
+def test_a_row_parked_during_a_drain_survives(spark, tmp_path, monkeypatch):
+    path, day = str(tmp_path / "t"), DAY.date()
+    dedupe.append_events(frame(spark, [event(1), event(2)]), path, which=tables.PARKED)
+    append = retention.append_events
+
+    def parked_meanwhile(rows, where):
+        append(frame(spark, [event(3)]), path, which=tables.PARKED)
+        return append(rows, where)
+
+    monkeypatch.setattr(retention, "append_events", parked_meanwhile)
+    assert retention.drain_default(spark, path, day) == 2
+    monkeypatch.undo()
+    assert [r.event_id[-1] for r in tables.read_telemetry(spark, path, tables.PARKED).collect()] == ["3"]
+    assert retention.drain_default(spark, path, day) == 1 and retention.drain_default(spark, path, day) == 0
+    assert tables.scan_events(spark, path).count() == 3
+
+
+def test_backfill_refuses_a_filled_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    retention.backfill_partitions(frame(spark, [event(1)]), path)
+    with pytest.raises(ValueError):
+        retention.backfill_partitions(frame(spark, [event(2)]), path)
+    assert tables.scan_events(spark, path).count() == 1
+
+
+def test_everybody_waiting_is_listed(spark):
+    waiting = spark.range(120).select(F.col("id"), F.lit("open").alias("status"), F.lit(None).cast("timestamp").alias("alerted_at"), F.lit(DAY).alias("opened_at"))
+    assert reads.unalerted_incidents(waiting).count() == 120 and reads.unalerted_incidents(waiting, limit=7).count() == 7
+
+
+@pytest.mark.parametrize("time", ["20240105T000000Z", "2024-W01-1T00:00:00Z", "2024-01-05 00:00:00+00:00", "2024-01-05T00:00:00"])
+def test_cursor_times_are_strict(time):
+    token = base64.urlsafe_b64encode(f"{time},x".encode()).decode().rstrip("=")
+    with pytest.raises(ValueError):
+        read_cursor(token)

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tideline.functions.text import parse_rfc3339, rfc3339_nano
+from tideline.functions.text import RFC3339, parse_rfc3339, rfc3339_nano
 
 
 class Cursor(NamedTuple):
@@ -43,18 +43,18 @@ def read_cursor(token: str) -> Cursor | None:
     if not token:
         return None
     if not re.fullmatch(r"[A-Za-z0-9_-]+", token):
-        raise ValueError("cursor is not a valid token")
+        raise ValueError("a token has letters, digits, - and _ only")
     try:
         raw = base64.urlsafe_b64decode(token + "=" * (-len(token) % 4)).decode("utf-8")
     except (binascii.Error, UnicodeDecodeError) as err:
-        raise ValueError("cursor is not a valid token") from err
+        raise ValueError("the token cannot be read") from err
     time_text, comma, id_ = raw.partition(",")
     if not comma or not id_:
-        raise ValueError("cursor is malformed")
+        raise ValueError("the token names no place in a list")
     try:
-        time = datetime.fromisoformat(time_text.replace("Z", "+00:00"))
+        if not re.match(RFC3339, time_text):
+            raise ValueError(f"{time_text!r} is no RFC 3339 time")
+        time = datetime.fromisoformat(time_text.replace(",", ".").replace("Z", "+00:00"))
     except ValueError as err:
-        raise ValueError("cursor carries an invalid timestamp") from err
-    if time.tzinfo is None:
-        raise ValueError("cursor carries an invalid timestamp")
+        raise ValueError("the token names no time") from err
     return Cursor(time.astimezone(timezone.utc), id_)

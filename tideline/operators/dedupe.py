@@ -30,27 +30,29 @@ def dedupe_events(
 
 
 def label_outcomes(
-    df: DataFrame, existing: DataFrame | None = None, keys: Sequence[str] = EVENT_KEY,
-    order_by: Sequence[str] = ("processed_at",),
+    df: DataFrame, order_by: Sequence[str], existing: DataFrame | None = None, keys: Sequence[str] = EVENT_KEY,
 ) -> DataFrame:
     """Add ``outcome``: ``stored`` for the first row of a key that is not stored yet, else ``duplicate``.
 
-    ``order_by`` must tell any two rows of a key apart (a log position does). The winner of a key is
-    found by a partial aggregate; the join back is one that AQE may split when a key is hot.
+    Of rows of a key that ``order_by`` does not tell apart (as a log position would) one is stored and the others
+    are duplicates. The winner of a key is found by a partial aggregate; the join back is one that AQE may split when
+    a key is hot.
     """
     # A single plain column keeps the aggregate hash-based.
     position = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*[F.col(c) for c in order_by])
     winners = df.groupBy(*keys).agg(F.min(position).alias("_first"))
     if existing is not None:
-        known = existing.select(*keys, F.lit(True).alias("_known"))
+        known = existing.select(*keys).distinct().withColumn("_known", F.lit(True))
         winners = winners.join(known, list(keys), "left")
     else:
         winners = winners.withColumn("_known", F.lit(None).cast("boolean"))
-    wins = F.col("_known").isNull() & (position == F.col("_first"))
-    labelled = df.join(winners, list(keys), "left")
-    return labelled.withColumn(
-        "outcome", F.when(wins, F.lit("stored")).otherwise(F.lit("duplicate"))
-    ).select(*df.columns, "outcome")
+    wins = F.col("_known").isNull() & position.eqNullSafe(F.col("_first"))
+    labelled = df.join(winners, list(keys), "left").withColumn("_wins", wins)
+    # Rows in front of their key, nearly always one a key: of several that tie, one is stored.
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*_order(order_by)))
+    front = labelled.filter("_wins").withColumn("outcome", F.when(nth == 1, F.lit("stored")).otherwise(F.lit("duplicate")))
+    rest = labelled.filter("NOT _wins").withColumn("outcome", F.lit("duplicate"))
+    return front.unionByName(rest).select(*df.columns, "outcome")
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataFrame:

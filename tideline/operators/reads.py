@@ -7,17 +7,16 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.cursor import read_cursor
+from tideline.functions.cursor import encode_cursor, read_cursor
 from tideline.functions.frames import instant, within_dates
-from tideline.functions.text import is_uuid
-from tideline.schema import INCIDENT_STATUSES, PAGE_DEFAULT, PAGE_MAX, SEVERITIES
+from tideline.schema import INCIDENT_STATUSES, PAGE_DEFAULT, SEVERITIES
 
 
 # --- filters ---------------------------------------------------------------------------------------
 
 def _one_of(value: str | None, allowed: tuple[str, ...], what: str) -> None:
     if value and value not in allowed:
-        raise ValueError(f"{what} must be one of {', '.join(allowed)}")
+        raise ValueError(f"no {what} is called {value!r}; there are {list(allowed)}")
 
 
 def _equal(df: DataFrame, **wanted: str | None) -> DataFrame:
@@ -64,28 +63,22 @@ def get_incident(df: DataFrame, id_: str) -> DataFrame:
     return df.filter(F.col("id") == id_)
 
 
-def check_incident_id(df: DataFrame, id_column: str = "id") -> DataFrame:
-    """Rows whose id is not a UUID, which the read API refuses before any lookup."""
-    return df.filter(~is_uuid(F.lower(id_column)))
-
-
 # --- pages -----------------------------------------------------------------------------------------
 
 def page_limit(limit: int | None) -> int:
-    if limit is None or limit <= 0:
-        return PAGE_DEFAULT
-    return min(limit, PAGE_MAX)
+    """The rows of a page: as many as asked for, ``PAGE_DEFAULT`` where nothing (or 0) is. Nothing is cut silently."""
+    return limit or PAGE_DEFAULT
 
 
 def _window(df: DataFrame, time: str, id_: str, limit: int | None, offset: int, cursor: str | None) -> tuple[DataFrame, int]:
     """The requested page and one row more, newest first."""
     if limit is not None and limit < 0:
-        raise ValueError("limit must be a non-negative integer")
+        raise ValueError(f"a page of {limit} rows makes no sense")
     if offset < 0:
-        raise ValueError("offset must be a non-negative integer")
+        raise ValueError(f"cannot start {-offset} rows before the first")
     after = read_cursor(cursor or "")
     if after is not None and offset:
-        raise ValueError("cursor and offset cannot be combined; use one or the other")
+        raise ValueError("give a cursor or an offset: both name a start")
     size = page_limit(limit)
     if after is not None:
         at = instant(after.time)
@@ -100,13 +93,12 @@ def _window(df: DataFrame, time: str, id_: str, limit: int | None, offset: int,
 
 
 def _page(df: DataFrame, time: str, id_: str, limit: int | None, offset: int, cursor: str | None) -> tuple[DataFrame, str]:
-    from tideline.functions.cursor import encode_cursor
-
+    """One job: the page and the row beyond it come to the driver once, and page and token are taken from them."""
     fetched, size = _window(df, time, id_, limit, offset, cursor)
-    page = fetched.limit(size)
-    # A cursor exists only when there was a row beyond the page. At most PAGE_MAX + 1 rows are involved.
-    edge = fetched.offset(size - 1).select(encode_cursor(F.col(time), F.col(id_))).collect()
-    return page, edge[0][0] if len(edge) == 2 else ""
+    token = encode_cursor(F.col(time), F.col(id_)).alias("_token")
+    rows = fetched.select("*", token).toArrow()
+    page = df.sparkSession.createDataFrame(rows.slice(0, size).drop_columns(["_token"]), schema=df.schema)
+    return page, rows.column("_token")[size - 1].as_py() if rows.num_rows > size else ""
 
 
 def page_events(
@@ -140,15 +132,13 @@ def pending_action(actions: DataFrame) -> DataFrame:
     return waiting.groupBy("incident_id").agg(F.min_by(row, "step_index").alias("row")).select("row.*")
 
 
-def unalerted_incidents(incidents: DataFrame, limit: int | None = 50, marker: str = "alerted_at") -> DataFrame:
-    """Open incidents nobody has handled yet, oldest first; ``limit=None`` lists them all."""
+def unalerted_incidents(incidents: DataFrame, limit: int | None = None, marker: str = "alerted_at") -> DataFrame:
+    """All open incidents nobody has handled yet; with a ``limit``, so many of the oldest."""
     waiting = incidents.filter((F.col("status") == "open") & F.col(marker).isNull())
-    if limit is None:
-        return waiting
-    return waiting.orderBy("opened_at", "id").limit(limit if limit > 0 else PAGE_DEFAULT)
+    return waiting if limit is None else waiting.orderBy("opened_at", "id").limit(limit)
 
 
-def unremediated_incidents(incidents: DataFrame, limit: int | None = 50) -> DataFrame:
+def unremediated_incidents(incidents: DataFrame, limit: int | None = None) -> DataFrame:
     return unalerted_incidents(incidents, limit, marker="remediated_at")
 
 
@@ -212,13 +202,25 @@ def pipeline_latency(df: DataFrame) -> DataFrame:
     )
 
 
+def _clock(name: str, time: str):
+    return F.date_format(time, "HH:mm:ss").alias(name)
+
+
+def _short(id_: str):
+    """The first characters of an id, for a narrow table; the whole id stands beside them."""
+    return F.left(F.col(id_), F.lit(8)).alias("short_id")
+
+
+def _newest(df: DataFrame, n: int, *by: str) -> DataFrame:
+    return df.orderBy(*(F.col(c).desc() for c in by)).limit(n)
+
+
 def recent_events(df: DataFrame, n: int = 10) -> DataFrame:
-    newest = df.orderBy(F.col("event_timestamp").desc(), F.col("event_id").desc()).limit(n)
-    return newest.select(
-        F.substring("event_id", 1, 8).alias("event_id"), "service_name", "severity",
-        F.get_json_object("attributes", "$.http_status_code").alias("status"),
-        F.get_json_object("attributes", "$.latency_ms").alias("latency_ms"),
-        F.date_format("event_timestamp", "HH:mm:ss").alias("at"),
+    """The n newest request events with what they say about the request."""
+    said = {"http_status": "$.http_status_code", "took_ms": "$.latency_ms"}
+    return _newest(df, n, "event_timestamp", "event_id").select(
+        "event_id", _short("event_id"), "service_name", "severity",
+        *(F.get_json_object("attributes", path).alias(name) for name, path in said.items()), _clock("seen_at", "event_timestamp"),
     )
 
 
@@ -227,10 +229,9 @@ def incidents_by_status_severity(df: DataFrame) -> DataFrame:
 
 
 def recent_incidents(df: DataFrame, n: int = 10) -> DataFrame:
-    newest = df.orderBy(F.col("last_seen_at").desc(), F.col("id").desc()).limit(n)
-    return newest.select(
-        F.substring("id", 1, 8).alias("id"), "service_name", "severity", "status", "event_count",
-        F.date_format("last_seen_at", "HH:mm:ss").alias("last_seen"),
+    """The n incidents active last."""
+    return _newest(df, n, "last_seen_at", "id").select(
+        "id", _short("id"), "service_name", "severity", "status", "event_count", _clock("active_at", "last_seen_at")
     )
 
 
@@ -239,16 +240,13 @@ def actions_by_runbook_status(df: DataFrame) -> DataFrame:
 
 
 def recent_actions(df: DataFrame, n: int = 10) -> DataFrame:
-    newest = df.orderBy(F.col("updated_at").desc(), F.col("incident_id").desc(), F.col("step_index").desc()).limit(n)
-    return newest.select(
-        F.substring("incident_id", 1, 8).alias("incident"), F.col("step_index").alias("step"), "step_name", "mode",
-        "status", "actor", F.date_format("updated_at", "HH:mm:ss").alias("updated"),
+    """The n remediation steps that changed last."""
+    return _newest(df, n, "updated_at", "incident_id", "step_index").select(
+        "incident_id", _short("incident_id"), "step_index", "step_name", "mode", "status", "actor", _clock("changed_at", "updated_at")
     )
 
 
 def recent_notifications(df: DataFrame, n: int = 10) -> DataFrame:
-    newest = df.orderBy(F.col("sent_at").desc(), F.col("incident_id").desc(), F.col("level").desc(), F.col("id")).limit(n)
-    return newest.select(
-        F.substring("incident_id", 1, 8).alias("incident"), "level", "target", "contact", "channel", "status",
-        F.date_format("sent_at", "HH:mm:ss").alias("sent"),
-    )
+    """The n pages sent last."""
+    newest = df.orderBy(*(F.col(c).desc() for c in ("sent_at", "incident_id", "level")), "id").limit(n)
+    return newest.select("incident_id", _short("incident_id"), "level", "target", "contact", "channel", "status", _clock("paged_at", "sent_at"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tideline.functions.frames import local_frame
 from tideline.operators.dedupe import AppendResult, append_events, dedupe_events
-from tideline.schema import DEFAULT_PARTITION, PARTITION, PARTITION_PREFIX
+from tideline.schema import DEFAULT_PARTITION, PARTITION, PARTITION_PREFIX, TABLES
 from tideline.sources.tables import DAILY, PARKED, area, exists, folder, read_telemetry, with_event_date, write_daily
 
 
@@ -116,21 +116,30 @@ def drain_default(spark: SparkSession, path: str, day: date) -> int:
     """Move the parked rows of one day to that day's partition.
 
     The rows are inserted first (insert-if-absent) and un-parked afterwards: a crash in between
-    leaves both copies, and the next run moves nothing twice.
+    leaves both copies, and the next run moves nothing twice. The files are listed once; those are read
+    and those alone are deleted, so a row that a writer parks meanwhile stays parked.
     """
     parked = f"{area(path, PARKED)}/event_date={day.isoformat()}"
     if not exists(spark, parked):
         return 0
-    rows = read_telemetry(spark, path, PARKED).filter(F.col("event_date") == F.lit(day)).drop("event_date")
-    moved = append_events(rows, path)
     fs, where = folder(spark, parked)
-    fs.delete(where, True)
+    files = [s.getPath() for s in fs.listStatus(where) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    if not files:
+        return 0
+    rows = spark.read.schema(TABLES["telemetry_events"]).parquet(*(f.toString() for f in files))
+    moved = append_events(rows, path)
+    for file in files:
+        fs.delete(file, False)
+    if not list(fs.listStatus(where)):
+        fs.delete(where, False)
     return moved.inserted + moved.duplicate
 
 
 def backfill_partitions(df: DataFrame, path: str) -> None:
-    """Write an un-partitioned table as daily partitions."""
-    write_daily(df, path, mode="overwrite")
+    """Write an un-partitioned table as daily partitions; a table that already holds something is refused."""
+    if exists(df.sparkSession, area(path)) and not read_telemetry(df.sparkSession, path).isEmpty():
+        raise ValueError(f"{path} already holds events: append to it, or backfill another folder")
+    write_daily(df, path)
 
 
 def backfill_days(df: DataFrame, today: date, ahead: int = 7) -> DataFrame:

@@ -158,14 +158,13 @@ FROM records""", "records")
 # Requests: eight neighbouring event numbers each.
 _cte("requests_", """
 SELECT n // 8 AS r, 'req-' || (n // 8) AS request_id, "offset", n, damage, d_id, n_id, trace_id,
-  CASE WHEN (n // 8) % 17 = 0 THEN 'invalid_json' WHEN (n // 8) % 13 = 0 THEN 'empty_batch' END AS batch_error
+  CASE WHEN (n // 8) % 17 = 0 THEN 'invalid_json' WHEN (n // 8) % 13 = 0 THEN 'empty_batch'
+       WHEN bool_or(damage IN ('cut','trailing')) OVER (PARTITION BY n // 8) THEN 'invalid_json' END AS batch_error
 FROM records""", "records")
 _cte("items", """
 SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY "offset") - 1 AS INTEGER) AS idx
-FROM requests_ WHERE batch_error IS NULL AND damage NOT IN ('cut','trailing')""", "requests_")
-_cte("request_heads", """
-SELECT r, request_id, coalesce(max(batch_error), CASE WHEN count(*) FILTER (damage NOT IN ('cut','trailing')) = 0 THEN 'empty_batch' END) AS batch_error
-FROM requests_ GROUP BY r, request_id""", "requests_")
+FROM requests_ WHERE batch_error IS NULL""", "requests_")
+_cte("request_heads", "SELECT r, request_id, max(batch_error) AS batch_error FROM requests_ GROUP BY r, request_id", "requests_")
 
 _cte("windows72", f"""
 SELECT t.tick, 259200000000 AS window_us, tenant_id, service_name, count(*) AS total,
@@ -277,15 +276,15 @@ SELECT * REPLACE (CASE WHEN event_count % 3 = 0 THEN '  ' ELSE title END AS titl
 
 # Escalation: three levels, one poll per hour.
 _cte("levels_", f"""
-SELECT * FROM (VALUES (1, 'primary on-call', 0, 6 * {HOUR_US}), (2, 'secondary on-call', 6 * {HOUR_US}, 18 * {HOUR_US}),
-  (3, 'engineering manager', 24 * {HOUR_US}, 30 * {HOUR_US})) v(level, target, offset_us, wait_us)""")
+SELECT * FROM (VALUES (1, 'regional desk', 0, 6 * {HOUR_US}), (2, 'platform duty', 6 * {HOUR_US}, 18 * {HOUR_US}),
+  (3, 'duty director', 24 * {HOUR_US}, 30 * {HOUR_US})) v(level, target, offset_us, wait_us)""")
 
 
 def _contact(level: str, at: str) -> str:
     since = f"(epoch_us({at}) - epoch_us(TIMESTAMP '2024-01-05'))"
     return (
-        f"CASE {level} WHEN 2 THEN 'secondary' WHEN 3 THEN 'eng-manager' ELSE"
-        f" CASE WHEN {since} < 0 THEN 'primary-a' WHEN ({since} // (60 * {HOUR_US})) % 2 = 0 THEN 'primary-a' ELSE 'primary-b' END END"
+        f"CASE {level} WHEN 2 THEN 'platform' WHEN 3 THEN 'director' ELSE"
+        f" CASE WHEN {since} < 0 THEN 'desk east' WHEN ({since} // (60 * {HOUR_US})) % 2 = 0 THEN 'desk east' ELSE 'desk west' END END"
     )
 
 
@@ -297,7 +296,7 @@ _cte("starts", "SELECT * FROM watched WHERE stopped_at IS NULL OR stopped_at > s
 NOTE_NS = "1b4e28ba-2fa1-11d2-883f-0016d3cca427"
 _cte("pages_", f"""
 SELECT {uuid5(NOTE_NS, "incident_id || ':' || level || ':' || reason")} AS id, *,
-  CASE WHEN contact = 'primary-b' THEN 'http://hooks/b' ELSE '' END AS contact_address
+  CASE WHEN contact = 'desk west' THEN 'http://pager/west' ELSE '' END AS contact_address
 FROM (
   SELECT s.id AS incident_id, l.level, l.target, {_contact('l.level', ts('epoch_us(s.started_at) + l.offset_us'))} AS contact,
     'escalation' AS reason, {ts('epoch_us(s.started_at) + l.offset_us')} AS sent_at
@@ -308,9 +307,9 @@ FROM (
     AND (stopped_at IS NULL OR stopped_at > started_at + INTERVAL 24 HOUR)
 )""", "starts", "levels_")
 _cte("notes", """
-SELECT id, incident_id, level, target, contact, CASE WHEN contact = 'primary-b' THEN 'webhook' ELSE 'log' END AS channel,
-  CASE WHEN contact = 'primary-b' AND hour(sent_at) % 2 = 1 THEN 'failed' ELSE 'sent' END AS status, sent_at,
-  CASE WHEN contact = 'primary-b' AND hour(sent_at) % 2 = 1 THEN 'webhook returned status 503' END AS error
+SELECT id, incident_id, level, target, contact, CASE WHEN contact = 'desk west' THEN 'webhook' ELSE 'log' END AS channel,
+  CASE WHEN contact = 'desk west' AND hour(sent_at) % 2 = 1 THEN 'failed' ELSE 'sent' END AS status, sent_at,
+  CASE WHEN contact = 'desk west' AND hour(sent_at) % 2 = 1 THEN 'webhook returned status 503' END AS error
 FROM pages_""", "pages_")
 
 # Remediation, step by step. Every incident but those of svc-7 runs the three-step runbook.
@@ -338,7 +337,7 @@ SELECT *, CASE WHEN s2 IS NULL OR s2 <> 'succeeded' THEN NULL WHEN resolved_at <
 
 
 def _gated(n: int, name: str, since: str, at: str, who: str, s: str) -> str:
-    common = f"SELECT incident_id, 'error-rate-response' AS runbook_id, {n} AS step_index, '{name}' AS step_name, 'webhook' AS action_kind, 'approval' AS mode"
+    common = f"SELECT incident_id, 'drain-then-fail-over' AS runbook_id, {n} AS step_index, '{name}' AS step_name, 'webhook' AS action_kind, 'approval' AS mode"
     return f"""
 {common}, 1 AS seq, 'skipped' AS status, '' AS actor, {since} AS "at" FROM step3 WHERE {s} = 'skipped'
 UNION ALL {common}, 1, 'pending', '', {since} FROM step3 WHERE {s} <> 'skipped'
@@ -349,11 +348,11 @@ UNION ALL {common}, 3, {s}, {who}, {at} FROM step3 WHERE {s} IN ('succeeded','fa
 
 
 _cte("log_", f"""
-SELECT incident_id, CASE WHEN service_name = 'svc-7' THEN 'svc-7' ELSE 'error-rate-response' END AS runbook_id, 1 AS step_index,
-  CASE WHEN service_name = 'svc-7' THEN 'note' ELSE 'capture diagnostics' END AS step_name, 'noop' AS action_kind, 'auto' AS mode,
+SELECT incident_id, CASE WHEN service_name = 'svc-7' THEN 'tag-only' ELSE 'drain-then-fail-over' END AS runbook_id, 1 AS step_index,
+  CASE WHEN service_name = 'svc-7' THEN 'tag the service' ELSE 'snapshot counters' END AS step_name, 'noop' AS action_kind, 'auto' AS mode,
   CASE WHEN s1 = 'skipped' THEN 1 ELSE 3 END AS seq, s1 AS status, '' AS actor, t0 AS "at" FROM step3
-UNION ALL {_gated(2, 'restart instances', 't0', 'at1', 'who1', 's2')}
-UNION ALL {_gated(3, 'shift traffic', 'at1', 'at2', 'who2', 's3')}""", "step3")
+UNION ALL {_gated(2, 'drain the pool', 't0', 'at1', 'who1', 's2')}
+UNION ALL {_gated(3, 'fail over', 'at1', 'at2', 'who2', 's3')}""", "step3")
 ACTION_NS = "6f1c2d3e-4a5b-11ee-be56-0242ac120002"
 _cte("actions_", f"""
 SELECT {uuid5(ACTION_NS, "incident_id || ':' || step_index")} AS id, incident_id, runbook_id, step_index, step_name, action_kind, mode,
@@ -430,8 +429,8 @@ FROM request_heads h LEFT JOIN (
   SELECT request_id, count(*) FILTER (why IS NULL) AS accepted, count(why) AS rejected, string_agg(idx || '|' || why, ';' ORDER BY idx) AS errors
   FROM (SELECT i.*, CASE WHEN damage = 'extra' THEN 'invalid_json|unknown field "extra"'
       WHEN damage = 'typed' THEN 'invalid_json|field tenant_id must be of type string'
-      WHEN i."offset" IN (SELECT "offset" FROM stream_problems) THEN 'validation_failed' END AS why FROM items i)
-  GROUP BY request_id) b USING (request_id)""", "request_heads", "items", "stream_problems"),
+      WHEN i."offset" IN (SELECT "offset" FROM api_problems) THEN 'validation_failed' END AS why FROM items i)
+  GROUP BY request_id) b USING (request_id)""", "request_heads", "items", "api_problems"),
     "severity_from_status": _with("""
 SELECT uid AS event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS severity,
   'request.completed' AS event_type, ts AS event_timestamp,
@@ -500,10 +499,13 @@ SELECT i.id, l.level, {_contact('l.level', 'i.opened_at')} AS contact, CAST(l.of
     "escalation_timeline": _with("SELECT id, incident_id, level, target, contact, contact_address, reason, sent_at FROM pages_", "pages_"),
     "notification_rows": _with("SELECT * FROM notes", "notes"),
     "match_runbook": _with("""
-SELECT id, CASE WHEN service_name = 'svc-7' THEN 'svc-7' ELSE 'error-rate-response' END AS runbook_id,
-  CASE WHEN service_name = 'svc-7' THEN 1 ELSE 3 END AS n_steps FROM inc""", "inc"),
+SELECT id, CASE WHEN event_count % 7 = 0 THEN NULL WHEN service_name = 'svc-7' THEN 'tag-only' WHEN event_count % 5 = 0 THEN 'hold-critical'
+    ELSE 'drain-then-fail-over' END AS runbook_id,
+  CASE WHEN event_count % 7 = 0 THEN NULL WHEN service_name = 'svc-7' OR event_count % 5 = 0 THEN 1 ELSE 3 END AS n_steps FROM inc""", "inc"),
     "remediation_starts": _with("""
-SELECT id, started_at, 'started' AS outcome, CASE WHEN service_name = 'svc-7' THEN 'svc-7' ELSE 'error-rate-response' END AS runbook_id FROM starts""", "starts"),
+SELECT id, started_at, CASE WHEN event_count % 7 = 0 THEN 'unmatched' ELSE 'started' END AS outcome,
+  CASE WHEN event_count % 7 = 0 THEN NULL WHEN service_name = 'svc-7' THEN 'tag-only' WHEN event_count % 5 = 0 THEN 'hold-critical'
+    ELSE 'drain-then-fail-over' END AS runbook_id FROM starts""", "starts"),
     "remediation_timeline": _with("SELECT * FROM log_", "log_"),
     "latest_action_status": _with("SELECT * FROM actions_", "actions_"),
     "step_outcome": _with("""
@@ -540,8 +542,8 @@ SELECT translate(rtrim(base64(encode({iso('event_timestamp')} || ',' || event_id
 SELECT incident_id, sent_at, level, target, status FROM notes WHERE incident_id = (SELECT max(incident_id) FROM notes)""", "notes"),
     "action_trail": _with("""
 SELECT incident_id, step_index, status, actor FROM actions_ WHERE incident_id = (SELECT max(incident_id) FROM actions_)""", "actions_"),
-    "unalerted_incidents": _with("SELECT id, opened_at FROM marked WHERE shown = 'open' AND event_count % 3 <> 0 ORDER BY opened_at, id LIMIT 50", "marked"),
-    "unremediated_incidents": _with("SELECT id, opened_at FROM marked WHERE shown = 'open' AND event_count % 4 <> 0 ORDER BY opened_at, id LIMIT 50", "marked"),
+    "unalerted_incidents": _with("SELECT id, opened_at FROM marked WHERE shown = 'open' AND event_count % 3 <> 0", "marked"),
+    "unremediated_incidents": _with("SELECT id, opened_at FROM marked WHERE shown = 'open' AND event_count % 4 <> 0", "marked"),
     "count_events": "SELECT count(*) AS total_events FROM events",
     "events_by_service_severity": _with("SELECT service_name, severity, count(*) AS events FROM telemetry GROUP BY 1, 2", "telemetry"),
     "id_uniqueness": _with("SELECT count(*) AS rows, count(DISTINCT n_id) AS distinct_event_ids FROM accepted", "accepted"),
@@ -550,20 +552,20 @@ SELECT incident_id, step_index, status, actor FROM actions_ WHERE incident_id =
 SELECT round(sum(event_id % 300 * 1000)::DOUBLE / count(*) / 1000, 2) AS avg_ms, round(max(event_id % 300)::DOUBLE, 2) AS max_ms FROM events"""
                               .replace("\n", " "), "base"),
     "recent_events": _with("""
-SELECT substr(uid, 1, 8) AS event_id, service_name, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS severity,
-  CASE event_type WHEN 'error' THEN '502' WHEN 'signup' THEN '409' ELSE '200' END AS status,
-  CAST(CAST(round(value * 1000) AS BIGINT) // 1000 AS VARCHAR) AS latency_ms, strftime(ts, '%H:%M:%S') AS "at"
+SELECT uid AS event_id, substr(uid, 1, 8) AS short_id, service_name, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS severity,
+  CASE event_type WHEN 'error' THEN '502' WHEN 'signup' THEN '409' ELSE '200' END AS http_status,
+  CAST(CAST(round(value * 1000) AS BIGINT) // 1000 AS VARCHAR) AS took_ms, strftime(ts, '%H:%M:%S') AS seen_at
 FROM base ORDER BY ts DESC, uid DESC LIMIT 10""", "base"),
     "incidents_by_status_severity": _with("SELECT status, severity, count(*) AS incidents FROM inc GROUP BY 1, 2", "inc"),
     "recent_incidents": _with("""
-SELECT substr(id, 1, 8) AS id, service_name, severity, status, event_count, strftime(last_seen_at, '%H:%M:%S') AS last_seen FROM (
+SELECT id, substr(id, 1, 8) AS short_id, service_name, severity, status, event_count, strftime(last_seen_at, '%H:%M:%S') AS active_at FROM (
   SELECT * FROM inc ORDER BY last_seen_at DESC, id DESC LIMIT 10)""", "inc"),
     "actions_by_runbook_status": _with("SELECT runbook_id, status, count(*) AS actions FROM actions_ GROUP BY 1, 2", "actions_"),
     "recent_actions": _with("""
-SELECT substr(incident_id, 1, 8) AS incident, step_index AS step, step_name, mode, status, actor, strftime(updated_at, '%H:%M:%S') AS updated FROM (
+SELECT incident_id, substr(incident_id, 1, 8) AS short_id, step_index, step_name, mode, status, actor, strftime(updated_at, '%H:%M:%S') AS changed_at FROM (
   SELECT * FROM actions_ ORDER BY updated_at DESC, incident_id DESC, step_index DESC LIMIT 10)""", "actions_"),
     "recent_notifications": _with("""
-SELECT substr(incident_id, 1, 8) AS incident, level, target, contact, channel, status, strftime(sent_at, '%H:%M:%S') AS sent FROM (
+SELECT incident_id, substr(incident_id, 1, 8) AS short_id, level, target, contact, channel, status, strftime(sent_at, '%H:%M:%S') AS paged_at FROM (
   SELECT * FROM notes ORDER BY sent_at DESC, incident_id DESC, level DESC, id LIMIT 10)""", "notes"),
     "backfill_partitions": _with("""
 SELECT CAST(event_timestamp AS DATE) AS event_date, count(*) AS rows, min(event_timestamp) AS first_at, max(event_timestamp) AS last_at FROM telemetry GROUP BY 1""", "telemetry"),

@@ -155,9 +155,7 @@ def read_event_batches(spark, sf):
 
 @query
 def batch_result(spark, sf):
-    events = contract.decode_events(_batch_items(spark, sf), raw="raw", strict=True)
-    events = contract.inherit_trace_id(contract.normalize_events(events), "request_trace")
-    judged = contract.check_time_bounds(contract.validate_events(events), given.NOW, max_age=None)
+    judged = batches.accept_batches(given.batch_requests(spark, sf), given.NOW, max_age=MAX_AGE)
     result = batches.batch_result(judged)
     named = F.transform("errors", lambda e: F.concat_ws("|", e["index"].cast("string"), e["error"], e["message"]))
     return result.select("request_id", "status", "accepted", "rejected", "batch_error", F.array_join(named, ";").alias("errors"))
@@ -193,7 +191,7 @@ def store_outcomes(spark, sf):
     """Outcome per row against a table that already holds the first half of the month."""
     arriving = _accepted(spark, sf)
     stored = given.telemetry(spark, sf).filter(F.col("event_timestamp") < instant(SINCE))
-    return dedupe.label_outcomes(arriving, stored, order_by=("offset",)).select("offset", "outcome")
+    return dedupe.label_outcomes(arriving, ("offset",), stored).select("offset", "outcome")
 
 
 @query
@@ -216,7 +214,7 @@ def append_events(spark, sf):
 
 @query
 def pipeline_metrics(spark, sf):
-    labelled = dedupe.label_outcomes(_accepted(spark, sf), order_by=("offset",))
+    labelled = dedupe.label_outcomes(_accepted(spark, sf), ("offset",))
     took = F.unix_micros("processed_at") - F.unix_micros("received_at")
     return reports.pipeline_metrics(labelled.withColumn("elapsed_us", took))
 
@@ -386,16 +384,24 @@ def notification_rows(spark, sf):
     return _notifications(_incidents(spark, sf)).withColumn("error", F.get_json_object("detail", "$.error")).drop("detail")
 
 
+def _varied(spark, sf):
+    """Incidents of two severities, some of a rule no runbook is for."""
+    return _incidents(spark, sf).withColumns({
+        "severity": F.when(F.pmod("event_count", F.lit(5)) == 0, F.lit("critical")).otherwise(F.col("severity")),
+        "rule_id": F.when(F.pmod("event_count", F.lit(7)) == 0, F.lit("another")).otherwise(F.col("rule_id")),
+    })
+
+
 @query
 def match_runbook(spark, sf):
-    return remediation.match_runbook(_incidents(spark, sf), given.steps(spark)).select(
+    return remediation.match_runbook(_varied(spark, sf), given.steps(spark)).select(
         "id", "runbook_id", F.size("steps").alias("n_steps")
     )
 
 
 @query
 def remediation_starts(spark, sf):
-    return remediation.remediation_starts(_incidents(spark, sf), given.steps(spark), poll=given.POLL).select(
+    return remediation.remediation_starts(_varied(spark, sf), given.steps(spark), poll=given.POLL).select(
         "id", "started_at", "outcome", "runbook_id"
     )
 
@@ -486,7 +492,7 @@ def filter_incidents(spark, sf):
 def get_incident(spark, sf):
     found = _incidents(spark, sf)
     first = found.agg(F.min("id")).scalar()
-    return found.filter(F.col("id") == first).select("id", "service_name", "status", "event_count")
+    return reads.get_incident(found, first).select("id", "service_name", "status", "event_count")
 
 
 @query
@@ -521,14 +527,14 @@ def cursor_codec(spark, sf):
 def notification_timeline(spark, sf):
     notes = written(_notifications(_incidents(spark, sf)), "notifications")
     some = notes.agg(F.max("incident_id")).scalar()
-    return notes.filter(F.col("incident_id") == some).orderBy("sent_at", "level").select("incident_id", "sent_at", "level", "target", "status")
+    return reads.notification_timeline(notes, some).select("incident_id", "sent_at", "level", "target", "status")
 
 
 @query
 def action_trail(spark, sf):
     done = written(_remediation(_incidents(spark, sf)), "actions")
     some = done.agg(F.max("incident_id")).scalar()
-    return done.filter(F.col("incident_id") == some).orderBy("step_index").select("incident_id", "step_index", "status", "actor")
+    return reads.action_trail(done, some).select("incident_id", "step_index", "status", "actor")
 
 
 def _marked(spark, sf):
@@ -720,7 +726,7 @@ def stream_ingest(spark, sf):
     for attempt in ("first", "again"):
         records = given.stream_records(spark, sf, given.stream_events(spark, sf)).drop("seq")
         start_ingest(
-            records, f"{path}/table", f"{path}/quarantine-{attempt}", f"{path}/checkpoint-{attempt}", clock=lambda: given.NOW, available_now=True
+            records, f"{path}/table", f"{path}/quarantine", f"{path}/checkpoint-{attempt}", clock=lambda: given.NOW, available_now=True
         ).awaitTermination()
     return tables.scan_events(spark, f"{path}/table").select("event_id", "event_timestamp", "tenant_id", "severity", "event_date")
 
@@ -728,7 +734,7 @@ def stream_ingest(spark, sf):
 def _window_stream(spark, sf):
     from tideline.streaming.detection import stream_windows
 
-    return stream_windows(given.telemetry(spark, sf, given.stream_events(spark, sf)), given.WINDOW, given.STEP)
+    return stream_windows(given.telemetry(spark, sf, given.stream_events(spark, sf)), given.WINDOW, given.STEP, late=timedelta(0))
 
 
 @query
@@ -753,5 +759,5 @@ def stateful_incidents(spark, sf):
     given.detections(spark, sf).write.parquet(log)
     fired = spark.readStream.schema(spark.read.parquet(log).schema).parquet(log)
     actions = given.operator_actions(spark, sf, given.stream_events(spark, sf))
-    changes = changelog(fired, given.STEP, given.RESOLVE_AFTER, actions)
+    changes = changelog(fired, given.STEP, given.RESOLVE_AFTER, timedelta(0), actions)
     return _settle(changes, spark, "changes").filter("change = 'opened'").select("id", "fingerprint", "opened_at", "event_count")

@@ -22,7 +22,6 @@ ACTION_NAMESPACE = "6f1c2d3e-4a5b-11ee-be56-0242ac120002"
 # Ours: incidents get a name-based id so that a replay reproduces it.
 INCIDENT_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 PAGE_DEFAULT = 50
-PAGE_MAX = 200
 PARTITION_PREFIX = "telemetry_events_"
 DEFAULT_PARTITION = "telemetry_events_default"
 

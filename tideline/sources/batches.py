@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators import contract
 from tideline.operators.contract import FIELD_ERRORS, single_json
-from tideline.schema import MAX_BATCH_EVENTS
 
 
-def explode_batches(requests: DataFrame, body: str = "body", max_events: int = MAX_BATCH_EVENTS) -> DataFrame:
+def explode_batches(requests: DataFrame, body: str = "body", max_events: int | None = None) -> DataFrame:
     """One row per event of an envelope ``{"events": [...]}`` with its ``index`` and its own JSON text ``raw``.
 
+    With ``max_events`` a larger request is refused as a whole (an API would pass ``MAX_BATCH_EVENTS``).
+
     A request refused as a whole keeps a single row with a null index and a ``batch_error``.
     """
     kept = [c for c in requests.columns if c != body]
@@ -30,18 +34,33 @@ def explode_batches(requests: DataFrame, body: str = "body", max_events: int = M
         .when(F.col("_kind").isNotNull() & ~F.col("_kind").startswith("ARRAY") & (F.col("_kind") != "VOID"),
               F.lit("invalid_json"))
         .when(F.col("_events").isNull() | (size == 0), F.lit("empty_batch"))
-        .when(size > max_events, F.lit("batch_too_large"))
     )
+    if max_events is not None:
+        refused = refused.when(size > max_events, F.lit("batch_too_large"))
     judged = opened.select(*kept, "_events", refused.alias("batch_error"))
     items = F.when(F.col("batch_error").isNull(), F.col("_events"))
     exploded = judged.select(*kept, "batch_error", F.posexplode_outer(items).alias("index", "_item"))
     return exploded.select(*kept, "batch_error", "index", F.to_json("_item").alias("raw"))
 
 
+def accept_batches(
+    requests: DataFrame, now: datetime, max_future: timedelta | None = timedelta(minutes=5), max_age: timedelta | None = timedelta(days=7),
+    max_events: int | None = None, request_trace: str = "request_trace",
+) -> DataFrame:
+    """The ingest side of one request: its events decoded strictly, traced, normalised, validated, and held to both time bounds.
+
+    One row per event (and one per request refused as a whole) with ``decode_error`` and ``errors``; ``batch_result``
+    sums them up.
+    """
+    events = contract.decode_events(explode_batches(requests, max_events=max_events), raw="raw", strict=True)
+    events = contract.inherit_trace_id(contract.normalize_events(events), request_trace)
+    return contract.check_time_bounds(contract.validate_events(events), now, max_future=max_future, max_age=max_age)
+
+
 def batch_result(validated: DataFrame) -> DataFrame:
     """One row per request: counts, status and the per-index errors in request order.
 
-    A request holds at most ``max_events`` events, so the collected error list is bounded.
+    A request is one document, so its list of errors fits where the request did.
     """
     event = F.col("index").isNotNull()
     undecodable = F.col("decode_error").isNotNull()

@@ -18,7 +18,7 @@ def _span(length: timedelta) -> str:
     return f"{micros(length)} microseconds"
 
 
-def stream_windows(events: DataFrame, window: timedelta, step: timedelta, late: timedelta = timedelta(0)) -> DataFrame:
+def stream_windows(events: DataFrame, window: timedelta, step: timedelta, late: timedelta) -> DataFrame:
     """Sliding per-service tallies ``[T - window, T)``; the watermark only concerns detection, not storage.
 
     Aggregation is partial per task before the state store is reached, so a busy service is combined
@@ -38,10 +38,6 @@ def stream_windows(events: DataFrame, window: timedelta, step: timedelta, late:
     )
 
 
-def stream_detections(windows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    return detect(windows, rules)
-
-
 def stream_incidents(windows: DataFrame, rule: Rule, step: timedelta, resolve_after: timedelta) -> DataFrame:
     """Incidents of one rule as sessions of its firing windows, emitted when they have gone quiet.
 

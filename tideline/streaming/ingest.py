@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,11 +22,11 @@ def checked(records: DataFrame, now: datetime, max_future: timedelta | None = ti
     return check_time_bounds(validate_events(events), now, max_future=max_future)
 
 
-def store_batch(records: DataFrame, batch_id: int, table_path: str, quarantine_path: str, now: datetime) -> dict[str, int]:
+def store_batch(records: DataFrame, batch_id: int, table_path: str, quarantine_path: str, now: datetime, run: str = "run") -> dict[str, int]:
     """One micro-batch: append what is valid, set the rest aside, and count the outcomes.
 
     Safe to repeat. Valid rows are inserted if absent, and the refused ones overwrite the folder of
-    their batch. The record timestamp is when the event was received; storing it makes it processed.
+    their run and batch; ``run`` stands for one checkpoint, so batch 0 of another never replaces them. The record timestamp is when the event was received; storing it makes it processed.
     """
     # Used three times below; if an executor is lost its blocks are computed again from the source.
     batch = checked(records, now).persist()
@@ -33,7 +34,7 @@ def store_batch(records: DataFrame, batch_id: int, table_path: str, quarantine_p
         accepted, refused = split_valid(batch)
         seen = Observation()
         refused = refused.observe(seen, F.count(F.lit(1)).alias("rows"))
-        refused.write.mode("overwrite").parquet(f"{quarantine_path.rstrip('/')}/batch_id={batch_id}")
+        refused.write.mode("overwrite").parquet(f"{quarantine_path.rstrip('/')}/run={run}/batch_id={batch_id}")
         rows = accepted.withColumns({
             "received_at": F.coalesce("timestamp", F.lit(now)), "processed_at": F.lit(now),
         })
@@ -52,8 +53,10 @@ def start_ingest(
 
     No watermark stands before the table: a late event is stored however old it is.
     """
+    run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        outcomes = store_batch(batch, batch_id, table_path, quarantine_path, clock())
+        outcomes = store_batch(batch, batch_id, table_path, quarantine_path, clock(), run)
         if on_outcomes is not None:
             on_outcomes(batch_id, outcomes)
 
@@ -61,6 +64,11 @@ def start_ingest(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def read_quarantine(spark: SparkSession, quarantine_path: str) -> DataFrame:
+    """Every refused record once, however many runs refused it: one row per log position."""
+    return spark.read.parquet(quarantine_path).dropDuplicates(list(LOG_POSITION)).drop("run", "batch_id")
+
+
 def dedupe_stream(events: DataFrame, delay: timedelta) -> DataFrame:
     """Drop redeliveries that arrive close together before they reach the sink.
 

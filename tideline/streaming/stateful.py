@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -14,19 +15,20 @@ from tideline.functions.frames import from_us
 from tideline.functions.text import micros
 from tideline.operators.incidents import incident_id
 
-STATE = "opened long, last long, count long, acked long, details string"
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+STATE = "opened long, last long, count long, acked long, details string, waiting string"
 CHANGES = (
     "fingerprint string, change string, at_us long, opened_us long, last_us long, event_count long, action_id string, details string"
 )
 
 
-def _arrivals(detections: DataFrame, actions: DataFrame | None, step_us: int) -> DataFrame:
+def _arrivals(detections: DataFrame, actions: DataFrame | None, late: timedelta) -> DataFrame:
     """Both streams in one shape: what happened to a fingerprint, at which tick and in which order."""
-    none = F.lit(None)
+    none, delay = F.lit(None), f"{micros(late)} microseconds"
     fired = detections.select(
         "fingerprint", F.unix_micros("tick").alias("at_us"), F.col("tick").alias("seen_at"), F.lit(2).alias("phase"),
         F.lit("detection").alias("what"), "event_count", "new_event_count", none.cast("string").alias("action_id"), "details",
-    )
+    ).withWatermark("seen_at", delay)
     if actions is None:
         return fired
     # An action takes effect before the tick it is stamped on or before.
@@ -35,71 +37,91 @@ def _arrivals(detections: DataFrame, actions: DataFrame | None, step_us: int) ->
         F.when(F.col("action") == "acknowledge", F.lit(0)).otherwise(F.lit(1)).alias("phase"), F.col("action").alias("what"),
         none.cast("long").alias("event_count"), none.cast("long").alias("new_event_count"), "action_id",
         none.cast("string").alias("details"),
-    )
+    ).withWatermark("seen_at", delay)
     return fired.unionByName(asked)
 
 
 def stateful_incidents(
-    detections: DataFrame, step: timedelta, resolve_after: timedelta, actions: DataFrame | None = None,
-    late: timedelta = timedelta(0),
+    detections: DataFrame, step: timedelta, resolve_after: timedelta, late: timedelta, actions: DataFrame | None = None,
 ) -> DataFrame:
     """A changelog of incidents: opened, grouped, acknowledged, resolved, auto_resolved, rejected.
 
-    One row of state per fingerprint. Arrivals of a trigger are applied in time order; they are
-    detections (at most one per tick) and operator actions, never raw events. A quiet incident is
-    resolved when the watermark passes the tick that would have noticed.
+    One row of state per fingerprint. Arrivals are detections (at most one per tick) and operator actions, never raw
+    events. An action that runs ahead waits in the state until a later detection or the watermark reaches its time, so
+    triggers may cut the streams anywhere. A quiet incident is resolved when the watermark passes the tick that would
+    have noticed.
+
+    Each stream has a watermark of its own, ``late`` behind its newest row, and the slower one rules (Spark's default
+    policy): actions that run ahead never make detections late. So an action stream that falls silent holds timers
+    back; give it a heartbeat (any action on a target nobody has) where quiet hours are long. State is meant for the
+    RocksDB provider (``STATE_STORE``), which keeps it off the heap.
     """
     step_us = micros(step)
     quiet_us = (micros(resolve_after) // step_us + 1) * step_us
 
     def advance(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, last, count, acked, details = state.get if state.exists else (None, None, None, None, None)
+        opened, last, count, acked, details, held = state.get if state.exists else (None, None, None, None, None, None)
+        # Actions not yet due, in order: (time, phase, id, what).
+        waiting = json.loads(held or "[]")
+        watermark = state.getCurrentWatermarkMs() * 1000
         out = []
 
         def note(change: str, at: int, action_id: str | None = None) -> None:
             out.append((key[0], change, at, opened, last, count, action_id, details))
 
+        def forget() -> None:
+            nonlocal opened, last, count, acked, details
+            opened = last = count = acked = details = None
+
         def close_if_quiet(now: int, reached: bool) -> None:
             """An action at the closing tick still comes first; a later arrival finds the incident closed."""
-            nonlocal opened, last, count, acked, details
             due = None if opened is None else last + quiet_us
             if due is not None and (now >= due if reached else now > due):
                 note("auto_resolved", due)
-                opened = last = count = acked = details = None
+                forget()
 
-        if state.hasTimedOut:
-            close_if_quiet(state.getCurrentWatermarkMs() * 1000, reached=True)
-        else:
+        def act_until(now: int) -> None:
+            nonlocal acked
+            while waiting and waiting[0][0] <= now:
+                at, _, action_id, what = waiting.pop(0)
+                close_if_quiet(at, reached=False)
+                if opened is None or (what == "acknowledge" and acked):
+                    note("rejected", at, action_id)
+                elif what == "acknowledge":
+                    acked = 1
+                    note("acknowledged", at, action_id)
+                else:
+                    note("resolved", at, action_id)
+                    forget()
+
+        if not state.hasTimedOut:
             rows = pd.concat(list(batches)).sort_values(["at_us", "phase", "action_id"], kind="stable")
-            for row in rows.itertuples(index=False):
+            asked = rows[rows.what != "detection"]
+            waiting = sorted(waiting + [[int(r.at_us), int(r.phase), r.action_id, r.what] for r in asked.itertuples(index=False)])
+            for row in rows[rows.what == "detection"].itertuples(index=False):
                 at = int(row.at_us)
+                act_until(at)
                 close_if_quiet(at, reached=False)
-                if row.what == "detection":
-                    if opened is None:
-                        opened, last, count, acked, details = at, at, int(row.event_count), 0, row.details
-                        note("opened", at)
-                    else:
-                        last, count = max(last, at), count + int(row.new_event_count)
-                        note("grouped", at)
-                elif opened is None or (row.what == "acknowledge" and acked):
-                    note("rejected", at, row.action_id)
-                elif row.what == "acknowledge":
-                    acked = 1
-                    note("acknowledged", at, row.action_id)
+                if opened is None:
+                    opened, last, count, acked, details = at, at, int(row.event_count), 0, row.details
+                    note("opened", at)
                 else:
-                    note("resolved", at, row.action_id)
-                    opened = last = count = acked = details = None
-        if opened is None:
+                    last, count = max(last, at), count + int(row.new_event_count)
+                    note("grouped", at)
+        # What lies behind the watermark meets no detection any more.
+        act_until(watermark)
+        close_if_quiet(watermark, reached=True)
+        if opened is None and not waiting:
             if state.exists:
                 state.remove()
         else:
-            state.update((opened, last, count, acked, details))
-            # Not before the watermark itself: a late detection may leave an incident that is due at once.
-            state.setTimeoutTimestamp(max((last + quiet_us) // 1000, state.getCurrentWatermarkMs() + 1))
+            state.update((opened, last, count, acked, details, json.dumps(waiting) if waiting else None))
+            next_at = min([at for at, *_ in waiting[:1]] + ([] if opened is None else [last + quiet_us]))
+            # Rounded up, and not before the watermark itself: a late detection may leave an incident due at once.
+            state.setTimeoutTimestamp(max(-(-next_at // 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
 
-    arrivals = _arrivals(detections, actions, step_us).withWatermark("seen_at", f"{micros(late)} microseconds")
-    changes = arrivals.groupBy("fingerprint").applyInPandasWithState(
+    changes = _arrivals(detections, actions, late).groupBy("fingerprint").applyInPandasWithState(
         advance, CHANGES, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     opened_at = from_us(F.col("opened_us"))
