@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.text import duration_literal, fingerprint, micros
+from tideline.operators.windows import replay_windows
 from tideline.schema import DETECTION, RULE
 
 
@@ -46,8 +47,10 @@ def error_rate(judged: DataFrame) -> DataFrame:
         F.col("errors").alias("error_count"), rate.alias("error_rate"), "kind", F.col("id").alias("rule_id"),
         "threshold", F.col("total").alias("total_events"), F.col("window_text").alias("window"),
     ))
+    # A stream's window struct carries its watermark along.
+    carried = [c for c in judged.columns if c == "window"]
     return judged.filter(fires).select(
-        "tick", F.col("id").alias("rule_id"), "tenant_id", "service_name",
+        *carried, "tick", F.col("id").alias("rule_id"), "tenant_id", "service_name",
         fingerprint(F.col("id"), F.col("tenant_id"), F.col("service_name")).alias("fingerprint"),
         title.alias("title"), F.col("incident_severity").alias("severity"),
         F.col("errors").alias("event_count"), F.col("new_errors").alias("new_event_count"), details.alias("details"),
@@ -64,6 +67,17 @@ def _rules_value(rules: Sequence[Rule]) -> Column:
     ])
 
 
+def evaluate_rules(events: DataFrame, rules: Sequence[Rule], step: timedelta, **replay) -> DataFrame:
+    """Every rule at every tick: the windows a rule set needs come from one pass, each distinct lookback counted once.
+
+    ``replay`` goes to ``replay_windows`` (mode, start, until).
+    """
+    wanted = {r.window for r in rules if r.kind in RULES}
+    if not wanted:
+        return events.sparkSession.createDataFrame([], DETECTION)
+    return detect(replay_windows(events, sorted(wanted), step, **replay), rules)
+
+
 def detect(windows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Every rule against every service window of its own lookback; a kind nobody registered never fires.
 

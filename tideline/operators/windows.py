@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -29,11 +30,14 @@ def window_stats(df: DataFrame, since: datetime, count_since: datetime) -> DataF
 
 
 def replay_windows(
-    df: DataFrame, window: timedelta, step: timedelta, mode: str = "inclusive",
+    df: DataFrame, window: timedelta | Sequence[timedelta], step: timedelta, mode: str = "inclusive",
     start: datetime | None = None, until: datetime | None = None,
 ) -> DataFrame:
     """``window_stats`` of every tick of a fixed cadence, from one pass over the events.
 
+    Several lookbacks share the pass: each row meets every one of them before it is counted, and ``window_us`` tells
+    the tallies apart.
+
     ``inclusive`` replays the evaluator: tick T sees the rows processed by T whose time is at or after
     ``T - window``; an error is new when it is at or after the previous tick, so one stamped exactly on a
     tick counts twice. ``half_open`` is the event-time form ``[T - window, T)`` that a stream computes,
@@ -44,9 +48,11 @@ def replay_windows(
     (few distinct runs per step, combined on the map side); only those counts are spread over the
     ticks, so the explode never multiplies raw rows and one busy service is a handful of counts.
     """
-    w, d = micros(window), micros(step)
-    if w <= 0 or d <= 0:
-        raise ValueError("window and step must be positive")
+    d = micros(step)
+    lookbacks = sorted({micros(w) for w in ([window] if isinstance(window, timedelta) else window)})
+    if not lookbacks or lookbacks[0] <= 0 or d <= 0:
+        raise ValueError("windows and step must be positive")
+    w = F.col("_w")
     ts, seen = F.unix_micros("event_timestamp"), F.unix_micros("processed_at")
     if mode == "inclusive":
         first, last, last_new = ceil_div(seen, d), floor_div(ts + w, d), floor_div(ts + d, d)
@@ -59,23 +65,23 @@ def replay_windows(
     if until is not None:
         last = F.least(last, floor_div(F.lit(epoch_us(until)), d))
     runs = (
-        df.select(*SERVICE, is_error().alias("_error"), first.alias("_first"), last.alias("_last"),
+        df.withColumn("_w", F.explode(F.array(*(F.lit(w).cast("long") for w in lookbacks)))).select("_w", *SERVICE, is_error().alias("_error"), first.alias("_first"), last.alias("_last"),
                   F.least(last, last_new).alias("_last_new"))
         # sequence() counts down when its bounds are reversed: an unseen event has no ticks.
         .filter("_first <= _last")
-        .groupBy(*SERVICE, "_first", "_last", "_last_new")
+        .groupBy("_w", *SERVICE, "_first", "_last", "_last_new")
         .agg(F.count(F.lit(1)).alias("_total"), F.count_if("_error").alias("_errors"))
     )
     ticks = runs.select(
-        *SERVICE, "_total", "_errors", "_last_new", F.explode(F.sequence("_first", "_last")).alias("_tick")
+        "_w", *SERVICE, "_total", "_errors", "_last_new", F.explode(F.sequence("_first", "_last")).alias("_tick")
     )
     fresh = F.col("_tick") <= F.col("_last_new")
     if start is not None:
         fresh = fresh | (F.col("_tick") == ceil_div(F.lit(epoch_us(start)), d))
     return (
-        ticks.groupBy("_tick", *SERVICE)
+        ticks.groupBy("_w", "_tick", *SERVICE)
         .agg(F.sum("_total").alias("total"), F.sum("_errors").alias("errors"),
              F.sum(F.when(fresh, F.col("_errors")).otherwise(F.lit(0))).alias("new_errors"))
-        .select(from_us(F.col("_tick") * F.lit(d)).alias("tick"), F.lit(w).cast("long").alias("window_us"),
+        .select(from_us(F.col("_tick") * F.lit(d)).alias("tick"), F.col("_w").alias("window_us"),
                 *SERVICE, "total", "errors", "new_errors")
     )

@@ -166,26 +166,37 @@ SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY "offset") - 1 AS INTEG
 FROM requests_ WHERE batch_error IS NULL""", "requests_")
 _cte("request_heads", "SELECT r, request_id, max(batch_error) AS batch_error FROM requests_ GROUP BY r, request_id", "requests_")
 
-_cte("windows72", f"""
-SELECT t.tick, 259200000000 AS window_us, tenant_id, service_name, count(*) AS total,
+START = "(SELECT date_trunc('day', min(ts)) + INTERVAL 1 DAY FROM events)"
+HORIZON = "(SELECT date_trunc('day', max(ts)) + INTERVAL 4 DAY FROM events)"
+
+
+def _windows(days: int) -> str:
+    return f"""
+SELECT t.tick, {days * DAY_US} AS window_us, tenant_id, service_name, count(*) AS total,
   count(*) FILTER (severity IN ('error','critical')) AS errors,
-  count(*) FILTER (severity IN ('error','critical') AND (event_timestamp >= t.tick - INTERVAL 1 DAY OR t.tick = TIMESTAMP '2024-01-02')) AS new_errors
-FROM telemetry e, (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-02-03', INTERVAL 1 DAY)) AS tick) t
-WHERE e.processed_at <= t.tick AND e.event_timestamp >= t.tick - INTERVAL 3 DAY
-GROUP BY ALL""", "telemetry")
+  count(*) FILTER (severity IN ('error','critical') AND (event_timestamp >= t.tick - INTERVAL 1 DAY OR t.tick = {START})) AS new_errors
+FROM telemetry e, (SELECT unnest(generate_series({START}, {HORIZON}, INTERVAL 1 DAY)) AS tick) t
+WHERE e.processed_at <= t.tick AND e.event_timestamp >= t.tick - INTERVAL {days} DAY
+GROUP BY ALL"""
+
+
+_cte("windows72", _windows(3), "telemetry")
+_cte("windows48", _windows(2), "telemetry")
 
 
-def _detect(rule: str, name: str, threshold: str, severity: str) -> str:
+def _detect(rule: str, name: str, threshold: str, severity: str, windows: str = "windows72", least: int = 5, text: str = "72h0m0s") -> str:
     return f"""
 SELECT tick, '{rule}' AS rule_id, tenant_id, service_name, '{rule}' || chr(31) || tenant_id || chr(31) || service_name AS fingerprint,
   '{name}: ' || CAST(round_even(errors / total * 100, 0) AS BIGINT) || '% error rate on ' || service_name || ' (' || errors
-    || ' of ' || total || ' events over 72h0m0s)' AS title,
-  '{severity}' AS severity, errors AS event_count, new_errors AS new_event_count, total AS total_events, '72h0m0s' AS window_text
-FROM windows72 WHERE total >= 5 AND errors / total >= {threshold}"""
+    || ' of ' || total || ' events over {text})' AS title,
+  '{severity}' AS severity, errors AS event_count, new_errors AS new_event_count, total AS total_events, '{text}' AS window_text,
+  round(errors / total, 9) AS error_rate, CAST({threshold} AS DOUBLE) AS threshold
+FROM {windows} WHERE total >= {least} AND errors / total >= {threshold}"""
 
 
 _cte("det", _detect("error_rate", "elevated error rate", "0.4", "error"), "windows72")
 _cte("det_burst", _detect("error_burst", "error burst", "0.5", "critical"), "windows72")
+_cte("det_spike", _detect("error_spike", "error spike", "0.5", "critical", "windows48", 4, "48h0m0s"), "windows48")
 _cte("no_acts", "SELECT '' AS target, '' AS action, TIMESTAMP '2024-01-01' AS at WHERE false")
 _cte("acts", """
 SELECT 'error_rate' || chr(31) || tenant_id || chr(31) || service_name AS target,
@@ -213,14 +224,14 @@ FROM numbered{suffix} GROUP BY fingerprint, run""", f"numbered{suffix}")
     _cte(f"closed{suffix}", f"""
 SELECT r.*, r.last_seen_at + INTERVAL 2 DAY AS auto_at,
   (SELECT min(a."at") FROM {acts} a WHERE a.target = r.fingerprint AND a.action = 'resolve' AND a."at" > r.last_seen_at
-     AND a."at" <= r.last_seen_at + INTERVAL 2 DAY AND a."at" <= TIMESTAMP '2024-02-03') AS hand_at
+     AND a."at" <= r.last_seen_at + INTERVAL 2 DAY AND a."at" <= {HORIZON}) AS hand_at
 FROM runs{suffix} r""", f"runs{suffix}", acts)
     _cte(f"ended{suffix}", f"""
-SELECT *, coalesce(hand_at, CASE WHEN auto_at <= TIMESTAMP '2024-02-03' THEN auto_at END) AS resolved_at FROM closed{suffix}""",
+SELECT *, coalesce(hand_at, CASE WHEN auto_at <= {HORIZON} THEN auto_at END) AS resolved_at FROM closed{suffix}""",
          f"closed{suffix}")
     _cte(f"acked{suffix}", f"""
 SELECT e.*, (SELECT min(a."at") FROM {acts} a WHERE a.target = e.fingerprint AND a.action = 'acknowledge' AND a."at" > e.opened_at
-    AND a."at" <= coalesce(e.resolved_at, TIMESTAMP '2024-02-03')) AS acknowledged_at FROM ended{suffix} e""", f"ended{suffix}", acts)
+    AND a."at" <= coalesce(e.resolved_at, {HORIZON})) AS acknowledged_at FROM ended{suffix} e""", f"ended{suffix}", acts)
     _cte(f"inc{suffix}", f"""
 SELECT {_INCIDENT_ID} AS id, fingerprint, tenant_id, service_name, rule_id, title, severity,
   CASE WHEN resolved_at IS NOT NULL THEN 'resolved' WHEN acknowledged_at IS NOT NULL THEN 'acknowledged' ELSE 'open' END AS status,
@@ -235,20 +246,28 @@ _incidents("acts", "")
 
 _cte("seeds", "SELECT fingerprint, tick AS opened_at, event_count AS first_count FROM det", "det")
 # What a stream sees: event-time windows, and the firings among them.
-_cte("live_windows", """
-SELECT t.tick, 259200000000 AS window_us, tenant_id, service_name, count(*) AS total,
+def _live(suffix: str, days: int, rule: str, severity: str, least: int, threshold: str) -> None:
+    _cte(f"live_windows{suffix}", f"""
+SELECT t.tick, {days * DAY_US} AS window_us, tenant_id, service_name, count(*) AS total,
   count(*) FILTER (severity IN ('error','critical')) AS errors,
   count(*) FILTER (severity IN ('error','critical') AND event_timestamp >= t.tick - INTERVAL 1 DAY) AS new_errors
-FROM telemetry e, (SELECT unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS tick) t
-WHERE e.event_timestamp < t.tick AND e.event_timestamp >= t.tick - INTERVAL 3 DAY GROUP BY ALL""", "telemetry")
-_cte("live_fired", """
-SELECT *, 'error_rate' || chr(31) || tenant_id || chr(31) || service_name AS fingerprint, lag(tick) OVER (PARTITION BY tenant_id, service_name ORDER BY tick) AS prev
-FROM live_windows WHERE total >= 5 AND errors / total >= 0.4 AND tick <= (SELECT max(event_timestamp) FROM telemetry)""", "live_windows", "telemetry")
-_cte("live_numbered", f"""
-SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(tick) - epoch_us(prev) >= 3 * {DAY_US} THEN 1 ELSE 0 END) OVER (PARTITION BY fingerprint ORDER BY tick) AS run FROM live_fired""", "live_fired")
-_cte("live_runs", """
-SELECT fingerprint, run, any_value(tenant_id) AS tenant_id, any_value(service_name) AS service_name, min(tick) AS opened_at, max(tick) AS last_seen_at,
-  arg_min(errors, tick) + sum(new_errors) - arg_min(new_errors, tick) AS event_count FROM live_numbered GROUP BY fingerprint, run""", "live_numbered")
+FROM telemetry e, (SELECT unnest(generate_series({START} - INTERVAL 3 DAY, {HORIZON} + INTERVAL 3 DAY, INTERVAL 1 DAY)) AS tick) t
+WHERE e.event_timestamp < t.tick AND e.event_timestamp >= t.tick - INTERVAL {days} DAY GROUP BY ALL""", "telemetry")
+    _cte(f"live_fired{suffix}", f"""
+SELECT *, '{rule}' || chr(31) || tenant_id || chr(31) || service_name AS fingerprint, lag(tick) OVER (PARTITION BY tenant_id, service_name ORDER BY tick) AS prev
+FROM live_windows{suffix} WHERE total >= {least} AND errors / total >= {threshold} AND tick <= (SELECT max(event_timestamp) FROM telemetry)""",
+         f"live_windows{suffix}", "telemetry")
+    _cte(f"live_numbered{suffix}", f"""
+SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(tick) - epoch_us(prev) >= 3 * {DAY_US} THEN 1 ELSE 0 END) OVER (PARTITION BY fingerprint ORDER BY tick) AS run
+FROM live_fired{suffix}""", f"live_fired{suffix}")
+    _cte(f"live_runs{suffix}", f"""
+SELECT fingerprint, '{rule}' AS rule_id, '{severity}' AS severity, run, any_value(tenant_id) AS tenant_id, any_value(service_name) AS service_name,
+  min(tick) AS opened_at, max(tick) AS last_seen_at,
+  arg_min(errors, tick) + sum(new_errors) - arg_min(new_errors, tick) AS event_count FROM live_numbered{suffix} GROUP BY fingerprint, run""", f"live_numbered{suffix}")
+
+
+_live("", 3, "error_rate", "error", 5, "0.4")
+_live("48", 2, "error_spike", "critical", 4, "0.5")
 
 # The operator log by incident id.
 _cte("stored_inc", "SELECT * REPLACE (CASE WHEN event_count % 4 = 0 THEN status ELSE 'open' END AS status) FROM inc_0", "inc_0")
@@ -465,6 +484,7 @@ FROM telemetry e, (SELECT unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTA
 WHERE e.event_timestamp < t.tick AND e.event_timestamp >= t.tick - INTERVAL 48 HOUR GROUP BY ALL""", "telemetry"),
     "detect_error_rate": _with("SELECT * FROM det", "det"),
     "rules_x_windows": _with("SELECT * FROM det UNION ALL SELECT * FROM det_burst", "det", "det_burst"),
+    "rules_two_lookbacks": _with("SELECT * FROM det UNION ALL SELECT * FROM det_spike", "det", "det_spike"),
     "incident_islands": _with("SELECT * FROM inc_0", "inc_0"),
     "incidents_with_actions": _with("SELECT * FROM inc", "inc"),
     "cycle_metrics": _with("""
@@ -601,8 +621,9 @@ SELECT DISTINCT n_id AS event_id, event_timestamp, n_tenant AS tenant_id, n_seve
 FROM accepted WHERE n % 230 <> 0 AND (n % 250 = 0 OR (n % 270 <> 0 AND n % 290 <> 0))""", "accepted"),
     "stream_windows": _with("SELECT * FROM live_windows WHERE tick <= (SELECT max(event_timestamp) FROM telemetry)", "live_windows", "telemetry"),
     "stream_incidents": _with(f"""
-SELECT {_INCIDENT_ID} AS id, fingerprint, tenant_id, service_name, 'error_rate' AS rule_id, 'error' AS severity, CAST(event_count AS BIGINT) AS event_count,
+SELECT {_INCIDENT_ID} AS id, fingerprint, tenant_id, service_name, rule_id, severity, CAST(event_count AS BIGINT) AS event_count,
   opened_at, last_seen_at, last_seen_at + INTERVAL 2 DAY AS resolved_at
-FROM live_runs WHERE last_seen_at + INTERVAL 60 HOUR - INTERVAL 1 MICROSECOND <= (SELECT max(event_timestamp) FROM telemetry)""", "live_runs", "telemetry"),
+FROM (SELECT * FROM live_runs UNION ALL SELECT * FROM live_runs48)
+WHERE last_seen_at + INTERVAL 60 HOUR - INTERVAL 1 MICROSECOND <= (SELECT max(event_timestamp) FROM telemetry)""", "live_runs", "live_runs48", "telemetry"),
     "stateful_incidents": _with("SELECT id, fingerprint, opened_at, first_count AS event_count FROM inc JOIN seeds USING (fingerprint, opened_at)", "inc", "seeds"),
 }

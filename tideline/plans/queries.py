@@ -246,6 +246,8 @@ def _detections_flat(found):
         "tick", "rule_id", "tenant_id", "service_name", "fingerprint", "title", "severity", "event_count", "new_event_count",
         F.get_json_object("details", "$.total_events").cast("bigint").alias("total_events"),
         F.get_json_object("details", "$.window").alias("window_text"),
+        F.round(F.get_json_object("details", "$.error_rate").cast("double"), 9).alias("error_rate"),
+        F.get_json_object("details", "$.threshold").cast("double").alias("threshold"),
     )
 
 
@@ -254,10 +256,18 @@ def rules_x_windows(spark, sf):
     return _detections_flat(detect.detect(given.windows(spark, sf), given.SPARSE_RULES))
 
 
+@query
+def rules_two_lookbacks(spark, sf):
+    """A rule set with two lookbacks, from one pass over the events."""
+    start, until = given.span(spark, sf)
+    found = detect.evaluate_rules(given.telemetry(spark, sf), given.TWO_LOOKBACKS, given.STEP, start=start, until=until)
+    return _detections_flat(found)
+
+
 @query
 def incident_islands(spark, sf):
     """Grouping and auto-resolve alone."""
-    found = incidents.incidents_from_detections(given.detections(spark, sf), given.STEP, given.RESOLVE_AFTER, given.HORIZON)
+    found = incidents.incidents_from_detections(given.detections(spark, sf), given.STEP, given.RESOLVE_AFTER, given.span(spark, sf)[1])
     return found.drop("details")
 
 
@@ -271,13 +281,13 @@ def cycle_metrics(spark, sf):
     found = given.detections(spark, sf)
     found = written(found, "detections")
     return incidents.cycle_metrics(
-        found, incidents.incidents_from_detections(found, given.STEP, given.RESOLVE_AFTER, given.HORIZON)
+        found, incidents.incidents_from_detections(found, given.STEP, given.RESOLVE_AFTER, given.span(spark, sf)[1])
     )
 
 
 def _open_incidents(spark, sf):
     """What the detector alone leaves, as if nobody had acted: the input of the operator log."""
-    found = incidents.incidents_from_detections(given.detections(spark, sf), given.STEP, given.RESOLVE_AFTER, given.HORIZON)
+    found = incidents.incidents_from_detections(given.detections(spark, sf), given.STEP, given.RESOLVE_AFTER, given.span(spark, sf)[1])
     found = written(found, "open-incidents")
     return found.withColumn("status", F.when(F.pmod("event_count", F.lit(4)) == 0, F.col("status")).otherwise(F.lit("open")))
 
@@ -731,10 +741,10 @@ def stream_ingest(spark, sf):
     return tables.scan_events(spark, f"{path}/table").select("event_id", "event_timestamp", "tenant_id", "severity", "event_date")
 
 
-def _window_stream(spark, sf):
+def _window_stream(spark, sf, window=given.WINDOW):
     from tideline.streaming.detection import stream_windows
 
-    return stream_windows(given.telemetry(spark, sf, given.stream_events(spark, sf)), given.WINDOW, given.STEP, late=timedelta(0))
+    return stream_windows(given.telemetry(spark, sf, given.stream_events(spark, sf)), window, given.STEP, late=timedelta(0))
 
 
 @query
@@ -744,10 +754,14 @@ def stream_windows(spark, sf):
 
 @query
 def stream_incidents(spark, sf):
-    """Incidents the session chain has closed by the end of the input."""
+    """Incidents of two rules of different lookbacks, as far as the session chain has closed them by the end of the input."""
     from tideline.streaming.detection import stream_incidents as sessions
 
-    return _settle(sessions(_window_stream(spark, sf), given.RULES[0], given.STEP, given.RESOLVE_AFTER), spark, "sessions")
+    found = [
+        _settle(sessions(_window_stream(spark, sf, window), given.TWO_LOOKBACKS, given.STEP, given.RESOLVE_AFTER), spark, "sessions")
+        for window in sorted({r.window for r in given.TWO_LOOKBACKS})
+    ]
+    return found[0].unionByName(found[1])
 
 
 @query

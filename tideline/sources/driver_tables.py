@@ -25,10 +25,9 @@ EVENTS_DDL = "event_id bigint, ts timestamp, user_id bigint, event_type string,
 STEP = timedelta(hours=24)
 WINDOW = timedelta(hours=72)
 RESOLVE_AFTER = timedelta(hours=24)
-START = datetime(2024, 1, 2)
-HORIZON = datetime(2024, 2, 3)
 NOW = datetime(2024, 1, 31)
 RULES = (Rule(id="error_rate", window=WINDOW, threshold=0.4, min_events=5, incident_severity="error"),)
+TWO_LOOKBACKS = (*RULES, Rule(id="error_spike", name="error spike", window=timedelta(hours=48), threshold=0.5, min_events=4, incident_severity="critical"))
 SPARSE_RULES = (
     *RULES,
     Rule(id="error_burst", name="error burst", window=WINDOW, threshold=0.5, min_events=5, incident_severity="critical"),
@@ -170,8 +169,16 @@ def stream_records(spark: SparkSession, sf_dir: str, events: DataFrame | None =
     )
 
 
+def span(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime]:
+    """First and last tick of a replay: a day into the table, and when its last windows have emptied (one aggregate)."""
+    low, high = read_events(spark, sf_dir).agg(F.date_trunc("day", F.min("ts")), F.date_trunc("day", F.max("ts"))).first()
+    low, high = low or datetime(1970, 1, 1), high or datetime(1970, 1, 1)
+    return low + STEP, high + STEP + WINDOW
+
+
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay_windows(telemetry(spark, sf_dir), WINDOW, STEP, start=START, until=HORIZON)
+    start, until = span(spark, sf_dir)
+    return replay_windows(telemetry(spark, sf_dir), WINDOW, STEP, start=start, until=until)
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +198,7 @@ def operator_actions(spark: SparkSession, sf_dir: str, events: DataFrame | None
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents_from_detections(
-        detections(spark, sf_dir), STEP, RESOLVE_AFTER, HORIZON, operator_actions(spark, sf_dir)
+        detections(spark, sf_dir), STEP, RESOLVE_AFTER, span(spark, sf_dir)[1], operator_actions(spark, sf_dir)
     )
 
 

@@ -38,31 +38,26 @@ def stream_windows(events: DataFrame, window: timedelta, step: timedelta, late:
     )
 
 
-def stream_incidents(windows: DataFrame, rule: Rule, step: timedelta, resolve_after: timedelta) -> DataFrame:
-    """Incidents of one rule as sessions of its firing windows, emitted when they have gone quiet.
+def stream_incidents(windows: DataFrame, rules: Sequence[Rule], step: timedelta, resolve_after: timedelta) -> DataFrame:
+    """Incidents as sessions of firing windows, emitted when they have gone quiet, for all rules of the registry.
 
+    A rule meets the windows of its own lookback, as in a replay; run one query for each lookback of a rule set.
     Two firings belong together while they are fewer than ``resolve_after // step + 2`` ticks apart. Firings
     lie on ticks, so a session gap half a tick short of that separates exactly those.
     Operator actions need ``stateful_incidents``.
     """
     quiet = micros(resolve_after) // micros(step)
     gap = timedelta(microseconds=(quiet + 1) * micros(step) + micros(step) // 2)
-    rate = F.col("errors") / F.col("total")
-    fired = windows.filter((F.col("total") >= rule.min_events) & (rate >= rule.threshold)).select(
-        "window", "tick", *SERVICE, "errors", "new_errors",
-    )
     # window_time is the last instant inside the window: tick - 1 microsecond, and it carries the watermark.
-    sessions = fired.groupBy(
-        F.session_window(F.window_time("window"), _span(gap)).alias("session"), *SERVICE
+    sessions = detect(windows, rules).groupBy(
+        F.session_window(F.window_time("window"), _span(gap)).alias("session"), "fingerprint", *SERVICE, "rule_id", "severity"
     ).agg(
         F.min("tick").alias("opened_at"), F.max("tick").alias("last_seen_at"),
-        F.min_by("errors", "tick").alias("_seed"), F.min_by("new_errors", "tick").alias("_first_new"),
-        F.sum("new_errors").alias("_new"),
+        F.min_by("event_count", "tick").alias("_seed"), F.min_by("new_event_count", "tick").alias("_first_new"),
+        F.sum("new_event_count").alias("_new"),
     )
-    key = F.concat_ws("\u001f", F.lit(rule.id), "tenant_id", "service_name")
     return sessions.select(
-        incident_id(key, F.col("opened_at")).alias("id"), key.alias("fingerprint"), *SERVICE, F.lit(rule.id).alias("rule_id"),
-        F.lit(rule.incident_severity).alias("severity"), (F.col("_seed") + F.col("_new") - F.col("_first_new")).alias("event_count"),
-        "opened_at", "last_seen_at",
+        incident_id(F.col("fingerprint"), F.col("opened_at")).alias("id"), "fingerprint", *SERVICE, "rule_id", "severity",
+        (F.col("_seed") + F.col("_new") - F.col("_first_new")).alias("event_count"), "opened_at", "last_seen_at",
         F.timestamp_micros(F.unix_micros("last_seen_at") + F.lit((quiet + 1) * micros(step))).alias("resolved_at"),
     )
