@@ -197,10 +197,3 @@ def uuid5(namespace: str, name: Column) -> Column:
         F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3),
         F.lit("-"), variant, F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12),
     )
-
-
-def severity_rank(severity: Column) -> Column:
-    """1 for the least urgent severity, 0 for one outside the vocabulary."""
-    from tideline.schema import SEVERITIES
-
-    return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity)

@@ -8,9 +8,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.frames import on_dates
+from tideline.functions.frames import instant, on_dates
 from tideline.schema import EVENT_KEY
-from tideline.sources.tables import exists, area, read_telemetry, with_event_date, write_daily
+from tideline.sources.tables import area, exists, read_telemetry, staged, with_event_date, write_daily
 
 
 def _order(order_by: Sequence[str]) -> list[Column]:
@@ -66,20 +66,26 @@ class AppendResult(NamedTuple):
 
 
 def append_events(
-    df: DataFrame, path: str, order_by: Sequence[str] = ("processed_at",), which: str = "daily"
+    df: DataFrame, path: str, order_by: Sequence[str] = ("processed_at",), which: str = "daily", is_staged: bool = False
 ) -> AppendResult:
     """Insert-if-absent into the day-partitioned table. Appending the same rows again adds nothing.
 
-    Only the days the new rows fall on are read back from the table.
+    The input is worked out once, into a staging folder; ``is_staged`` says that it is a stored table already. Of
+    the stored rows only the keys between the first and the last new time of the touched days are read back.
     """
-    spark = df.sparkSession
+    if not is_staged:
+        with staged(df, "append") as rows:
+            return append_events(rows, path, order_by, which, is_staged=True)
+    spark, moment = df.sparkSession, F.col("event_timestamp")
     # One row per day: as many as the days of the batch, never as many as its rows.
-    per_day = with_event_date(df).groupBy("event_date").count().collect()
+    per_day = with_event_date(df).groupBy("event_date").agg(F.count("*").alias("rows"), F.min(moment).alias("low"), F.max(moment).alias("high")).collect()
     fresh = dedupe_events(df, order_by=order_by)
-    if exists(spark, area(path, which)):
+    times = [t for r in per_day for t in (r["low"], r["high"]) if t is not None]
+    if times and exists(spark, area(path, which)):
         stored = on_dates(read_telemetry(spark, path, which), [r["event_date"] for r in per_day])
+        stored = stored.filter(moment.between(instant(min(times)), instant(max(times))))
         fresh = insert_if_absent(fresh, stored)
     written = Observation()
     write_daily(fresh, path, which, written=written)
     inserted = written.get["rows"]
-    return AppendResult(inserted, sum(r["count"] for r in per_day) - inserted)
+    return AppendResult(inserted, sum(r["rows"] for r in per_day) - inserted)

@@ -36,7 +36,8 @@ def nearest_rank(samples: DataFrame, keys: Sequence[str], value: str, quantiles:
     )
     # At most one bucket per key and quantile is left, with at most ``bucket`` distinct values each.
     within = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("_inside", F.sum("_n").over(within))
+    needed = counted.join(wanted.select(*keys, "_bucket").distinct(), [*keys, "_bucket"], "left_semi")
+    placed = needed.withColumn("_inside", F.sum("_n").over(within))
     hit = placed.join(wanted, [*keys, "_bucket"]).filter(
         (F.col("_below") + F.col("_inside") >= F.col("rank")) & (F.col("_below") + F.col("_inside") - F.col("_n") < F.col("rank"))
     )
@@ -98,9 +99,3 @@ def pipeline_metrics(outcomes: DataFrame, keys: Sequence[str] = ("outcome",), to
     return outcomes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("records"), F.sum(took).alias("sum_us"), F.min(took).alias("min_us"), F.max(took).alias("max_us"),
     ).withColumn("avg_ms", F.round(F.col("sum_us") / F.col("records") / 1000, 3))
-
-
-def observe_outcomes(df: DataFrame, observation: Observation | str, outcome: str = "outcome",
-                     values: Sequence[str] = ("stored", "duplicate", "invalid", "failed")) -> DataFrame:
-    """Count outcomes while the rows pass by; works in batch and on a stream."""
-    return df.observe(observation, *[F.count_if(F.col(outcome) == v).alias(v) for v in values])

@@ -391,7 +391,7 @@ ON s.incident_id = d.incident_id AND d."at" >= s.pending_at AND (s.ended_at IS N
 QUALIFY row_number() OVER (PARTITION BY d.incident_id, d.actor ORDER BY s.pending_at, s.step_index) = 1""", "decisions_", "spans")
 
 _cte("samples", """
-SELECT event_type AS path, event_id % 97 = 0 AS failed, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
+SELECT event_type AS path, event_id % 97 = 0 AS failed, CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 10 = 0 THEN 429 ELSE 200 END AS status,
   CAST(round(value * 1000) AS BIGINT) AS latency_us FROM events""")
 _cte("report", """
 SELECT path, 'work of ' || path AS work, count(*) FILTER (NOT failed) AS requests, count(*) FILTER (failed) AS failures,
@@ -409,6 +409,15 @@ _QUARANTINE_TEXT = "string_agg(field || ': ' || message, '; ' ORDER BY ord)"
 
 ORACLES: dict[str, str] = {
     "scan_events": _with("SELECT * FROM telemetry", "telemetry"),
+    "scan_incidents": _with("""
+SELECT * REPLACE (CASE WHEN event_count % 3 = 0 THEN updated_at + INTERVAL 1 SECOND ELSE updated_at END AS updated_at),
+  CASE WHEN event_count % 3 = 0 THEN updated_at END AS alerted_at, NULL::TIMESTAMP AS remediated_at FROM inc""", "inc"),
+    "scan_notifications": _with("SELECT * FROM notes", "notes"),
+    "scan_actions": _with("SELECT * FROM actions_", "actions_"),
+    "stored_window_stats": _with("""
+SELECT tenant_id, service_name, count(*) AS total, count(*) FILTER (severity IN ('error','critical')) AS errors,
+  count(*) FILTER (severity IN ('error','critical') AND event_timestamp >= TIMESTAMP '2024-01-22') AS new_errors
+FROM telemetry WHERE event_timestamp >= TIMESTAMP '2024-01-20' GROUP BY 1, 2""", "telemetry"),
     "write_event_stream": _with(f"""
 SELECT tenant_id || ':' || service_name AS record_key,
   '{{"event_id":"' || event_id || '","schema_version":"1.0","tenant_id":"' || tenant_id || '","service_name":"' || service_name
@@ -511,7 +520,11 @@ UNION ALL SELECT 'incidents', 'rule_id', count(*) FILTER (rule_id = '') FROM dam
 UNION ALL SELECT 'incidents', r, 0 FROM (VALUES ('fingerprint'), ('tenant_id'), ('service_name')) v(r)
 UNION ALL SELECT 'telemetry_events', 'severity', count(*) FILTER (n_severity NOT IN {SEVERITIES}) FROM dirty
 UNION ALL SELECT 'telemetry_events', 'tenant_id', count(*) FILTER (n_tenant = '') FROM dirty
-UNION ALL SELECT 'telemetry_events', r, 0 FROM (VALUES ('schema_version'), ('service_name'), ('event_type')) v(r)""", "damaged_inc", "dirty"),
+UNION ALL SELECT 'telemetry_events', r, 0 FROM (VALUES ('schema_version'), ('service_name'), ('event_type')) v(r)
+UNION ALL SELECT 'notifications', r, count(*) FILTER (level % 2 = 0) FROM notes, (VALUES ('contact'), ('status')) v(r) GROUP BY r
+UNION ALL SELECT 'notifications', r, 0 FROM (VALUES ('level'), ('target'), ('channel')) v(r)
+UNION ALL SELECT 'remediation_actions', r, count(*) FILTER (step_index = 1) FROM actions_, (VALUES ('mode'), ('step_name')) v(r) GROUP BY r
+UNION ALL SELECT 'remediation_actions', r, 0 FROM (VALUES ('step_index'), ('status'), ('runbook_id')) v(r)""", "damaged_inc", "dirty", "notes", "actions_"),
     "on_call_at": _with(f"""
 SELECT i.id, l.level, {_contact('l.level', 'i.opened_at')} AS contact, CAST(l.offset_us AS BIGINT) AS offset_us FROM inc i, levels_ l""", "inc", "levels_"),
     "first_ack_or_resolve": _with("SELECT id, stopped_at, signalled_at FROM watched", "watched"),
@@ -614,8 +627,9 @@ SELECT path, '| `' || path || '` | ' || work || ' | ' || format('{{:,}}', CAST(r
   || {_MS.format('avg_us')} || ' | ' || {_MS.format('p50_us')} || ' | ' || {_MS.format('p95_us')} || ' | ' || {_MS.format('p99_us')} || ' |' AS line FROM report""", "report"),
     "status_distribution": _with("""
 SELECT path, count(*) FILTER (NOT failed) AS requests, count(*) FILTER (NOT failed AND status = 200) AS successes, count(*) FILTER (failed) AS failures,
-  count(*) FILTER (NOT failed) || '×' || max(status) AS statuses_text,
-  count(*) FILTER (failed) = 0 AND bool_and(status = 200) AS is_clean FROM samples GROUP BY path""", "samples"),
+  (SELECT string_agg(n || '×' || status, ', ' ORDER BY status) FROM (
+     SELECT status, count(*) AS n FROM samples i WHERE i.path = o.path AND NOT failed GROUP BY status)) AS statuses_text,
+  count(*) FILTER (failed) = 0 AND bool_and(status = 200) AS is_clean FROM samples o GROUP BY path""", "samples"),
     "stream_ingest": _with("""
 SELECT DISTINCT n_id AS event_id, event_timestamp, n_tenant AS tenant_id, n_severity AS severity, CAST(event_timestamp AS DATE) AS event_date
 FROM accepted WHERE n % 230 <> 0 AND (n % 250 = 0 OR (n % 270 <> 0 AND n % 290 <> 0))""", "accepted"),

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,43 @@ def scan_events(spark, sf):
     return given.telemetry(spark, sf)
 
 
+@query
+def scan_incidents(spark, sf):
+    """Recorded twice, the second time with the alert marker: readers see the last state."""
+    path = scratch_path(spark, "incident-table")
+    found = _incidents(spark, sf)
+    tables.record_incidents(found, path)
+    marked = found.filter("event_count % 3 = 0").withColumns({"alerted_at": F.col("updated_at"), "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 SECOND")})
+    tables.record_incidents(marked, path)
+    return tables.scan_incidents(spark, path).drop("details")
+
+
+@query
+def scan_notifications(spark, sf):
+    """Recorded twice: a page is in the table once."""
+    path = scratch_path(spark, "notification-table")
+    notes = written(_notifications(_incidents(spark, sf)), "notifications")
+    for _ in range(2):
+        tables.record_notifications(notes, path)
+    return tables.scan_notifications(spark, path).withColumn("error", F.get_json_object("detail", "$.error")).drop("detail")
+
+
+@query
+def scan_actions(spark, sf):
+    """First what was so half-way through the month, then all: readers see the last status."""
+    path = scratch_path(spark, "action-table")
+    log = written(_remediation_log(_incidents(spark, sf)), "log")
+    tables.record_actions(remediation.latest_action_status(log.filter(F.col("at") <= instant(PENDING_AT))), path)
+    tables.record_actions(remediation.latest_action_status(log), path)
+    return tables.scan_actions(spark, path).drop("detail")
+
+
+@query
+def stored_window_stats(spark, sf):
+    """One window over the day table: the day of the window is read, and of it the row groups of its hours."""
+    return window_stats_of(tables.scan_events(spark, _stored(spark, sf, "window")), SINCE, COUNT_SINCE)
+
+
 @query
 def write_event_stream(spark, sf):
     records = streams.to_stream_records(given.telemetry(spark, sf), "telemetry")
@@ -347,10 +385,14 @@ def validate_incidents(spark, sf):
 
 @query
 def check_constraints(spark, sf):
-    return constraints.check_constraints(_damaged_incidents(spark, sf), "incidents").select(
-        F.lit("incidents").alias("table_name"), "*"
-    ).unionByName(constraints.check_constraints(_validated(spark, sf), "telemetry_events").select(
-        F.lit("telemetry_events").alias("table_name"), "*"))
+    found = _incidents(spark, sf)
+    spoilt = F.pmod("level", F.lit(2)) == 0
+    notes = _notifications(found).withColumns({"contact": F.when(spoilt, F.lit("")).otherwise(F.col("contact")), "status": F.when(spoilt, F.lit("lost")).otherwise(F.col("status"))})
+    first = F.col("step_index") == 1
+    actions = _remediation(found).withColumns({"mode": F.when(first, F.lit("never")).otherwise(F.col("mode")), "step_name": F.when(first, F.lit("")).otherwise(F.col("step_name"))})
+    checked = {"incidents": _damaged_incidents(spark, sf), "telemetry_events": _validated(spark, sf), "notifications": notes, "remediation_actions": actions}
+    reports_ = [constraints.check_constraints(df, name).select(F.lit(name).alias("table_name"), "*") for name, df in checked.items()]
+    return reduce(DataFrame.unionByName, reports_)
 
 
 # --- escalation and remediation --------------------------------------------------------------------------

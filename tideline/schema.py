@@ -57,6 +57,8 @@ INCIDENT = columns(
     opened_at=TIMESTAMP, acknowledged_at=TIMESTAMP, resolved_at=TIMESTAMP, auto_resolved=BOOLEAN,
     updated_at=TIMESTAMP, details=STRING,
 )
+# As stored: with the markers of the pollers that alert and remediate.
+STORED_INCIDENT = T.StructType([*INCIDENT.fields, *columns(alerted_at=TIMESTAMP, remediated_at=TIMESTAMP).fields])
 NOTIFICATION = columns(
     id=STRING, incident_id=STRING, level=INT, target=STRING, contact=STRING, channel=STRING, status=STRING,
     detail=STRING, sent_at=TIMESTAMP,
@@ -88,7 +90,7 @@ LATENCY_SAMPLE = columns(path=STRING, work=STRING, status=INT, latency_us=LONG,
 
 TABLES = {
     "telemetry_events": TELEMETRY,
-    "incidents": INCIDENT,
+    "incidents": STORED_INCIDENT,
     "notifications": NOTIFICATION,
     "remediation_actions": REMEDIATION_ACTION,
 }

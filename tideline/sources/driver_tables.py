@@ -247,7 +247,7 @@ def latency_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.pmod("event_id", F.lit(97)) == 0
     return read_events(spark, sf_dir).select(
         F.col("event_type").alias("path"), F.concat(F.lit("work of "), "event_type").alias("work"),
-        F.when(~failed & (F.col("event_type") == "error"), F.lit(500)).when(~failed, F.lit(200)).alias("status"),
+        F.when(~failed & (F.col("event_type") == "error"), F.lit(500)).when(~failed & (F.pmod("event_id", F.lit(10)) == 0), F.lit(429)).when(~failed, F.lit(200)).alias("status"),
         F.when(~failed, F.round(F.col("value") * 1000).cast("bigint")).alias("latency_us"),
         failed.alias("failed"), F.lit(10_000_000).cast("bigint").alias("elapsed_us"),
     )

@@ -11,13 +11,14 @@ from tideline.schema import STREAM_RECORD, WIRE_FIELDS
 # fixed values: record headers
 SCHEMA_VERSION_HEADER = "schema-version"
 CONTENT_TYPE_HEADER = "content-type"
-KAFKA_DEFAULTS = {"startingOffsets": "earliest", "includeHeaders": "true", "failOnDataLoss": "true"}
+KAFKA_DEFAULTS = {"startingOffsets": "earliest", "includeHeaders": "true", "failOnDataLoss": "true", "maxOffsetsPerTrigger": "20000000"}
 
 
 def read_event_stream(spark: SparkSession, fmt: str = "kafka", path: str | None = None, **options: str) -> DataFrame:
     """Stream records from the topic, or from files that carry the same columns.
 
-    Kafka starts at the earliest offset and keeps headers; pass ``maxOffsetsPerTrigger`` to size a batch.
+    Kafka starts at the earliest offset, keeps headers, and gives a trigger ``maxOffsetsPerTrigger`` records at most
+    (pass another number to size a batch); the rest come in the triggers after it.
     Offsets advance through the query's checkpoint, after the sink has written the batch.
     """
     reader = spark.readStream.format(fmt)

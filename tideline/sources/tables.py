@@ -8,11 +8,15 @@ Layout of the telemetry table below its root folder::
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.schema import TABLES
+from tideline.session import scratch_path
 
 DAILY = "daily"
 PARKED = "parked"
@@ -56,8 +60,16 @@ def scan_events(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, "telemetry_events", path)
 
 
+def _latest(rows: DataFrame) -> DataFrame:
+    """The row of each id that changed last; of equal times, the larger row."""
+    whole = F.struct(*rows.columns)
+    newest = rows.groupBy("id").agg(F.max_by(whole, F.struct("updated_at", whole)).alias("row"))
+    return newest.select("row.*")
+
+
 def scan_incidents(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, "incidents", path)
+    """Each incident as it was recorded last."""
+    return _latest(read_table(spark, "incidents", path))
 
 
 def scan_notifications(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +77,48 @@ def scan_notifications(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_actions(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, "remediation_actions", path)
+    """Each remediation step with its last status."""
+    return _latest(read_table(spark, "remediation_actions", path))
+
+
+def record_changes(df: DataFrame, name: str, path: str) -> None:
+    """Append the present state of incidents or actions; readers see the last one of each id. Repeating it changes nothing."""
+    _declared(df, name).write.mode("append").parquet(path)
+
+
+def record_incidents(df: DataFrame, path: str) -> None:
+    record_changes(df, "incidents", path)
+
+
+def record_actions(df: DataFrame, path: str) -> None:
+    record_changes(df, "remediation_actions", path)
+
+
+def record_notifications(df: DataFrame, path: str) -> None:
+    """Insert what is not there yet, by id: a page is sent once and never changes."""
+    rows = _declared(df, "notifications").dropDuplicates(["id"])
+    if exists(df.sparkSession, path):
+        rows = rows.join(read_table(df.sparkSession, "notifications", path).select("id"), "id", "left_anti").select(*rows.columns)
+    rows.write.mode("append").parquet(path)
+
+
+def _declared(df: DataFrame, name: str) -> DataFrame:
+    """The declared columns in order; one the frame lacks is null."""
+    return df.select(*[
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name].fields
+    ])
+
+
+@contextmanager
+def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """The rows of a frame written once to the shared folder, for work that reads them several times; removed afterwards."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        fs, where = folder(spark, path)
+        fs.delete(where, True)
 
 
 def with_event_date(df: DataFrame) -> DataFrame:
@@ -76,7 +129,7 @@ def write_daily(
     df: DataFrame, path: str, which: str = DAILY, mode: str = "append", rows_per_file: int = 20_000_000,
     written: Observation | None = None,
 ) -> None:
-    """Write rows below one folder per day, clustered for the (tenant, service, time) filters of the readers.
+    """Write rows below one folder per day, in order of time: a short window reads the few row groups it touches.
 
     A day's rows are spread over many tasks: AQE splits a shuffled day that is larger than its
     advisory size, so one hot day does not become one task or one file. ``written`` receives the
@@ -87,7 +140,7 @@ def write_daily(
         with_event_date(df)
         .select(*columns, "event_date")
         .hint("rebalance", "event_date")
-        .sortWithinPartitions("event_date", "tenant_id", "service_name", "event_timestamp")
+        .sortWithinPartitions("event_date", "event_timestamp", "tenant_id", "service_name")
     )
     if written is not None:
         clustered = clustered.observe(written, F.count(F.lit(1)).alias("rows"))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tideline.operators.contract import check_time_bounds, decode_events, normalize_events, split_valid, validate_events
 from tideline.operators.dedupe import append_events
+from tideline.sources.tables import staged
 
 LOG_POSITION = ("topic", "partition", "offset")
 
@@ -28,9 +29,7 @@ def store_batch(records: DataFrame, batch_id: int, table_path: str, quarantine_p
     Safe to repeat. Valid rows are inserted if absent, and the refused ones overwrite the folder of
     their run and batch; ``run`` stands for one checkpoint, so batch 0 of another never replaces them. The record timestamp is when the event was received; storing it makes it processed.
     """
-    # Used three times below; if an executor is lost its blocks are computed again from the source.
-    batch = checked(records, now).persist()
-    try:
+    with staged(checked(records, now), "ingest") as batch:
         accepted, refused = split_valid(batch)
         seen = Observation()
         refused = refused.observe(seen, F.count(F.lit(1)).alias("rows"))
@@ -38,10 +37,8 @@ def store_batch(records: DataFrame, batch_id: int, table_path: str, quarantine_p
         rows = accepted.withColumns({
             "received_at": F.coalesce("timestamp", F.lit(now)), "processed_at": F.lit(now),
         })
-        appended = append_events(rows, table_path, order_by=LOG_POSITION)
+        appended = append_events(rows, table_path, order_by=LOG_POSITION, is_staged=True)
         return {"stored": appended.inserted, "duplicate": appended.duplicate, "invalid": seen.get["rows"]}
-    finally:
-        batch.unpersist()
 
 
 def start_ingest(
