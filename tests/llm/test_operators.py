@@ -254,10 +254,24 @@ def test_near_classes(spark, odd_rows):
     assert minhash.near_classes(table(spark, [])).count() == 0
 
 
-def test_pairs_across_open_bands(spark):
-    members = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 3), (2, 4)], "band long, id long")
-    labels = spark.createDataFrame([(1, 1), (2, 1)], "id long, label long")
-    assert {(r.a, r.b) for r in minhash._across(members, labels).collect()} == {(1, 3), (2, 3), (3, 4)}
+@pytest.mark.parametrize("block", [1024, 2])
+def test_pairs_across_open_bands(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(43)
+    near, far = rng.randbytes(256), {k: rng.randbytes(256) for k in range(1, 12)}
+    members = spark.createDataFrame([(1, k) for k in range(1, 9)] + [(2, 9), (2, 10), (3, 1), (3, 2)], "band long, id long")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (4, 4), (9, 9), (10, 9)], "id long, label long")
+    texts = spark.createDataFrame([(k, bytearray(near if k in (1, 2, 3, 5) else far[k])) for k in range(1, 11)], "id long, signs binary")
+    assert {(r.a, r.b) for r in minhash.across(members, labels, texts).collect()} == {(1, 3), (2, 3), (1, 5), (2, 5), (3, 5)}
+
+
+def test_bloom_filter_misses_nothing(spark, odd_rows):
+    docs = table(spark, [*odd_rows, (None, "x", "a")])
+    wanted = spark.createDataFrame([(1,), (7,), (13,), (999,)], "id long")
+    got = {r.id: np.frombuffer(r.codes, np.uint64) for r in minhash.shingle_sets(docs, wanted).collect()}
+    text = {key: t for key, t, _ in odd_rows}
+    assert set(got) == {1, 7, 13} and all(np.array_equal(got[k], minhash.shingles(text[k])[0]) for k in got)
+    assert minhash.shingle_sets(docs, wanted.limit(0)).count() == 0
 
 
 def test_components(spark):

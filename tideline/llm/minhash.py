@@ -7,14 +7,16 @@ for texts that repeat nothing is the plain Jaccard.
 
 Texts of the same weighted shingles are made one first (copies cost nothing later). Bands of registers give candidates:
 
-1. members of a band meet its smallest and its largest id, not one another; the registers estimate their similarity
-   and clear misses go;
-2. where a band still holds members that no such link connects, those are paired across what is connected;
-3. the similarity of every remaining pair is computed exactly from all shingles of both texts;
-4. where exactness undid an estimated connection, pairs of the band across the exact components are checked too.
+1. members of a band meet its hub (the one that shares most bands with others) and its smallest id, not one another;
+   the registers estimate their similarity and clear misses go;
+2. where a band still holds members that no such link connects, their registers are compared across what is
+   connected, in blocks of the band, and the pairs near enough go on;
+3. the similarity of every pair that is left is computed exactly from all shingles of both texts;
+4. where exactness undid an estimated connection, the blocks are compared again across the exact components.
 
 So a band of near copies costs a few pairs a member, yet no pair of a band is left out unless its two texts are
-already in one class. Classes are connected components of exact links.
+already in one class. Comparisons in blocks make no rows but those of near pairs. Classes are connected components of
+exact links.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import saved
@@ -38,6 +40,10 @@ REGISTERS, BANDS, ROWS = 256, 36, 7
 ESTIMATE = 0.7
 #: Bytes hashed at a time.
 PIECE = 1 << 20
+#: Members of a band that are compared at a time; a larger band is several blocks, which meet two by two.
+BLOCK = 1024
+#: The filter by which a scan finds the texts wanted has 16 bits an id, and so many at most (8 MB).
+FILTER_BITS, FILTER_HASHES = 1 << 26, 4
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -230,52 +236,101 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Da
     return met.mapInArrow(exact, "a long, b long, similarity double")
 
 
+def _filter_slots(key: str, bits: int) -> Column:
+    return F.array(*(F.pmod(F.xxhash64(F.lit(k), F.col(key)), F.lit(bits)) for k in range(FILTER_HASHES)))
+
+
+def bloom_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``id``, of bounded size: one that is full lets everything pass."""
+    bits = min(FILTER_BITS, 1 << max(16, (16 * ids.count()).bit_length()))
+    slots = ids.select(F.explode(_filter_slots("id", bits)).alias("slot"))
+    word = slots.groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))).alias("bits")
+    ).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[word.column("word").to_numpy()] = word.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, codes, times``: all shingles of the texts whose ``(id, content)`` is wanted, one row each."""
+    """``id, codes, times``: all shingles of the texts whose ``id`` is wanted, one row each.
+
+    The scan passes by a Bloom filter, so only the sets of wanted texts (and a few others, which the join drops) move.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted))
+    bits = 64 * len(held.value)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
+            slots = b.column(1).flatten().to_numpy().reshape(b.num_rows, FILTER_HASHES).astype(np.uint64)
+            seen = (held.value[slots // np.uint64(64)] >> (slots % np.uint64(64))) & np.uint64(1)
+            at = pa.array(np.flatnonzero(seen.all(axis=1)))
             out = []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).take(at).to_pylist():
                 codes, times = shingles(text)
                 out.append((codes.tobytes(), times.astype(np.int32).tobytes()))
             if out:
                 columns = [pa.array(list(c), pa.binary()) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "codes", "times"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), *columns], ["id", "codes", "times"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = rows.join(wanted.select("id"), F.col("doc_id") == F.col("id"), "left_semi")
-    return texts.mapInArrow(made, "id long, codes binary, times binary")
+    named = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    sets = named.select("id", _filter_slots("id", bits).alias("slots"), "text").mapInArrow(made, "id long, codes binary, times binary")
+    return sets.join(wanted.select("id"), "id", "left_semi")
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of each band whose two members have different labels; a member without a label is its own."""
-    own = members.join(labels.toDF("l", "label"), F.col("id") == F.col("l"), "left").select(
-        "band", "id", F.coalesce("label", "id").alias("label")
-    )
-    open_bands = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
-    left = own.join(open_bands, "band")
-    right = left.select("band", F.col("id").alias("b"), F.col("label").alias("other"))
-    return left.join(right, "band").filter((F.col("id") < F.col("b")) & (F.col("label") != F.col("other"))).select(F.col("id").alias("a"), "b").distinct()
+def across(members: DataFrame, labels: DataFrame, texts: DataFrame, least: float = ESTIMATE) -> DataFrame:
+    """Pairs ``a, b`` of one band, of different labels, whose registers agree often enough; the labelled are one already.
+
+    ``members`` has ``band`` and ``id``; an id without a label is its own. Bands of one label are left out. A band is
+    cut into blocks of about ``BLOCK`` members, every two blocks meet in a group of their own, and a group gives
+    nothing but its near pairs.
+    """
+    own = members.join(labels.toDF("l", "label"), F.col("id") == F.col("l"), "left").select("band", "id", F.coalesce("label", "id").alias("label"))
+    open_bands = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
+    placed = own.join(open_bands.select("band", blocks.alias("blocks")), "band").withColumn("mine", mine)
+    placed = placed.join(texts.select(F.col("id").alias("t"), "signs"), F.col("id") == F.col("t"))
+    dealt = placed.select("band", "id", "label", "signs", "mine", F.explode(meets).alias("m")).select("band", "m.i", "m.j", "mine", "id", "label", "signs")
+
+    def near(group: pa.Table) -> pa.Table:
+        ids, labels, mine = (group.column(c).to_numpy() for c in ("id", "label", "mine"))
+        signs = np.frombuffer(b"".join(group.column("signs").to_pylist()), np.uint8).reshape(len(ids), -1)
+        first, second = (np.flatnonzero(mine == group.column(c)[0].as_py()) for c in ("i", "j"))
+        found = []
+        for x in first:
+            others = second[labels[second] != labels[x]]
+            same = (signs[others] == signs[x]).mean(axis=1)
+            for y in others[(same - 1 / 256) / (1 - 1 / 256) >= least]:
+                found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        columns = list(zip(*set(found), strict=True)) or [(), ()]
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+
+    return dealt.groupBy("band", "i", "j").applyInArrow(near, "a long, b long").distinct()
 
 
 def near_links(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """Exact links ``a, b`` between texts (``id, bands, signs``: one row per distinct content)."""
     members = saved(texts.select("id", F.explode("bands").alias("band")), "bands")
-    leads = members.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    shared = saved(members.join(leads, "band"), "shared-bands")
-    stars = shared.select("id", F.explode(F.array("low", "high")).alias("lead")).filter("id <> lead")
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = saved(members.join(sizes, "band"), "shared-bands")
+    drawn = shared.groupBy("id").agg(F.sum("n").alias("drawn"))
+    ranked = shared.join(drawn, "id")
+    leads = ranked.groupBy("band").agg(F.max_by("id", F.struct("drawn", -F.col("id"))).alias("hub"), F.min("id").alias("low"))
+    stars = shared.join(leads, "band").select("id", F.explode(F.array_distinct(F.array("hub", "low"))).alias("lead")).filter("id <> lead")
     pairs = stars.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    likely = saved(estimated(pairs, texts), "likely")
     members = shared.select("band", "id")
-    more = saved(estimated(_across(members, components(likely)), texts), "more")
-    likely = likely.union(more).distinct()
+    likely = saved(estimated(pairs, texts), "likely")
+    likely = saved(likely.union(across(members, components(likely), texts)).distinct(), "all-likely")
+    # Texts near enough to any other; a pair that exactness leaves open later is among them on both sides.
     sets = saved(shingle_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "shingle-sets")
     links = saved(verified(likely, sets).select("a", "b"), "links")
     held = members.join(sets.select("id"), "id", "left_semi")
-    again = _across(held, components(links)).join(likely, ["a", "b"], "left_anti")
-    undone = verified(estimated(again, texts), sets).select("a", "b")
-    return links.union(undone)
+    again = across(held, components(links), texts).join(likely, ["a", "b"], "left_anti")
+    return links.union(verified(again, sets).select("a", "b"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
