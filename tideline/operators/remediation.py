@@ -21,23 +21,24 @@ def _catalog(steps: DataFrame) -> DataFrame:
     ).agg(F.sort_array(F.collect_list(F.struct("step_index", "step_name", "kind", "mode", "target", F.map_entries("params").alias("params")))).alias("steps"))
 
 
+def catalog_value(steps: DataFrame) -> Column:
+    """The whole catalog, in its order, as one array value that every incident row can see without a join."""
+    book = F.struct("ordinal", "runbook_id", "match_rule_id", "match_service", "match_severity", "approval_timeout_us", "steps")
+    return _catalog(steps).agg(F.sort_array(F.collect_list(book))).scalar()
+
+
 def match_runbook(incidents: DataFrame, steps: DataFrame) -> DataFrame:
     """The first runbook in catalog order whose matcher fits; nulls when there is nothing to automate.
 
-    The rule id must be equal, a blank service or severity fits any. Runbooks of one rule are kept in
-    an ordered list, so an incident meets one catalog row and the rest is a search in that list.
+    The rule id must be equal, a blank service or severity fits any. The catalog is a constant of the plan, so
+    incidents are neither joined nor shuffled.
     """
-    book = F.struct("ordinal", "runbook_id", "match_service", "match_severity", "approval_timeout_us", "steps")
-    by_rule = _catalog(steps).groupBy(F.col("match_rule_id").alias("rule_id")).agg(
-        F.sort_array(F.collect_list(book)).alias("_books")
-    )
-
     def any_or(wanted: Column, actual: Column) -> Column:
         return (wanted == "") | (wanted == actual)
 
-    fitting = F.filter("_books", lambda b: any_or(b["match_service"], F.col("service_name"))
-                       & any_or(b["match_severity"], F.col("severity")))
-    matched = incidents.join(by_rule, "rule_id", "left").withColumn("_book", F.try_element_at(fitting, F.lit(1)))
+    fitting = F.filter("_books", lambda b: (b["match_rule_id"] == F.col("rule_id"))
+                       & any_or(b["match_service"], F.col("service_name")) & any_or(b["match_severity"], F.col("severity")))
+    matched = incidents.withColumn("_books", catalog_value(steps)).withColumn("_book", F.try_element_at(fitting, F.lit(1)))
     return matched.select(
         *incidents.columns, F.col("_book.runbook_id").alias("runbook_id"),
         F.col("_book.approval_timeout_us").alias("approval_timeout_us"), F.col("_book.steps").alias("steps"),
