@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline import messages
 from tideline.functions import text
 from tideline.functions.frames import instant, with_settled
 from tideline.schema import (
@@ -183,29 +184,29 @@ def _go_quoted(c: Column) -> Column:
 
 def _required_text(field: str) -> Column:
     c = F.coalesce(F.col(field), F.lit(""))
-    return F.when(c == "", _problem(field, "is required")).when(
-        F.octet_length(c) > MAX_IDENTIFIER_BYTES, _problem(field, f"must be at most {MAX_IDENTIFIER_BYTES} characters")
+    return F.when(c == "", _problem(field, messages.REQUIRED)).when(
+        F.octet_length(c) > MAX_IDENTIFIER_BYTES, _problem(field, messages.TOO_LONG.format(limit=MAX_IDENTIFIER_BYTES))
     )
 
 
 def _bounded_text(field: str) -> Column:
     return F.when(
-        F.octet_length(field) > MAX_IDENTIFIER_BYTES, _problem(field, f"must be at most {MAX_IDENTIFIER_BYTES} characters")
+        F.octet_length(field) > MAX_IDENTIFIER_BYTES, _problem(field, messages.TOO_LONG.format(limit=MAX_IDENTIFIER_BYTES))
     )
 
 
 def _vocabulary(field: str, noun: str, allowed: tuple[str, ...]) -> Column:
     c = F.coalesce(F.col(field), F.lit(""))
-    complaint = F.concat(_go_quoted(c), F.lit(f" is not a supported {noun} (supported: {', '.join(allowed)})"))
-    return F.when(c == "", _problem(field, "is required")).when(~c.isin(*allowed), _problem(field, complaint))
+    complaint = F.concat(_go_quoted(c), F.lit(messages.NOT_SUPPORTED.format(noun=noun, allowed=", ".join(allowed))))
+    return F.when(c == "", _problem(field, messages.REQUIRED)).when(~c.isin(*allowed), _problem(field, complaint))
 
 
 def validate_events(df: DataFrame) -> DataFrame:
     """Add ``errors``: every contract violation of the row, in field order. Limits count bytes."""
     event_id = F.coalesce(F.col("event_id"), F.lit(""))
     checks = [
-        F.when(event_id == "", _problem("event_id", "is required")).when(
-            ~text.is_uuid(event_id), _problem("event_id", "must be a valid UUID")
+        F.when(event_id == "", _problem("event_id", messages.REQUIRED)).when(
+            ~text.is_uuid(event_id), _problem("event_id", messages.NOT_A_UUID)
         ),
         _vocabulary("schema_version", "schema version", SCHEMA_VERSIONS),
         _required_text("tenant_id"),
@@ -214,7 +215,7 @@ def validate_events(df: DataFrame) -> DataFrame:
         _bounded_text("environment"),
         _vocabulary("severity", "severity", SEVERITIES),
         F.when(F.col("event_timestamp").isNull(),
-               _problem("timestamp", "is required and must be an RFC3339 timestamp")),
+               _problem("timestamp", messages.NO_TIMESTAMP)),
         _bounded_text("trace_id"),
     ]
     found = F.array_compact(F.array(*checks))
@@ -239,12 +240,12 @@ def check_time_bounds(
     if max_future is not None and text.micros(max_future) > 0:
         limit = text.duration_literal(max_future)
         checks.append(F.when(ahead > text.micros(max_future), _problem("timestamp", F.concat(
-            F.lit("is "), text.drift_text(ahead), F.lit(f" in the future, which exceeds the {limit} limit (server time is "),
-            text.rfc3339(now), F.lit("); check the sending host's clock")))))
+            F.lit("is "), text.drift_text(ahead), F.lit(messages.IN_THE_FUTURE.format(limit=limit)),
+            text.rfc3339(now), F.lit(messages.CHECK_THE_CLOCK)))))
     if max_age is not None and text.micros(max_age) > 0:
         limit = text.duration_literal(max_age)
         checks.append(F.when(-ahead > text.micros(max_age), _problem("timestamp", F.concat(
-            F.lit("is "), text.drift_text(-ahead), F.lit(f" old, which exceeds the {limit} limit (server time is "),
+            F.lit("is "), text.drift_text(-ahead), F.lit(messages.TOO_OLD.format(limit=limit)),
             text.rfc3339(now), F.lit(")")))))
     if not checks:
         return df
@@ -262,7 +263,7 @@ def _acceptable(df: DataFrame) -> Column:
 def error_text(errors: Column) -> Column:
     """All problems of a row as one line."""
     return F.concat(
-        F.lit("invalid event: "),
+        F.lit(messages.INVALID_EVENT),
         F.array_join(F.transform(errors, lambda e: F.concat(e["field"], F.lit(": "), e["message"])), "; "),
     )
 
@@ -278,8 +279,8 @@ def quarantine(df: DataFrame) -> DataFrame:
         where.append(F.octet_length("value").alias("value_bytes"))
     detail = F.col("decode_error") if decoded else F.lit(None).cast("string")
     return df.filter(~_acceptable(df)).select(
-        F.when(undecodable, F.lit("message is not a valid telemetry event"))
-        .otherwise(F.lit("message violates the telemetry event contract")).alias("reason"),
+        F.when(undecodable, F.lit(messages.NOT_AN_EVENT))
+        .otherwise(F.lit(messages.BREAKS_CONTRACT)).alias("reason"),
         F.coalesce(detail, error_text(F.col("errors"))).alias("error"),
         F.col("errors"),
         *where,

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline import messages
 from tideline.functions.frames import from_us
 from tideline.functions.text import ceil_div, micros, uuid5
 from tideline.schema import NOTIFICATION_NAMESPACE
@@ -100,7 +101,7 @@ def escalation_timeline(
     checked_at = from_us(start_us + last["offset_us"])
     ends_at = from_us(start_us + last["offset_us"] + last["ack_timeout_us"])
     exhausted = F.struct(
-        last["level"].alias("level"), F.lit("escalation exhausted").alias("target"), F.lit("none").alias("contact"),
+        last["level"].alias("level"), F.lit(messages.EXHAUSTED).alias("target"), F.lit("none").alias("contact"),
         F.lit("").alias("contact_address"), F.lit("exhausted").alias("reason"), ends_at.alias("sent_at"),
     )
     unanswered = (F.col("signalled_at").isNull() | (F.col("signalled_at") > ends_at)) & (
@@ -131,7 +132,7 @@ def notification_rows(pages: DataFrame, deliveries: DataFrame | None = None, web
         joined = joined.select("*", F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("string").alias("error"))
     refused = (F.col("status_code") < 200) | (F.col("status_code") >= 300)
     problem = F.when(webhook, F.coalesce(
-        F.col("error"), F.when(refused, F.concat(F.lit("webhook returned status "), F.col("status_code")))))
+        F.col("error"), F.when(refused, F.concat(F.lit(messages.WEBHOOK_STATUS), F.col("status_code")))))
     detail = F.to_json(F.struct(problem.alias("error"), "reason", "severity", "title"))
     return joined.select(
         "id", "incident_id", "level", "target", "contact",

@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline import messages
 from tideline.functions.frames import from_us
 from tideline.functions.text import duration_text, uuid5
 from tideline.operators.oncall import alert_starts
@@ -66,7 +67,7 @@ def step_outcome(outcomes: DataFrame) -> DataFrame:
         .when(F.col("kind") != "webhook", F.concat(F.lit('unknown remediation action kind "'), F.col("kind"), F.lit('"')))
         .when(F.col("target") == "", F.concat(F.lit('step "'), F.col("step_name"), F.lit('" is a webhook action with no target')))
         .when(F.col("error").isNotNull(), F.col("error"))
-        .when(~F.coalesce(answered, F.lit(True)), F.concat(F.lit("remediation target returned status "), F.col("status_code")))
+        .when(~F.coalesce(answered, F.lit(True)), F.concat(F.lit(messages.TARGET_STATUS), F.col("status_code")))
     )
     params = F.col("params") if dict(outcomes.dtypes)["params"].startswith("map") else F.map_from_entries("params")
     done = F.when(F.col("kind") == "noop", F.to_json(F.struct(F.lit("noop").alias("executed"), params.alias("params")))).otherwise(
@@ -149,13 +150,13 @@ def remediation_timeline(
     ran_by = F.when(gated, actor).otherwise(nobody)
     log = F.array_compact(F.array(
         entry(1, "skipped", nobody, reached,
-              note(incident_status=F.lit("resolved"), reason=F.lit("incident is no longer active")), final == "skipped"),
+              note(incident_status=F.lit("resolved"), reason=F.lit(messages.NO_LONGER_ACTIVE)), final == "skipped"),
         entry(1, "pending", nobody, reached,
               note(awaiting=F.lit("approval"), timeout=duration_text(F.col("approval_timeout_us"))),
               gated & (final != "skipped")),
-        entry(2, "timed_out", nobody, from_us(deadline), note(reason=F.lit("nobody approved within the timeout")),
+        entry(2, "timed_out", nobody, from_us(deadline), note(reason=F.lit(messages.NOBODY_APPROVED)),
               final == "timed_out"),
-        entry(2, "rejected", actor, answered_at, note(reason=F.lit("rejected by an operator")), final == "rejected"),
+        entry(2, "rejected", actor, answered_at, note(reason=F.lit(messages.REJECTED)), final == "rejected"),
         entry(2, "approved", actor, answered_at, note(approved_by=actor), gated & final.isin("succeeded", "failed")),
         entry(3, "succeeded", ran_by, ran_at, F.col("outcome_detail"), final == "succeeded"),
         entry(3, "failed", ran_by, ran_at, F.col("outcome_detail"), final == "failed"),
