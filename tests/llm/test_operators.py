@@ -275,9 +275,17 @@ def test_bloom_filter_misses_nothing(spark, odd_rows):
 
 
 def test_components(spark):
-    links = [(i, i + 1) for i in range(1, 30)] + [(50, 60), (60, 55), (70, 70)]
+    rng = random.Random(47)
+    links = [(i, i + 1) for i in range(1, 30)] + [(50, 60), (60, 55), (70, 70)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)]
+    label = {}
+    for a, b in links:
+        if a != b:
+            label.setdefault(a, a), label.setdefault(b, b)
+            low, high = sorted((label[a], label[b]))
+            label = {k: low if v == high else v for k, v in label.items()}
     got = {r.id: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**{i: 1 for i in range(1, 31)}, 50: 50, 55: 50, 60: 50}
+    assert got == label
+    assert components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
 
 
 # chat -----------------------------------------------------------------------------------------------------------------

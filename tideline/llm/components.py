@@ -8,22 +8,35 @@ from pyspark.sql import functions as F
 from tideline.llm.common import saved
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """``v, parent`` with each parent replaced by the root above it; chains halve in every step."""
+    while True:
+        up = parents.toDF("p", "above")
+        jumped = saved(parents.join(up, F.col("parent") == F.col("p")).select("v", F.col("parent").alias("was"), F.col("above").alias("parent")), "parents")
+        parents = jumped.select("v", "parent")
+        if jumped.filter("was <> parent").isEmpty():
+            return parents
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, label`` for every id of ``links`` (``a, b``, longs): the smallest id of its component.
 
-    Each round takes the smallest label among an id's neighbours and then the label of that label, so stars settle in
-    one round and chains halve. Labels are written after each round; only the number of changes reaches the driver.
-    An id of many links is many rows of a join that Spark splits, and a minimum with map-side combine.
+    In each round an id hooks on to its smallest neighbour, if that is smaller (a minimum with map-side combine),
+    chains of hooks collapse to their roots, and the links between roots are the next round's. Stars are gone after
+    one round, and links shrink fast. Every round is written; only whether links are left reaches the driver. An id of
+    many links is many rows of a join that Spark splits.
     """
-    near = links.filter("a <> b")
-    edges = saved(near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("label"))
-    labels = saved(labels, "labels")
-    while True:
-        by_neighbour = edges.join(labels.toDF("n", "low"), F.col("b") == F.col("n")).groupBy("a").agg(F.min("low").alias("low"))
-        hooked = labels.join(by_neighbour, F.col("id") == F.col("a")).select("id", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        up = labels.select(F.col("id").alias("parent"), F.col("label").alias("above"))
-        settled = saved(hooked.join(up, F.col("label") == F.col("parent")).select("id", "was", F.least("label", "above").alias("label")), "labels")
-        labels = settled.select("id", "label")
-        if settled.filter("was <> label").isEmpty():
-            return labels
+    edges = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    labels = None
+    while labels is None or not edges.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooked = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("low")).select("v", F.least("v", "low").alias("parent"))
+        parents = _roots(saved(hooked, "parents"))
+        if labels is None:
+            labels = parents.toDF("id", "label")
+        else:
+            rooted = labels.join(parents.toDF("v", "root"), F.col("label") == F.col("v"), "left")
+            labels = saved(rooted.select("id", F.coalesce("root", "label").alias("label")), "labels")
+        ends = edges.join(parents.toDF("x", "one"), F.col("a") == F.col("x")).join(parents.toDF("y", "other"), F.col("b") == F.col("y"))
+        edges = saved(ends.filter("one <> other").select(F.greatest("one", "other").alias("a"), F.least("one", "other").alias("b")).distinct(), "edges")
+    return labels

@@ -31,6 +31,9 @@ WALKS, PERIOD = 256, 1 << 16
 SEED = 77
 #: Characters walked at a time.
 PIECE = 1 << 16
+#: Blocks of consecutive ids for each shuffle partition, and in all: their heads are a constant of the plan. A larger
+#: block takes a task longer and spills its sort; it is never held whole.
+BLOCKS_A_PARTITION, MOST_BLOCKS = 4, 8_192
 #: Bands of near_groups, and sampled steps a band hashes.
 BANDS, BAND_STEPS = 24, 6
 
@@ -238,7 +241,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     parts = shuffle_partitions(spark)
-    heads = block_heads(docs.select(F.col("doc_id").cast("long").alias("doc_id")), 4 * parts)
+    heads = block_heads(docs.select(F.col("doc_id").cast("long").alias("doc_id")), min(MOST_BLOCKS, BLOCKS_A_PARTITION * parts))
     table = F.array(*map(F.lit, heads)).cast("array<bigint>")
     block = _block_of(heads)
     placed = rows.withColumn("own", block)
