@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm import minhash
 from tideline.llm.common import saved, shuffle_partitions, text_or_empty
 from tideline.llm.components import components
 
@@ -36,6 +37,10 @@ PIECE = 1 << 16
 BLOCKS_A_PARTITION, MOST_BLOCKS = 4, 8_192
 #: Bands of near_groups, and sampled steps a band hashes.
 BANDS, BAND_STEPS = 24, 6
+#: Members of a band that are compared at a time; a larger band is several blocks, which meet two by two.
+BLOCK = 1024
+#: Up to so many edits are counted along diagonals; beyond, a table of bits is filled.
+FEW_EDITS = 100
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -153,13 +158,96 @@ def likeness(one: str, other: str) -> float:
     return float(same.sum() / len(steps2))
 
 
+def _alike_from(a: str, b: str, i: int, j: int) -> int:
+    """How many characters agree from ``a[i]`` and ``b[j]`` on."""
+    if a[i : i + 1] != b[j : j + 1]:
+        return 0
+    most = min(len(a) - i, len(b) - j)
+    at, step = 0, 32
+    while step:
+        if at + step <= most and a[i + at : i + at + step] == b[j + at : j + at + step]:
+            at, step = at + step, step * 2
+        elif at + step > most and at < most and a[i + at : i + most] == b[j + at : j + most]:
+            return most
+        else:
+            step //= 2
+            while step and at + step > most:
+                step //= 2
+            while step and a[i + at : i + at + step] != b[j + at : j + at + step]:
+                step //= 2
+            at, step = at + step, step // 2
+    return at
+
+
+def _few_edits(a: str, b: str, most: int) -> int | None:
+    """The edit distance, by the furthest place each diagonal reaches; None if it is over ``most``."""
+    goal = len(b) - len(a)
+    reach = {0: _alike_from(a, b, 0, 0)}
+    for d in range(most + 1):
+        if d:
+            last, reach = reach, {}
+            for k in range(-d, d + 1):  # place i of a, i + k of b
+                i = max(last.get(k, -2) + 1, last.get(k + 1, -2) + 1, last.get(k - 1, -2))
+                i = min(i, len(a), len(b) - k)
+                if i >= 0 and i + k >= 0:
+                    reach[k] = i + _alike_from(a, b, i, i + k)
+        if reach.get(goal) == len(a):
+            return d
+    return None
+
+
+def _many_edits(a: str, b: str, most: int) -> int:
+    """The edit distance, from columns of bits (Myers); any number over ``most`` if it is over that."""
+    codes = code_points(a)
+    kinds, at = np.unique(codes, return_inverse=True)
+    order, starts = np.argsort(at, kind="stable"), np.searchsorted(np.sort(at), np.arange(len(kinds) + 1))
+    held = {}
+    for k, code in enumerate(kinds.tolist()):
+        bits = np.zeros(len(codes), np.uint8)
+        bits[order[starts[k] : starts[k + 1]]] = 1
+        held[chr(code)] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full, last = (1 << len(codes)) - 1, len(codes) - 1
+    up, down, score = full, 0, len(codes)
+    for left, c in enumerate(b):
+        eq = held.get(c, 0)
+        x = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(h | up)), up & h
+        score += (more >> last & 1) - (less >> last & 1)
+        if score - (len(b) - left - 1) > most:
+            return most + 1
+        more = more << 1 | 1
+        up, down = (less << 1 | ~(x | more)) & full, more & x & full
+    return score
+
+
+def near_texts(a: str, b: str, at_least: float) -> bool:
+    """Whether the edit distance of two whole texts is at most ``1 - at_least`` of the longer one's length."""
+    most = int((1 - at_least) * max(len(a), len(b)) + 1e-9)
+    if a == b or abs(len(a) - len(b)) > most:
+        return a == b
+    same = _alike_from(a, b, 0, 0)
+    a, b = a[same:][::-1], b[same:][::-1]
+    same = _alike_from(a, b, 0, 0)
+    a, b = sorted((a[same:], b[same:]), key=len)
+    if len(b) <= most or _few_edits(a, b, min(most, FEW_EDITS)) is not None:
+        return True
+    return most > FEW_EDITS and _many_edits(a, b, most) <= most
+
+
 # One document and the next: the operator's own job -------------------------------------------------------------------
 
 RESULT = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
+    "text_key string"
 )
 
 
+def text_key(text: str) -> str:
+    """The digest that tells texts apart, as Spark's ``md5`` has it."""
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 class _Doc:
     def __init__(self, key: int | None, text: str) -> None:
         self.key, self.text, self.codes = key, text, code_points(text)
@@ -179,7 +267,7 @@ class _Doc:
         text, fingerprint = self.edited(following)
         return (
             self.key, len(self.codes), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), self.fingerprint, fingerprint,
-            likeness(self.fingerprint, fingerprint), likeness(self.fingerprint, following.fingerprint),
+            likeness(self.fingerprint, fingerprint), likeness(self.fingerprint, following.fingerprint), text_key(self.text),
         )
 
 
@@ -203,7 +291,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     names = [part.split()[0] for part in RESULT.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
@@ -228,9 +316,11 @@ def _block_of(heads: list) -> Column:
     return F.aggregate(rounds, span, narrow, lambda s: s["lo"])
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and their likeness (see ``RESULT``).
 
+    With ``keyed`` the digest of its text too.
+
     The edited text keeps all but the last ``n_chars // 2`` code points and goes on with as many of the next document
     (or all it has), in descending ``doc_id``, nulls last; after the last comes the first, which may be the same.
     Rows of one id are ordered by text. Null text counts as empty; equal texts have equal fingerprints.
@@ -254,22 +344,24 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         .repartition(parts, "block")
         .sortWithinPartitions("block", "guest", F.col("doc_id").desc_nulls_last(), "text")
     )
-    return dealt.mapInArrow(_pairs, RESULT)
+    found = dealt.mapInArrow(_pairs, RESULT)
+    return found if keyed else found.drop("text_key")
 
 
 # Groups of near copies ---------------------------------------------------------------------------------------------
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint`` of every whole text, computed where it is read."""
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """``doc_id, fingerprint`` of every whole text, computed where it is read; with ``keyed`` the text's digest too."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [fingerprint_text(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
+            texts = b.column(1).to_pylist()
+            columns = [pa.array([of(t) for t in texts], pa.string()) for of in (fingerprint_text, text_key)[: 1 + keyed]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "fingerprint", "text_key"][: 2 + keyed])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(made, "doc_id long, fingerprint string")
+    return rows.mapInArrow(made, "doc_id long, fingerprint string" + ", text_key string" * keyed)
 
 
 def band_keys(fingerprint: str) -> list[int]:
@@ -284,41 +376,183 @@ def band_keys(fingerprint: str) -> list[int]:
     return _mix(said[order].sum(axis=1, dtype=np.uint64)).astype(np.int64).tolist()
 
 
-def near_links(prints: DataFrame, at_least: float = 0.8) -> DataFrame:
-    """Verified links ``doc_id, leader, likeness`` from each document to the smallest id of a band it shares.
+def alike(pairs: DataFrame, prints: DataFrame, at_least: float) -> DataFrame:
+    """The pairs (``doc_id, leader``) whose whole fingerprints are alike enough, with their ``likeness``."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [likeness(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.float64())], ["doc_id", "leader", "likeness"])
+
+    mine, theirs = (prints.select(F.col("fingerprint").alias(f), F.col("doc_id").alias(i)) for f, i in (("f1", "i1"), ("f2", "i2")))
+    met = pairs.join(mine, F.col("doc_id") == F.col("i1")).join(theirs, F.col("leader") == F.col("i2")).select("doc_id", "leader", "f1", "f2")
+    return met.mapInArrow(compared, "doc_id long, leader long, likeness double").filter(F.col("likeness") >= at_least)
+
+
+def edited_little(links: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
+    """The links whose whole texts (``doc_id, text``) have an edit distance of ``1 - at_least`` of the longer one at most."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [near_texts(x, y, at_least) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[:3], ["doc_id", "leader", "likeness"]).filter(pa.array(near, pa.bool_()))
+
+    mine, theirs = (texts.select(F.col("text").alias(t), F.col("doc_id").alias(i)) for t, i in (("t1", "i1"), ("t2", "i2")))
+    met = links.join(mine, F.col("doc_id") == F.col("i1")).join(theirs, F.col("leader") == F.col("i2"))
+    return met.select("doc_id", "leader", "likeness", "t1", "t2").mapInArrow(compared, "doc_id long, leader long, likeness double")
+
+
+def _sides(prints: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of fingerprints at all steps that any of them sampled (-1: not sampled), their walks' lengths and samples."""
+    read = [_read(f) for f in prints]
+    every = np.unique(np.concatenate([steps for steps, _ in read]))
+    said = np.full((len(read), len(every)), -1, np.int16)
+    for row, (steps, symbols) in zip(said, read, strict=True):
+        row[np.searchsorted(every, steps)] = symbols
+    return said, np.array([int(f.split(":")[0]) for f in prints]), np.array([len(steps) for steps, _ in read])
+
+
+def across(members: DataFrame, labels: DataFrame, prints: DataFrame, at_least: float, whole: bool) -> DataFrame:
+    """Pairs ``doc_id, leader`` of one band, of different labels and alike enough; the labelled are one already.
+
+    An id without a label is its own. Bands of one label are left out. A band is cut into blocks of about ``BLOCK``
+    members, and every two blocks meet in a group of their own. A group gives all its pairs if ``whole``, else as many
+    as connect what they connect.
+    """
+    own = members.join(labels.toDF("l", "label"), F.col("doc_id") == F.col("l"), "left").select(
+        "band", "code", "doc_id", F.coalesce("label", "doc_id").alias("label")
+    )
+    low_high = own.groupBy("band", "code").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+    open_bands = low_high.filter("low < high").select("band", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
+    placed = own.join(open_bands, ["band", "code"]).withColumn("mine", mine)
+    placed = placed.join(prints.select(F.col("doc_id").alias("t"), "fingerprint"), F.col("doc_id") == F.col("t"))
+    dealt = placed.select("band", "code", "doc_id", "label", "fingerprint", "mine", F.explode(meets).alias("m")).select(
+        "band", "code", "m.i", "m.j", "mine", "doc_id", "label", "fingerprint"
+    )
 
-    Equal fingerprints are made one before banding, so copies cost nothing; a band's members meet its smallest id, not
-    one another, and every meeting is verified on the whole fingerprints.
+    def near(group: pa.Table) -> pa.Table:
+        ids, label, block = (group.column(c).to_numpy().copy() for c in ("doc_id", "label", "mine"))
+        said, total, samples = _sides(group.column("fingerprint").to_pylist())
+        other = np.where(said < 0, np.int16(-2), said)
+        first, second = (np.flatnonzero(block == group.column(c)[0].as_py()) for c in ("i", "j"))
+        found = set()
+        for x in first:
+            others = second[label[second] != label[x]]
+            size = np.maximum(1, np.where(total[others] > total[x], samples[others], samples[x]))
+            same = (other[others] == said[x]).sum(axis=1) / size
+            for y in others[same >= at_least]:
+                if label[x] != label[y]:
+                    found.add((max(ids[x], ids[y]), min(ids[x], ids[y])))
+                    if not whole:
+                        label[label == label[y]] = label[x]
+        columns = list(zip(*found, strict=True)) or [(), ()]
+        return pa.table({"doc_id": pa.array(columns[0], pa.int64()), "leader": pa.array(columns[1], pa.int64())})
+
+    return dealt.groupBy("band", "code", "i", "j").applyInArrow(near, "doc_id long, leader long").distinct()
+
+
+def near_links(prints: DataFrame, at_least: float = 0.8, texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Verified links ``doc_id, leader, likeness``, which connect all near texts that share a band.
+
+    A band's members meet its smallest id first. Members that no verified link connects are then compared with the
+    rest of their band in blocks (``across``), first for as many pairs as connect them; where verification of such a
+    pair fails, for all pairs. So no pair of a band is left out unless its two texts are connected already.
+
+    Every link is verified on the whole fingerprints, and on the edit distance of the whole texts if ``texts`` gives
+    these (``doc_id, text`` for a frame of ``doc_id``). Without texts, equal fingerprints are made one before banding.
     """
-    unique = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    unique = prints.select("doc_id", "fingerprint") if texts is not None else saved(
+        prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint"), "unique-prints"
+    )
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [band_keys(f) for f in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fingerprint", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near = [likeness(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.float64())], ["doc_id", "leader", "likeness"])
+    def verified(links: DataFrame, label: str) -> DataFrame:
+        if texts is None or links.isEmpty():
+            return links
+        wanted = links.select(F.explode(F.array("doc_id", "leader")).alias("doc_id")).distinct()
+        return saved(edited_little(links, saved(texts(wanted), "wanted-texts"), at_least), f"{label}-verified")
+
+    def ends(links: DataFrame) -> DataFrame:
+        return links.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
 
-    keyed = unique.select("doc_id", "fingerprint").mapInArrow(banded, "doc_id long, fingerprint string, keys array<long>")
-    members = keyed.select("doc_id", F.posexplode("keys").alias("band", "code"))
+    keyed = unique.mapInArrow(banded, "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("band", "code"))
+    members = saved(keyed, "print-bands")
     leads = members.groupBy("band", "code").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    pairs = members.join(leads, ["band", "code"]).filter("doc_id <> leader").select("doc_id", "leader").distinct()
-    mine, theirs = unique.toDF("f1", "i1"), unique.toDF("f2", "i2")
-    met = pairs.join(mine, F.col("doc_id") == F.col("i1")).join(theirs, F.col("leader") == F.col("i2")).select("doc_id", "leader", "f1", "f2")
-    return met.mapInArrow(verified, "doc_id long, leader long, likeness double").filter(F.col("likeness") >= at_least)
+    shared = saved(members.join(leads.drop("n"), ["band", "code"]), "shared-print-bands")
+    stars = shared.filter("doc_id <> leader").select("doc_id", "leader").distinct()
+    links = saved(alike(stars, unique, at_least), "star-links")
+    if texts is not None:
+        # One leader is enough to verify: what that leaves unconnected is compared again below.
+        first = links.groupBy("doc_id").agg(F.min_by(F.struct("leader", "likeness"), "leader").alias("s"))
+        links = verified(saved(first.select("doc_id", "s.leader", "s.likeness"), "first-links"), "star-links")
+    for whole in (False, True):
+        pairs = across(shared.drop("leader"), components(ends(links)), unique, at_least, whole)
+        found = saved(alike(pairs, unique, at_least), "links-across")
+        more = verified(found, "links-across")
+        links = links.unionByName(more)
+        if more.count() == found.count():
+            break  # all that is near in a band is connected
+    return links
+
+
+def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, text`` for every row (``doc_id, text_key``) of ``wanted``: the text of that key, under that number.
+
+    The scan passes by a Bloom filter, so only wanted texts (and a few others, which the join drops) are shuffled.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(minhash.bloom_filter(wanted.select(F.xxhash64("text_key").alias("id"))))
+    bits = 64 * len(held.value)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                slots = b.column(1).flatten().to_numpy().reshape(b.num_rows, minhash.FILTER_HASHES).astype(np.uint64)
+                seen = (held.value[slots // np.uint64(64)] >> (slots % np.uint64(64))) & np.uint64(1)
+                at = pa.array(np.flatnonzero(seen.all(axis=1)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at)], ["key", "text"])
+
+    keyed = docs.filter(F.col("doc_id").isNotNull()).select(text_or_empty().alias("text")).select(F.md5("text").alias("key"), "text")
+    slots = keyed.select("key", F.xxhash64("key").alias("id"), "text").select("key", minhash._filter_slots("id", bits).alias("slots"), "text")
+    once = slots.mapInArrow(passing, "key string, text string").dropDuplicates(["key"])
+    return once.join(wanted, F.col("key") == F.col("text_key")).select("doc_id", "text")
+
+
+def groups_of(prints: DataFrame, docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """``text_key, group_id`` for each distinct text of ``prints`` (``doc_id, text_key, fingerprint``), ids not null.
+
+    ``group_id`` is the smallest id of the group, which verified links connect. Texts are numbered first, so that
+    several texts of one id stay apart.
+    """
+    once = prints.filter(F.col("doc_id").isNotNull()).groupBy("text_key").agg(F.min("doc_id").alias("first"), F.any_value("fingerprint").alias("fingerprint"))
+    nodes = saved(once.withColumn("number", F.monotonically_increasing_id()), "texts")
+    numbered = nodes.select(F.col("number").alias("doc_id"), "fingerprint", "text_key")
+    links = near_links(numbered, at_least, lambda ids: wanted_texts(docs, nodes.join(ids, F.col("number") == F.col("doc_id")).select("doc_id", "text_key")))
+    labels = components(links.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))).toDF("l", "label")
+    labelled = nodes.join(labels, F.col("number") == F.col("l"), "left").select("text_key", "first", F.coalesce("label", "number").alias("label"))
+    return labelled.select("text_key", "label").join(labelled.groupBy("label").agg(F.min("first").alias("group_id")), "label").select("text_key", "group_id")
 
 
 def near_groups(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     """``doc_id, group_id``, one row per document with an id: the smallest id that verified links lead to.
 
-    Documents of equal fingerprints are in one group; one without any link is its own. Rows without an id are left out.
+    Equal texts are in one group; one without any link is its own. Rows without an id are left out.
+    """
+    prints = saved(fingerprints(docs, keyed=True).filter(F.col("doc_id").isNotNull()), "fingerprints")
+    return prints.join(groups_of(prints, docs, at_least), "text_key").select("doc_id", "group_id")
+
+
+def fingerprint_documents(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """The rows of ``edited_fingerprints`` and ``group_id``, the smallest id of the document's group of near texts.
+
+    A row without an id has no group.
     """
-    prints = saved(fingerprints(docs).filter(F.col("doc_id").isNotNull()), "fingerprints")
-    links = near_links(prints, at_least).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-    labels = components(links).toDF("l", "label")
-    first = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
-    named = first.join(labels, F.col("id") == F.col("l"), "left").select("fingerprint", F.coalesce("label", "id").alias("group_id"))
-    return prints.join(named, "fingerprint").select("doc_id", "group_id")
+    prints = saved(edited_fingerprints(docs, keyed=True), "fingerprints")
+    groups = groups_of(prints, docs, at_least).toDF("key", "group_id")
+    mine = F.when(F.col("doc_id").isNotNull(), F.col("text_key"))
+    return prints.join(groups, mine == F.col("key"), "left").drop("key", "text_key")
