@@ -27,9 +27,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     ``n_chars`` follows the text. A document that had no text stays.
     """
-    cleaned = lines.drop_repeated_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.length(F.trim("text")) == 0)
-    chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    cleaned = lines.drop_repeated_lines(docs, ("__n_lines", "__n_removed"))
+    emptied = (F.col("__n_removed") > 0) & (F.length(F.trim("text")) == 0)
+    chars = F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cleaned.filter(~emptied).withColumn("n_chars", chars).select(*docs.columns)
 
 

@@ -66,14 +66,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return later.groupBy("id", "version").agg(F.array_distinct(covered).alias("removed"))
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """The rows of ``docs`` with every column, ``text`` without its repeated lines, and two counts beside them.
 
-    ``n_lines`` and ``n_removed`` replace columns of those names. A document under three lines, or without text,
+    The counts, of lines and of removed ones, replace columns of their names (``counts``). A document under three lines, or without text,
     stays as it is; one that only repeats others becomes the empty text. Rows that repeat id and text count as one
     occurrence, so they never remove each other. Null ids come first in the order.
     """
-    mine = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    mine = [c for c in docs.columns if c not in counts]
     text = F.col("text").cast("string")
     rows = docs.select(*mine, F.xxhash64(text).alias("__version"))
     lost = repeated_lines(docs).select(F.col("id").alias("__id"), F.col("version").alias("__other"), F.col("removed").alias("__removed"))
@@ -86,6 +86,6 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     new_text = F.when(F.col("__removed").isNotNull(), cleaned).otherwise(text)
     return joined.select(
         *(new_text.alias("text") if c == "text" else F.col(c) for c in mine),
-        F.when(text.isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
-        F.when(F.col("__removed").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"),
+        F.when(text.isNull(), 0).otherwise(count).cast("long").alias(counts[0]),
+        F.when(F.col("__removed").isNull(), 0).otherwise(removed).cast("long").alias(counts[1]),
     )
