@@ -34,9 +34,30 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each class of near duplicates."""
-    goes = minhash.near_classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__goes")).distinct()
-    return docs.join(goes, F.col("doc_id") == F.col("__goes"), "left_anti")
+    """One document, the smallest id, of each class of near duplicates; rows without an id stay.
+
+    Of rows that repeat an id and a text one stays. Where one id has several texts, these are numbered in the order of
+    their smallest ids and go by their own classes.
+    """
+    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    names = saved(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", key.alias("__key")).agg(F.count("*").alias("rows")), "names")
+    if names.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        goes = minhash.near_classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__goes")).distinct()
+        left = docs.join(goes, F.col("doc_id") == F.col("__goes"), "left_anti")
+        if names.filter("rows > 1").isEmpty():
+            return left
+        left = left.withColumn("__key", key)
+    else:
+        firsts = names.groupBy("__key").agg(F.min("doc_id").alias("__first")).repartitionByRange("__first", "__key")
+        order = firsts.sortWithinPartitions("__first", "__key").withColumn("__number", F.monotonically_increasing_id())
+        order = saved(order.withColumnRenamed("__key", "__other"), "order")
+        numbered = docs.withColumn("__key", key).join(order, (F.col("__key") == F.col("__other")) & F.col("doc_id").isNotNull(), "left").drop("__other")
+        numbered = saved(numbered, "numbered").filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("__first")))
+        classes = minhash.near_classes(numbered.select(F.col("__number").alias("doc_id"), "text"))
+        goes = classes.filter(~F.col("kept")).select(F.col("doc_id").alias("__goes")).distinct()
+        left = numbered.join(goes, F.col("__number") == F.col("__goes"), "left_anti")
+    named = left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "__key"])
+    return named.unionByName(left.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,3 +18,21 @@ def test_line_dedup_keeps_clashing_columns(spark):
     assert {(r.doc_id, r.text, r.n_chars, r.n_lines, r.n_removed) for r in after.collect()} == {
         (1, "a\nb\nc\nd", 7, "mine", 40), (2, "x", 1, None, 41), (3, None, None, "theirs", None)
     }
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    rng = random.Random(71)
+    one, other, third = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def left(rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+        after = pipeline.one_of_near_duplicates(spark, docs, SF)
+        assert after.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in after.collect()), key=str)
+
+    near = other + " more"
+    # The smallest id of other's class is 3, one is only in 5; third and near share an id with other texts.
+    rows = [(3, other), (5, other), (5, one), (5, one), (5, third), (6, near), (6, third), (None, one)]
+    assert left(rows) == sorted([(3, other), (5, one), (5, third), (None, one)], key=str)
+    assert left([(3, other), (3, other), (4, one), (7, near)]) == sorted([(3, other), (4, one)], key=str)
