@@ -3,8 +3,8 @@
 A dynamic program over the global length histogram chooses the bucket boundaries that pad least; batches of a fixed
 token budget then form inside each bucket, in seeded order.
 
-The histogram is exact up to ``EXACT_LENGTHS`` and keeps eight leading bits beyond (rounded up), so what reaches the
-driver is bounded whatever the corpus holds. Batches are numbered by the running count over blocks of the seeded order
+The histogram is exact up to ``EXACT_LENGTHS`` and has bins of eight leading bits beyond, each with the longest length
+in it as its bound, so what reaches the driver is bounded whatever the corpus holds and boundaries are real lengths. Batches are numbered by the running count over blocks of the seeded order
 and within them, so a bucket that holds most of the documents is many blocks, not one window.
 """
 
@@ -87,7 +87,7 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_T
     """
     spark = lengths.sparkSession
     rows = lengths.select("doc_id", F.greatest(F.lit(0), F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
-    counts = rows.groupBy(histogram_length(F.col("n_tokens")).alias("length")).count().collect()
+    counts = rows.groupBy(histogram_length(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("length"), F.count("*").alias("count")).collect()
     bounds = optimal_boundaries(((r.length, r["count"]) for r in counts), buckets)
     bin_of = {r.length: next(i for i, b in enumerate(bounds) if r.length <= b) for r in counts}
     size = [0] * len(bounds)
@@ -97,7 +97,7 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_T
         spark, "b long, padded long, fits long, blocks long",
         [(i, b, max(1, batch_tokens // max(1, b)), max(1, -(-size[i] // BLOCK_ROWS))) for i, b in enumerate(bounds)],
     )
-    bucket = F.array_size(F.filter(F.array(*(F.lit(b) for b in bounds)).cast("array<bigint>"), lambda b: b < histogram_length(F.col("n_tokens"))))
+    bucket = F.array_size(F.filter(F.array(*(F.lit(b) for b in bounds)).cast("array<bigint>"), lambda b: b < F.col("n_tokens")))
     place = F.xxhash64(F.lit(seed), F.col("doc_id"))
     dealt = (
         rows.withColumn("bucket", bucket.cast("long"))
