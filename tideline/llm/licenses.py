@@ -38,7 +38,7 @@ TEMPLATES = (
 
 #: Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.8
-#: A block starts at every ``STRIDE``-th word and has twice as many; no template has more words than this.
+#: A block starts at every ``STRIDE``-th word and has twice as many; a template of more words has longer blocks.
 STRIDE = 32
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 KELVIN, DOTTED_I = "K", "İ"
@@ -92,8 +92,21 @@ def needed(n: int, threshold: float) -> int:
 def template_matches(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``id, version, block, label, containment``: every block and template that meet the threshold.
 
-    Blocks are numbered from 0 in each text; ``version`` is the text's hash.
+    Blocks are numbered from 0 in each text; ``version`` is the text's hash. Templates of more than ``STRIDE`` words
+    are looked for in blocks of their own, whose stride is the next of ``STRIDE``, 2 ``STRIDE``, 4 ``STRIDE``, ... that
+    has room for the whole template; these are numbered apart.
     """
+    by_stride: dict[int, list] = {}
+    for text, label in templates:
+        stride = STRIDE
+        while stride < len(text.split()):
+            stride *= 2
+        by_stride.setdefault(stride, []).append((text, label))
+    found = [_matches(docs, tuple(group), threshold, stride) for stride, group in sorted(by_stride.items())]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _matches(docs: DataFrame, templates: tuple, threshold: float, stride: int) -> DataFrame:
     sets = [(i, label, frozenset(text.split())) for i, (text, label) in enumerate(templates)]
     vocabulary = sorted(set().union(*(s for _, _, s in sets)))
     order = token_order(docs, vocabulary)
@@ -111,7 +124,7 @@ def template_matches(docs: DataFrame, templates: tuple = TEMPLATES, threshold: f
     place = F.transform("words", lambda w, i: F.struct(i.alias("at"), F.array_position(F.array(*map(F.lit, order)), w).alias("rank")))
     hits = rows.select("id", "version", F.filter(place, lambda p: p["rank"] > 0).alias("hits"))
     spread = hits.select("id", "version", F.explode("hits").alias("h")).select(
-        "id", "version", (F.col("h.rank") - 1).alias("rank"), F.floor(F.col("h.at") / STRIDE).alias("tile")
+        "id", "version", (F.col("h.rank") - 1).alias("rank"), F.floor(F.col("h.at") / stride).alias("tile")
     )
     in_blocks = spread.select("id", "version", "rank", F.explode(F.filter(F.array("tile", F.col("tile") - 1), lambda b: b >= 0)).alias("block"))
     blocks = in_blocks.groupBy("id", "version", "block").agg(F.array_sort(F.collect_set("rank")).alias("ranks"))
