@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, classlm, exact, fingerprint, licenses, lines, minhash, mixing, packing, quality
+from tideline.llm import chat, classlm, exact, fingerprint, licenses, lines, minhash, mixing, packing, quality, repair, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
@@ -74,8 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
+    "op13_repair": op13_repair,
 }
 
+
 def _license_sql() -> str:
     """Every block against every template, with nothing filtered first."""
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES)
@@ -113,6 +124,102 @@ def _license_sql() -> str:
         FROM split s LEFT JOIN base USING (doc_id) LEFT JOIN labelled USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 
+def _repair_sql() -> str:
+    """Every conversation on its own: a table of the four grammar states, filled from the end.
+
+    A cell is the cost in twelve digits before the audit, so that the least text is the cheapest edit, ties ASCII-least.
+    """
+    written = {repair.START: repair.AFTER_U, repair.AFTER_S: repair.AFTER_U, repair.AFTER_U: repair.AFTER_A, repair.AFTER_A: repair.AFTER_U}
+    kept = {repair.START: (("s", 1), ("u", 2)), repair.AFTER_S: (("u", 2),), repair.AFTER_U: (("a", 3),), repair.AFTER_A: (("u", 2),)}
+
+    def plus(cell: str, cost: str, edit: str) -> str:
+        return f"lpad((CAST(left({cell}, 12) AS BIGINT) + {cost})::VARCHAR, 12, '0') || '{edit}' || substr({cell}, 13)"
+
+    def own(q: int) -> str:
+        keep = " ".join(f"WHEN lower(letter) = '{i}' THEN {plus(f'b{to}', 'late', 'K')}" for i, to in kept[q])
+        reroled = plus(f"b{written[q]}", "late + 1", "R")
+        return f"least({plus(f'b{q}', '2', 'D')}, CASE {keep} END, CASE WHEN letter <> 'd' THEN {reroled} END) AS b{q}"
+
+    def inserted(q: int) -> str:
+        return f"least(b{q}, {plus(f'b{written[q]}', '5', 'I')}) AS b{q}"
+
+    states = range(4)
+    return rf"""
+        WITH RECURSIVE bytes AS (
+            SELECT [list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]),
+                                lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))
+                    FOR i IN range(256)] AS step),
+        coded AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(4294967295, list_reduce(
+                       list_prepend(4294967295, list_transform(
+                           string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                           lambda x: ord(x)::BIGINT)),
+                       lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]))) % 20 AS code
+            FROM conversations, bytes),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+                   CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM (SELECT *, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM coded)),
+        placed AS (
+            SELECT *, row_number() OVER (
+                PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS pos,
+                left(role, 1) AS initial
+            FROM damaged),
+        judged AS (
+            SELECT *, NOT regexp_matches(text, '[^ 	-]') AS is_blank,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS is_seen,
+                   NOT regexp_matches(text, '[.!?][ 	-]*$') AS is_cut,
+                   lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair
+            FROM placed),
+        lettered AS (
+            SELECT *, CASE WHEN is_blank OR is_seen THEN 'd'
+                           WHEN is_cut THEN upper(CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'x' END)
+                           WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'x' END AS letter
+            FROM judged),
+        reports AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (is_blank) AS blank, count(*) FILTER (NOT is_blank AND is_seen) AS duplicate,
+                   count(*) FILTER (NOT is_blank AND NOT is_seen AND is_cut) AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+                   string_agg(letter, '' ORDER BY pos) AS word
+            FROM lettered GROUP BY conv_id),
+        best AS (
+            SELECT conv_id, word, 0 AS done, '000000000000' AS b0, '000000000010II' AS b1, '000000000005I' AS b2, '000000000000' AS b3
+            FROM reports
+            UNION ALL
+            SELECT conv_id, word, done, {", ".join(inserted(q) for q in states)} FROM (
+                SELECT conv_id, word, done, {", ".join(inserted(q) for q in states)} FROM (
+                    SELECT conv_id, word, done + 1 AS done, {", ".join(own(q) for q in states)}
+                    FROM (SELECT *, word[len(word) - done] AS letter,
+                                 CASE WHEN word[len(word) - done] IN ('S', 'U', 'A', 'X') THEN 5 ELSE 0 END AS late
+                          FROM best WHERE done < len(word))))),
+        audits AS (SELECT conv_id, CAST(left(b0, 12) AS BIGINT) AS cost, substr(b0, 13) AS audit FROM best WHERE done = len(word)),
+        edits AS (
+            SELECT conv_id, edit, nth,
+                   count(*) FILTER (edit <> 'I') OVER upto AS pos, count(*) FILTER (edit <> 'D') OVER upto AS spoken
+            FROM (SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS nth
+                  FROM audits WHERE audit <> '')
+            WINDOW upto AS (PARTITION BY conv_id ORDER BY nth)),
+        written AS (
+            SELECT e.*, p.role, CASE WHEN edit = 'I' THEN '' ELSE p.text END AS text,
+                   max(CASE WHEN spoken = 1 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS system
+            FROM edits e LEFT JOIN placed p ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.pos = p.pos
+            WHERE edit <> 'D'),
+        repaired AS (
+            SELECT conv_id, string_agg(
+                CASE WHEN edit = 'K' THEN role WHEN (spoken - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+                chr(10) ORDER BY nth) AS whole
+            FROM written GROUP BY conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+               coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN reports r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+        LEFT JOIN audits a ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+        LEFT JOIN repaired w ON c.conv_id IS NOT DISTINCT FROM w.conv_id"""
+
+
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -189,4 +296,5 @@ ORACLES: dict[str, str] = {
                     ELSE size * greatest(0, ceil((2 * round(target) - middle) / (2.0 * source_size))) END AS BIGINT) AS taken
         FROM laid JOIN targets ON laid.source IS NOT DISTINCT FROM targets.source""",
     "op8_licenses": _license_sql(),
+    "op13_repair": _repair_sql(),
 }
