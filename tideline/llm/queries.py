@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, classlm, exact, fingerprint, licenses, lines, minhash, mixing, packing, quality, repair, whitening
+from tideline.llm import chat, classlm, exact, fingerprint, licenses, lines, minhash, mixing, packing, quality, repair, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_toxic(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(_table(spark, sf_dir, "conversations"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
     "op11_whitening": op11_whitening,
+    "op12_toxicity": op12_toxicity,
     "op13_repair": op13_repair,
 }
 
@@ -167,9 +172,11 @@ def _repair_sql() -> str:
                 left(role, 1) AS initial
             FROM damaged),
         judged AS (
-            SELECT *, NOT regexp_matches(text, '[^ 	-]') AS is_blank,
+            SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS is_blank,
                    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS is_seen,
-                   NOT regexp_matches(text, '[.!?][ 	-]*$') AS is_cut,
+                   NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS is_cut,
                    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair
             FROM placed),
         lettered AS (
