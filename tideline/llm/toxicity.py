@@ -9,7 +9,8 @@ misspells, and inflected forms share their stem, so they are scored alike.
 
 Training texts are spread over ``PARTS`` groups. In each of ``ROUNDS`` rounds, every group goes over its own texts from
 the same start; what the groups changed is then averaged bucket by bucket, over the groups that met the bucket. The
-bags of training texts are worked out once. A round passes the model (4 MB) to the groups and back.
+bags of training texts are worked out once and written as one row a group (a few kilobytes a text). A round passes the
+model (4 MB) to the groups and back.
 
 The softmax is linear, so a trained model is one number a bucket. Every text is scored where it is read, in pieces,
 whatever its length. Scores of rows left out of the fit map them to probabilities, by a logistic curve.
@@ -17,6 +18,7 @@ whatever its length. Scores of rows left out of the fit map them to probabilitie
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -36,7 +38,7 @@ BUCKETS = 1 << BITS
 PRIOR = 500
 #: Groups that train side by side, how often they meet, how often each goes over its texts in between, and the steps it
 #: takes then at least: few texts are gone over more often.
-PARTS, ROUNDS, EPOCHS, STEPS = 4, 5, 2, 1_000
+PARTS, ROUNDS, EPOCHS, STEPS = 6, 5, 2, 1_000
 RATE, SOFTMAX_RATE, DAMPING, SEED = 10.0, 3.0, 1e-3, 4_711
 #: Buckets that are averaged together.
 BLOCK = 1 << 12
@@ -159,11 +161,22 @@ class Model:
         self.bias = self.bias - pace[1] * error
 
 
-def labelled_bags(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``draw, label, buckets, counts`` of the labelled documents the fit uses; never of fold 2.
+def written(kept: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """A bag as compressed bytes: steps between its buckets, then counts."""
+    buckets, counts = kept
+    return zlib.compress(np.diff(buckets, prepend=0).astype("<i4").tobytes() + np.minimum(counts, 1 << 31).astype("<f4").tobytes(), 1)
+
+
+def read(kept: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(kept)
+    return np.cumsum(np.frombuffer(raw[: len(raw) // 2], "<i4")), np.frombuffer(raw[len(raw) // 2:], "<f4")
+
+
+def training_groups(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``part, draws, labels, bags``: a row for each group of labelled documents the fit uses; never of fold 2.
 
     Null labels and ids are left out; a document labelled several times has the mean label. The chosen labels are at
-    most about ``train_rows`` narrow rows, so they are broadcast and no text is shuffled.
+    most about ``train_rows`` narrow rows, so they are broadcast; of the texts only compressed bags are shuffled, once.
     """
     mean = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).groupBy(
         F.col("doc_id").cast("long").alias("__id")
@@ -174,43 +187,55 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(chosen), F.col("doc_id") == F.col("__id")
-    ).select("draw", "label", "text")
+    ).select(F.pmod("draw", F.lit(PARTS)).alias("part"), "draw", "label", "text")
 
     def with_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [bag(t) for t in b.column(2).to_pylist()]
-            columns = [b.column(0), b.column(1), pa.array([k for k, _ in bags], pa.list_(pa.int32())), pa.array([v for _, v in bags], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["draw", "label", "buckets", "counts"])
+            bags = pa.array([written(bag(t)) for t in b.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], bags], ["part", "draw", "label", "bag"])
+
+    one = F.sort_array(F.collect_list(F.struct("draw", "label", "bag")))
+    groups = rows.mapInArrow(with_bags, "part long, draw long, label double, bag binary").groupBy("part").agg(one.alias("rows"))
+    return groups.select("part", *(F.col(f"rows.{c}").alias(f"{c}s") for c in ("draw", "label", "bag")))
 
-    return rows.mapInArrow(with_bags, "draw long, label double, buckets array<int>, counts array<float>")
 
+def _calibrates(draws: np.ndarray) -> np.ndarray:
+    return draws // PARTS % CALIBRATION == 0
 
-def _round(bags: DataFrame, model: Model, number: int) -> Model:
+
+def _groups(batches: Iterator[pa.RecordBatch], calibrate: bool) -> Iterator[tuple[np.ndarray, list]]:
+    """Labels and bags of one group after another: the rows that calibrate, or those that are learned from."""
+    for b in batches:
+        for draws, labels, bags in zip(*(b.column(k) for k in range(3)), strict=True):
+            wanted = np.flatnonzero(_calibrates(draws.values.to_numpy()) == calibrate)
+            yield labels.values.to_numpy()[wanted], [read(bags.values[int(i)].as_py()) for i in wanted]
+
+
+def _round(groups: DataFrame, model: Model, number: int) -> Model:
     """Every group trains on from ``model``; the changes are averaged, a block of buckets at a time."""
 
-    def train(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("draw", "ascending"), ("label", "ascending")])
-        own = replace(model, vectors=model.vectors.copy(), vector_steps=model.vector_steps.copy(), softmax_steps=model.softmax_steps.copy())
-        met = np.zeros(BUCKETS, np.float32)
-        columns = (group.column(k).to_numpy() if k == "label" else group.column(k).combine_chunks() for k in ("label", "buckets", "counts"))
-        label, buckets, counts = columns
-        rng = np.random.default_rng([SEED, number])
-        for _ in range(max(EPOCHS, STEPS // len(label))):
-            for i in rng.permutation(len(label)):
-                at = buckets[int(i)].values.to_numpy()
-                if len(at):
-                    own.step(at, counts[int(i)].values.to_numpy(), label[i])
-                    met[at] = 1
-        head = np.concatenate([own.softmax.ravel(), own.bias, own.softmax_steps, [1.0]])
-        moved = np.column_stack([own.vectors - model.vectors, own.vector_steps - model.vector_steps, met]).astype(np.float32)
-        blocks = [head.astype(np.float32).tobytes(), *(moved[k: k + BLOCK].tobytes() for k in range(0, BUCKETS, BLOCK))]
-        return pa.table({"block": pa.array(range(-1, len(blocks) - 1), pa.int32()), "sums": pa.array(blocks, pa.binary())})
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for label, bags in _groups(batches, calibrate=False):
+            if not len(label):
+                continue
+            own = replace(model, vectors=model.vectors.copy(), vector_steps=model.vector_steps.copy(), softmax_steps=model.softmax_steps.copy())
+            met = np.zeros(BUCKETS, np.float32)
+            rng = np.random.default_rng([SEED, number])
+            for _ in range(max(EPOCHS, STEPS // len(label))):
+                for i in rng.permutation(len(label)):
+                    own.step(*bags[i], label[i])
+            for buckets, _ in bags:
+                met[buckets] = 1
+            head = np.concatenate([own.softmax.ravel(), own.bias, own.softmax_steps, [1.0]])
+            moved = np.column_stack([own.vectors - model.vectors, own.vector_steps - model.vector_steps, met]).astype(np.float32)
+            blocks = [head.astype(np.float32).tobytes(), *(moved[k: k + BLOCK].tobytes() for k in range(0, BUCKETS, BLOCK))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(blocks) - 1), pa.int32()), pa.array(blocks, pa.binary())], ["block", "sums"])
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(v, np.float32).astype(np.float64) for v in sorted(group.column("sums").to_pylist()))
         return pa.table({"block": group.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    trained = bags.groupBy(F.pmod("draw", F.lit(PARTS)).alias("part")).applyInArrow(train, "block int, sums binary")
+    trained = groups.select("draws", "labels", "bags").mapInArrow(train, "block int, sums binary")
     sums = {r["block"]: np.frombuffer(r["sums"]) for r in trained.groupBy("block").applyInArrow(add, "block int, sums binary").collect()}
     head = sums[-1][:-1] / sums[-1][-1]
     moved = np.concatenate([sums[k].reshape(-1, SIZE + 2) for k in range(BUCKETS // BLOCK)])
@@ -223,26 +248,23 @@ def _round(bags: DataFrame, model: Model, number: int) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     """A calibrated model; none where no row may be learned from."""
-    bags = saved(labelled_bags(docs, labels, train_rows), "toxicity-bags")
-    fifth = F.pmod(F.floor(F.col("draw") / PARTS), F.lit(CALIBRATION))
-    calibrate, learn = bags.filter(fifth == 0), bags.filter(fifth != 0)
-    known = learn.agg(F.avg("label").alias("share"), F.count("*").alias("n")).first()
+    groups = saved(training_groups(docs, labels, train_rows), "toxicity-groups")
+    rows = groups.select(F.explode(F.arrays_zip("draws", "labels")).alias("row")).select("row.draws", "row.labels")
+    learned = F.pmod(F.floor(F.col("draws") / PARTS), F.lit(CALIBRATION)) != 0
+    known = rows.filter(learned).agg(F.avg("labels").alias("share"), F.count("*").alias("n")).first()
     if not known["n"]:
         return None
     model = Model.fresh((known["share"] * known["n"] + 0.5) / (known["n"] + 1))
     for number in range(ROUNDS):
-        model = _round(learn, model, number)
+        model = _round(groups, model, number)
     weights, bias = model.weights().astype(np.float32), float(model.bias[1] - model.bias[0])
 
     def odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z = []
-            for at, n in zip(b.column(1), b.column(2), strict=True):
-                counts = n.values.to_numpy()
-                z.append(float(weights[at.values.to_numpy()] @ counts) / (float(counts.sum()) + PRIOR) + bias)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.float64())], ["label", "z"])
+        for label, bags in _groups(batches, calibrate=True):
+            z = [float(weights[buckets] @ counts) / (float(counts.sum()) + PRIOR) + bias for buckets, counts in bags]
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.float64()), pa.array(z, pa.float64())], ["label", "z"])
 
-    scored = calibrate.select("label", "buckets", "counts").mapInArrow(odds, "label double, z double")
+    scored = groups.select("draws", "labels", "bags").mapInArrow(odds, "label double, z double")
     bins = scored.groupBy(F.round(F.least(F.greatest("z", F.lit(-50.0)), F.lit(50.0)), 1).alias("z")).agg(F.avg("label").alias("label"), F.count("*").alias("n"))
     slope, shift = logistic([(b["z"], b["label"], b["n"]) for b in bins.collect()])
     return replace(model, slope=slope, shift=shift)

@@ -62,7 +62,8 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         _, sizes, entries = quantised(b.column(0))
         for size in np.unique(sizes):
-            x = entries[np.repeat(sizes == size, sizes)].reshape(-1, size)
+            same = sizes == size
+            x = entries[np.repeat(same, sizes)].reshape(int(same.sum()), size)
             n, total = found.get(int(size), (0, [0] * int(size)))
             high, low = (x >> 26).sum(axis=0), (x & ((1 << 26) - 1)).sum(axis=0)
             found[int(size)] = (n + len(x), [t + (int(h) << 26) + int(v) for t, h, v in zip(total, high, low, strict=True)])
@@ -138,7 +139,7 @@ def fit(embeddings: DataFrame, vector: str = "embedding", components: int = COMP
         for b in batches:
             _, sizes, entries = quantised(b.column(0), size)
             if len(sizes):
-                part = squares(entries.reshape(-1, size) - floors)
+                part = squares(entries.reshape(len(sizes), size) - floors)
                 total = [t + p.astype(object) for t, p in zip(total, part, strict=True)] if total else [p.astype(object) for p in part]
         rows = [(i, k, Decimal(int(v))) for i, line in enumerate(total or []) for k, v in enumerate(line)]
         yield _rows(rows, [("dim", pa.int32()), ("past", pa.int32()), ("total", pa.decimal128(38, 0))])
@@ -214,7 +215,7 @@ def identity_error(embeddings: DataFrame, model: Whitening, vector: str = "embed
         for b in batches:
             _, sizes, entries = quantised(b.column(0), size)
             if len(sizes):
-                w = model.whitened(entries.reshape(-1, size) - model.floors)[:, live]
+                w = model.whitened(entries.reshape(len(sizes), size) - model.floors)[:, live]
                 total += np.vstack([w.T @ w, w.sum(axis=0)])
         i, j = np.indices(total.shape)
         yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], ["i", "j", "v"])
