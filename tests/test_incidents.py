@@ -124,7 +124,7 @@ def test_transitions(spark):
 
 def test_actions_ahead_of_detections_lose_nothing(spark, tmp_path):
     """Several triggers; every action is read long before the detections of its time."""
-    from tideline.streaming.stateful import STATE_STORE, stateful_incidents
+    from tideline.streaming.stateful import STATE_STORE, open_incidents, stateful_incidents, waiting_actions
 
     fired = {"a": [1, 2, 3, 30, 31], "b": [2, 40]}
     acts = [("a1", "a", "acknowledge", 2), ("a2", "a", "resolve", 30.5), ("n", "nobody", "resolve", 200), ("b1", "b", "acknowledge", 5), ("b2", "b", "acknowledge", 6)]
@@ -148,6 +148,11 @@ def test_actions_ahead_of_detections_lose_nothing(spark, tmp_path):
             changes = stateful_incidents(streams[0], STEP, timedelta(seconds=40), timedelta(seconds=30), streams[1])
             writer = changes.writeStream.format("parquet").option("checkpointLocation", folders["checkpoint"]).trigger(availableNow=True)
             writer.start(folders["out"]).awaitTermination()
+            if last == 2:
+                # Read back between two starts: what is open, and what waits for its time.
+                held = {(r.fingerprint, epoch_us(r.opened_at), r.event_count, r.acknowledged) for r in open_incidents(spark, folders["checkpoint"]).collect()}
+                assert held == {("a", epoch_us(at(1)), 7, True), ("b", epoch_us(at(2)), 5, False), ("clock", epoch_us(at(2)), 5, False)}
+                assert {r.action_id for r in waiting_actions(spark, folders["checkpoint"]).collect()} == {"a2", "b1", "b2", "n", "beat-2"}
     finally:
         for key in STATE_STORE:
             spark.conf.unset(key)
