@@ -200,7 +200,7 @@ _cte("det_spike", _detect("error_spike", "error spike", "0.5", "critical", "wind
 _cte("no_acts", "SELECT '' AS target, '' AS action, TIMESTAMP '2024-01-01' AS at WHERE false")
 _cte("acts", """
 SELECT 'error_rate' || chr(31) || tenant_id || chr(31) || service_name AS target,
-  CASE WHEN event_id % 4 = 0 THEN 'resolve' ELSE 'acknowledge' END AS action, received_at AS "at"
+  CASE WHEN event_id % 4 = 0 THEN 'resolve' ELSE 'acknowledge' END AS action, received_at AS "at", CAST(event_id AS VARCHAR) AS action_id
 FROM base WHERE event_type = 'signup'""", "base")
 
 INCIDENT_NS = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
@@ -244,7 +244,16 @@ FROM acked{suffix}""", f"acked{suffix}")
 _incidents("no_acts", "_0")
 _incidents("acts", "")
 
-_cte("seeds", "SELECT fingerprint, tick AS opened_at, event_count AS first_count FROM det", "det")
+_cte("grown", """
+SELECT fingerprint, run, tick, min(tick) OVER r AS opened_at,
+  CAST(first_value(event_count - new_event_count) OVER r + sum(new_event_count) OVER r AS BIGINT) AS count_then
+FROM numbered WINDOW r AS (PARTITION BY fingerprint, run ORDER BY tick)""", "numbered")
+_cte("accepted_acts", """
+SELECT r.fingerprint, r.run, r.opened_at, a."at", min(a.action_id) AS action_id,
+  CASE a.action WHEN 'resolve' THEN 'resolved' ELSE 'acknowledged' END AS kind
+FROM acked r JOIN acts a ON a.target = r.fingerprint
+  AND ((a.action = 'resolve' AND a."at" = r.hand_at) OR (a.action = 'acknowledge' AND a."at" = r.acknowledged_at))
+GROUP BY ALL""", "acked", "acts")
 # What a stream sees: event-time windows, and the firings among them.
 def _live(suffix: str, days: int, rule: str, severity: str, least: int, threshold: str) -> None:
     _cte(f"live_windows{suffix}", f"""
@@ -255,8 +264,8 @@ FROM telemetry e, (SELECT unnest(generate_series({START} - INTERVAL 3 DAY, {HORI
 WHERE e.event_timestamp < t.tick AND e.event_timestamp >= t.tick - INTERVAL {days} DAY GROUP BY ALL""", "telemetry")
     _cte(f"live_fired{suffix}", f"""
 SELECT *, '{rule}' || chr(31) || tenant_id || chr(31) || service_name AS fingerprint, lag(tick) OVER (PARTITION BY tenant_id, service_name ORDER BY tick) AS prev
-FROM live_windows{suffix} WHERE total >= {least} AND errors / total >= {threshold} AND tick <= (SELECT max(event_timestamp) FROM telemetry)""",
-         f"live_windows{suffix}", "telemetry")
+FROM live_windows{suffix} WHERE total >= {least} AND errors / total >= {threshold}""",
+         f"live_windows{suffix}")
     _cte(f"live_numbered{suffix}", f"""
 SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(tick) - epoch_us(prev) >= 3 * {DAY_US} THEN 1 ELSE 0 END) OVER (PARTITION BY fingerprint ORDER BY tick) AS run
 FROM live_fired{suffix}""", f"live_fired{suffix}")
@@ -266,6 +275,8 @@ SELECT fingerprint, '{rule}' AS rule_id, '{severity}' AS severity, run, any_valu
   arg_min(errors, tick) + sum(new_errors) - arg_min(new_errors, tick) AS event_count FROM live_numbered{suffix} GROUP BY fingerprint, run""", f"live_numbered{suffix}")
 
 
+_cte("live_det", _detect("error_rate", "elevated error rate", "0.4", "error", "live_windows"), "live_windows")
+_cte("live_det48", _detect("error_spike", "error spike", "0.5", "critical", "live_windows48", 4, "48h0m0s"), "live_windows48")
 _live("", 3, "error_rate", "error", 5, "0.4")
 _live("48", 2, "error_spike", "critical", 4, "0.5")
 
@@ -633,11 +644,23 @@ SELECT path, count(*) FILTER (NOT failed) AS requests, count(*) FILTER (NOT fail
     "stream_ingest": _with("""
 SELECT DISTINCT n_id AS event_id, event_timestamp, n_tenant AS tenant_id, n_severity AS severity, CAST(event_timestamp AS DATE) AS event_date
 FROM accepted WHERE n % 230 <> 0 AND (n % 250 = 0 OR (n % 270 <> 0 AND n % 290 <> 0))""", "accepted"),
-    "stream_windows": _with("SELECT * FROM live_windows WHERE tick <= (SELECT max(event_timestamp) FROM telemetry)", "live_windows", "telemetry"),
+    "stream_windows": _with("SELECT * FROM live_windows", "live_windows"),
+    "stream_rule_windows": _with("SELECT * FROM live_windows UNION ALL SELECT * FROM live_windows48", "live_windows", "live_windows48"),
+    "stream_rules": _with("SELECT * FROM live_det UNION ALL SELECT * FROM live_det48", "live_det", "live_det48"),
     "stream_incidents": _with(f"""
 SELECT {_INCIDENT_ID} AS id, fingerprint, tenant_id, service_name, rule_id, severity, CAST(event_count AS BIGINT) AS event_count,
   opened_at, last_seen_at, last_seen_at + INTERVAL 2 DAY AS resolved_at
-FROM (SELECT * FROM live_runs UNION ALL SELECT * FROM live_runs48)
-WHERE last_seen_at + INTERVAL 60 HOUR - INTERVAL 1 MICROSECOND <= (SELECT max(event_timestamp) FROM telemetry)""", "live_runs", "live_runs48", "telemetry"),
-    "stateful_incidents": _with("SELECT id, fingerprint, opened_at, first_count AS event_count FROM inc JOIN seeds USING (fingerprint, opened_at)", "inc", "seeds"),
+FROM (SELECT * FROM live_runs UNION ALL SELECT * FROM live_runs48)""", "live_runs", "live_runs48"),
+    # Each firing with the count it left behind, the first acknowledgement, what ended the incident, and every other action.
+    "stateful_incidents": _with(f"""
+SELECT {_INCIDENT_ID} AS id, * FROM (
+  SELECT fingerprint, CASE WHEN tick = opened_at THEN 'opened' ELSE 'grouped' END AS change, tick AS at, opened_at, tick AS last_seen_at, count_then AS event_count, NULL AS action_id
+  FROM grown
+  UNION ALL SELECT fingerprint, kind, "at", opened_at,
+    (SELECT max(tick) FROM grown g WHERE g.fingerprint = e.fingerprint AND g.run = e.run AND g.tick < e."at"),
+    (SELECT max_by(count_then, tick) FROM grown g WHERE g.fingerprint = e.fingerprint AND g.run = e.run AND g.tick < e."at"), action_id
+  FROM accepted_acts e
+  UNION ALL SELECT fingerprint, 'auto_resolved', auto_at, opened_at, last_seen_at, CAST(event_count AS BIGINT), NULL FROM closed WHERE hand_at IS NULL)
+UNION ALL SELECT NULL, target, 'rejected', "at", NULL, NULL, NULL, action_id FROM acts WHERE action_id NOT IN (SELECT action_id FROM accepted_acts)
+""", "grown", "accepted_acts", "closed", "acts"),
 }

@@ -18,6 +18,7 @@ from tideline.functions.cursor import decode_cursor, encode_cursor
 from tideline.functions.frames import instant
 from tideline.operators import constraints, contract, dedupe, detect, incidents, oncall, reads, remediation, reports, requests, retention
 from tideline.operators.windows import replay_windows, window_stats as window_stats_of
+from tideline.schema import DETECTION, OPERATOR_ACTION, TELEMETRY
 from tideline.session import configure, scratch_path
 from tideline.sources import batches, driver_tables as given, streams, tables
 
@@ -761,14 +762,54 @@ def status_distribution(spark, sf):
 
 # --- streaming: the same table as an unbounded input, run until it is used up ------------------------------
 
-def _settle(stream, spark, label):
-    """Run an append-mode stream to the end of its input and return what it wrote."""
+#: How far events may be out of order before the detector leaves them out.
+LATE = timedelta(hours=12)
+
+
+def _settle(spark, sf, label, build, *schemas):
+    """Everything a stream says: it runs to the end of its input, then again from its checkpoint after a heartbeat.
+
+    ``build`` gets a stream of heartbeats for each schema, to be added to its inputs. A heartbeat comes two months after
+    the last event and belongs to nobody, so that every window, session and timer before it closes.
+    """
+    from tideline.streaming.stateful import STATE_STORE
+
     path = scratch_path(spark, label)
-    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint")
-    writer.trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    beats = [f"{path}/beats-{i}" for i in range(len(schemas))]
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+    try:
+        for last in (False, True):
+            for beat, (schema, moment, names) in zip(beats, schemas, strict=True):
+                end = given.read_events(spark, sf).agg((F.max("ts") + F.expr("INTERVAL 60 DAY")).alias("_end")).filter("_end IS NOT NULL")
+                row = end if last else end.filter("false")
+                values = {moment: F.col("_end"), **{n: F.lit(v) for n, v in names.items()}}
+                row.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("append").parquet(beat)
+            stream = build(*[spark.readStream.schema(schema).parquet(beat) for beat, (schema, _, _) in zip(beats, schemas, strict=True)])
+            writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint")
+            writer.trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def _beat_of(schema, moment, **names):
+    return schema, moment, names
+
+
+BEAT = "nobody"
+
+
+def _over_telemetry(spark, sf, label, build):
+    """``build`` over the telemetry stream, to its very end."""
+    live = given.telemetry(spark, sf, given.stream_events(spark, sf))
+    beat = _beat_of(TELEMETRY, "event_timestamp", tenant_id=BEAT, service_name=BEAT)
+    said = _settle(spark, sf, label, lambda beats: build(live.unionByName(beats.select(*live.columns))), beat)
+    return said.filter(F.col("service_name") != BEAT)
+
+
 @query
 def stream_ingest(spark, sf):
     """The topic is consumed twice, as after a lost checkpoint; the table holds every event once."""
@@ -783,37 +824,68 @@ def stream_ingest(spark, sf):
     return tables.scan_events(spark, f"{path}/table").select("event_id", "event_timestamp", "tenant_id", "severity", "event_date")
 
 
-def _window_stream(spark, sf, window=given.WINDOW):
-    from tideline.streaming.detection import stream_windows
+@query
+def stream_windows(spark, sf):
+    from tideline.streaming.detection import stream_windows as windows
+
+    return _over_telemetry(spark, sf, "windows", lambda events: windows(events, given.WINDOW, given.STEP, LATE).drop("window"))
+
+
+@query
+def stream_rule_windows(spark, sf):
+    """Every lookback of the rule set, from one stream of panes."""
+    from tideline.streaming.panes import rule_windows
 
-    return stream_windows(given.telemetry(spark, sf, given.stream_events(spark, sf)), window, given.STEP, late=timedelta(0))
+    lookbacks = sorted({r.window for r in given.TWO_LOOKBACKS})
+    return _over_telemetry(spark, sf, "panes", lambda events: rule_windows(events, lookbacks, given.STEP, LATE))
 
 
 @query
-def stream_windows(spark, sf):
-    return _settle(_window_stream(spark, sf).drop("window"), spark, "windows")
+def stream_rules(spark, sf):
+    """Detections of two rules of different lookbacks, in one streaming query."""
+    from tideline.streaming.panes import rule_detections
+
+    found = _over_telemetry(spark, sf, "rules", lambda events: rule_detections(events, given.TWO_LOOKBACKS, given.STEP, LATE))
+    return _detections_flat(found)
 
 
 @query
 def stream_incidents(spark, sf):
-    """Incidents of two rules of different lookbacks, as far as the session chain has closed them by the end of the input."""
+    """Incidents of both rules as sessions over one stream of panes."""
     from tideline.streaming.detection import stream_incidents as sessions
+    from tideline.streaming.panes import rule_windows
 
-    found = [
-        _settle(sessions(_window_stream(spark, sf, window), given.TWO_LOOKBACKS, given.STEP, given.RESOLVE_AFTER), spark, "sessions")
-        for window in sorted({r.window for r in given.TWO_LOOKBACKS})
-    ]
-    return found[0].unionByName(found[1])
+    lookbacks = sorted({r.window for r in given.TWO_LOOKBACKS})
+
+    def build(events):
+        return sessions(rule_windows(events, lookbacks, given.STEP, LATE), given.TWO_LOOKBACKS, given.STEP, given.RESOLVE_AFTER)
+
+    return _over_telemetry(spark, sf, "sessions", build)
 
 
 @query
 def stateful_incidents(spark, sf):
-    """The openings in the changelog of the stateful form, operator actions included."""
+    """The whole changelog of the stateful form, operator actions included."""
     from tideline.streaming.stateful import stateful_incidents as changelog
 
     log = scratch_path(spark, "detections")
     given.detections(spark, sf).write.parquet(log)
     fired = spark.readStream.schema(spark.read.parquet(log).schema).parquet(log)
     actions = given.operator_actions(spark, sf, given.stream_events(spark, sf))
-    changes = changelog(fired, given.STEP, given.RESOLVE_AFTER, timedelta(0), actions)
-    return _settle(changes, spark, "changes").filter("change = 'opened'").select("id", "fingerprint", "opened_at", "event_count")
+
+    def build(fired_beats, action_beats):
+        return changelog(
+            fired.unionByName(fired_beats.select(*fired.columns)), given.STEP, given.RESOLVE_AFTER, LATE,
+            actions.unionByName(action_beats.select(*actions.columns)),
+        )
+
+    changes = _settle(
+        spark, sf, "changes", build, _beat_of(DETECTION, "tick", fingerprint=BEAT, event_count=1, new_event_count=1),
+        _beat_of(OPERATOR_ACTION, "at", target=BEAT, action="resolve", action_id=BEAT),
+    )
+    mine = changes.filter((F.col("fingerprint") != BEAT) & (F.col("change") != "rejected"))
+    refused = changes.filter((F.col("fingerprint") != BEAT) & (F.col("change") == "rejected"))
+    columns = ("id", "fingerprint", "change", "at", "opened_at", "last_seen_at", "event_count", "action_id")
+    # What a refused action met is told by its time alone.
+    nothing = [F.lit(None).cast(changes.schema[c].dataType).alias(c) if c in ("id", "opened_at", "last_seen_at", "event_count") else F.col(c) for c in columns]
+    return mine.select(*columns).unionByName(refused.select(*nothing))

@@ -41,16 +41,18 @@ def stream_windows(events: DataFrame, window: timedelta, step: timedelta, late:
 def stream_incidents(windows: DataFrame, rules: Sequence[Rule], step: timedelta, resolve_after: timedelta) -> DataFrame:
     """Incidents as sessions of firing windows, emitted when they have gone quiet, for all rules of the registry.
 
-    A rule meets the windows of its own lookback, as in a replay; run one query for each lookback of a rule set.
+    A rule meets the windows of its own lookback, as in a replay. ``windows`` are those of one lookback
+    (``stream_windows``) or of a whole rule set (``panes.rule_windows``).
     Two firings belong together while they are fewer than ``resolve_after // step + 2`` ticks apart. Firings
     lie on ticks, so a session gap half a tick short of that separates exactly those.
     Operator actions need ``stateful_incidents``.
     """
     quiet = micros(resolve_after) // micros(step)
     gap = timedelta(microseconds=(quiet + 1) * micros(step) + micros(step) // 2)
-    # window_time is the last instant inside the window: tick - 1 microsecond, and it carries the watermark.
+    # window_time is the last instant inside the window: tick - 1 microsecond. It, or the tick itself, carries the watermark.
+    moment = F.window_time("window") if "window" in windows.columns else F.col("tick")
     sessions = detect(windows, rules).groupBy(
-        F.session_window(F.window_time("window"), _span(gap)).alias("session"), "fingerprint", *SERVICE, "rule_id", "severity"
+        F.session_window(moment, _span(gap)).alias("session"), "fingerprint", *SERVICE, "rule_id", "severity"
     ).agg(
         F.min("tick").alias("opened_at"), F.max("tick").alias("last_seen_at"),
         F.min_by("event_count", "tick").alias("_seed"), F.min_by("new_event_count", "tick").alias("_first_new"),
