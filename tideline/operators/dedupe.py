@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.frames import instant, on_dates
+from tideline.functions.frames import instant
 from tideline.schema import EVENT_KEY
 from tideline.sources.tables import area, exists, read_telemetry, staged, with_event_date, write_daily
 
+#: Days of a batch whose time ranges are written into the plan.
+MOST_DAYS_IN_PLAN = 64
+
 
 def _order(order_by: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order_by]
@@ -71,21 +75,36 @@ def append_events(
     """Insert-if-absent into the day-partitioned table. Appending the same rows again adds nothing.
 
     The input is worked out once, into a staging folder; ``is_staged`` says that it is a stored table already. Of
-    the stored rows only the keys between the first and the last new time of the touched days are read back.
+    the stored rows, each touched day gives back the keys between its own first and last new time, so a stray old row
+    costs the row groups around its time and not the days up to it.
     """
     if not is_staged:
         with staged(df, "append") as rows:
             return append_events(rows, path, order_by, which, is_staged=True)
     spark, moment = df.sparkSession, F.col("event_timestamp")
-    # One row per day: as many as the days of the batch, never as many as its rows.
-    per_day = with_event_date(df).groupBy("event_date").agg(F.count("*").alias("rows"), F.min(moment).alias("low"), F.max(moment).alias("high")).collect()
-    fresh = dedupe_events(df, order_by=order_by)
-    times = [t for r in per_day for t in (r["low"], r["high"]) if t is not None]
-    if times and exists(spark, area(path, which)):
-        stored = on_dates(read_telemetry(spark, path, which), [r["event_date"] for r in per_day])
-        stored = stored.filter(moment.between(instant(min(times)), instant(max(times))))
-        fresh = insert_if_absent(fresh, stored)
-    written = Observation()
-    write_daily(fresh, path, which, written=written)
-    inserted = written.get["rows"]
-    return AppendResult(inserted, sum(r["rows"] for r in per_day) - inserted)
+    per_day = with_event_date(df).groupBy("event_date").agg(F.count("*").alias("rows"), F.min(moment).alias("low"), F.max(moment).alias("high"))
+    with staged(per_day, "append-days") as days:
+        total = days.agg(F.sum("rows")).first()[0] or 0
+        # As many rows as a plan may hold as constants, and one more; beyond, the days stay a table.
+        few = days.filter("low IS NOT NULL").limit(MOST_DAYS_IN_PLAN + 1).collect()
+        fresh = dedupe_events(df, order_by=order_by)
+        if few and exists(spark, area(path, which)):
+            fresh = insert_if_absent(fresh, _near(read_telemetry(spark, path, which), days, few))
+        written = Observation()
+        write_daily(fresh, path, which, written=written)
+        inserted = written.get["rows"]
+    return AppendResult(inserted, total - inserted)
+
+
+def _near(stored: DataFrame, days: DataFrame, few: list[Row]) -> DataFrame:
+    """The stored rows of each day of ``days`` between its ``low`` and ``high``.
+
+    Ranges of few days are constants that reach the row groups. Many days (a producer's broken clock) are joined: Spark
+    prunes the other days at run time, and the ranges are compared row by row.
+    """
+    moment = F.col("event_timestamp")
+    if len(few) <= MOST_DAYS_IN_PLAN:
+        ranges = [(F.col("event_date") == F.lit(r["event_date"])) & moment.between(instant(r["low"]), instant(r["high"])) for r in few]
+        return stored.filter(reduce(lambda a, b: a | b, ranges))
+    bounds = days.select(F.col("event_date").alias("_day"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    return stored.join(bounds, (F.col("event_date") == F.col("_day")) & moment.between(F.col("_low"), F.col("_high")), "left_semi")

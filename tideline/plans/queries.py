@@ -306,7 +306,8 @@ def rules_two_lookbacks(spark, sf):
 @query
 def incident_islands(spark, sf):
     """Grouping and auto-resolve alone."""
-    found = incidents.incidents_from_detections(given.detections(spark, sf), given.STEP, given.RESOLVE_AFTER, given.span(spark, sf)[1])
+    bounds = given.span(spark, sf)
+    found = incidents.incidents_from_detections(given.detections(spark, sf, bounds), given.STEP, given.RESOLVE_AFTER, bounds[1])
     return found.drop("details")
 
 

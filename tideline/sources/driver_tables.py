@@ -176,13 +176,14 @@ def span(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime]:
     return low + STEP, high + STEP + WINDOW
 
 
-def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start, until = span(spark, sf_dir)
+def windows(spark: SparkSession, sf_dir: str, bounds: tuple[datetime, datetime] | None = None) -> DataFrame:
+    """``bounds``: the ``span``, where the caller has it already."""
+    start, until = bounds or span(spark, sf_dir)
     return replay_windows(telemetry(spark, sf_dir), WINDOW, STEP, start=start, until=until)
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(windows(spark, sf_dir), RULES)
+def detections(spark: SparkSession, sf_dir: str, bounds: tuple[datetime, datetime] | None = None) -> DataFrame:
+    return detect(windows(spark, sf_dir, bounds), RULES)
 
 
 def operator_actions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
@@ -197,8 +198,9 @@ def operator_actions(spark: SparkSession, sf_dir: str, events: DataFrame | None
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = span(spark, sf_dir)
     return incidents_from_detections(
-        detections(spark, sf_dir), STEP, RESOLVE_AFTER, span(spark, sf_dir)[1], operator_actions(spark, sf_dir)
+        detections(spark, sf_dir, bounds), STEP, RESOLVE_AFTER, bounds[1], operator_actions(spark, sf_dir)
     )
 
 
