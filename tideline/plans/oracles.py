@@ -578,6 +578,9 @@ SELECT event_id, service_name, event_timestamp FROM telemetry WHERE tenant_id =
     "get_incident": _with("SELECT id, service_name, status, event_count FROM inc WHERE id = (SELECT min(id) FROM inc)", "inc"),
     "page_events": _with("""
 SELECT event_timestamp, event_id, severity FROM telemetry WHERE tenant_id = 'tenant-0' ORDER BY event_timestamp DESC, event_id DESC LIMIT 20 OFFSET 40""", "telemetry"),
+    "stored_page_events": _with("""
+SELECT event_timestamp, event_id, severity FROM telemetry WHERE tenant_id = 'tenant-0' ORDER BY event_timestamp DESC, event_id DESC LIMIT 20 OFFSET 40""", "telemetry"),
+    "stored_trace": _with("SELECT event_id, trace_id, event_timestamp FROM telemetry WHERE trace_id = 'trace-7'", "telemetry"),
     "page_events_offset": _with("SELECT event_timestamp, event_id FROM telemetry ORDER BY event_timestamp DESC, event_id DESC LIMIT 20 OFFSET 40", "telemetry"),
     "page_incidents": _with("SELECT last_seen_at, id, status FROM inc ORDER BY last_seen_at DESC, id DESC LIMIT 15 OFFSET 15", "inc"),
     "cursor_codec": _with(f"""

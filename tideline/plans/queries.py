@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tideline.functions import text
 from tideline.functions.cursor import decode_cursor, encode_cursor
 from tideline.functions.frames import instant
-from tideline.operators import constraints, contract, dedupe, detect, incidents, oncall, reads, remediation, reports, requests, retention
+from tideline.operators import constraints, contract, dedupe, detect, incidents, oncall, reads, remediation, reports, requests, retention, stored_pages
 from tideline.operators.windows import replay_windows, window_stats as window_stats_of
 from tideline.schema import DETECTION, OPERATOR_ACTION, TELEMETRY
 from tideline.session import configure, scratch_path
@@ -563,6 +563,20 @@ def page_events_offset(spark, sf):
     return reads.page_events(given.telemetry(spark, sf), limit=20, offset=40)[0].select("event_timestamp", "event_id")
 
 
+@query
+def stored_page_events(spark, sf):
+    """The third page of twenty of the stored table, found from the newest day backwards."""
+    path, token = _stored(spark, sf, "pages"), ""
+    for _ in range(3):
+        page, token = stored_pages.page_stored_events(spark, path, {"tenant": "tenant-0"}, limit=20, cursor=token)
+    return page.select("event_timestamp", "event_id", "severity")
+
+
+@query
+def stored_trace(spark, sf):
+    return stored_pages.stored_trace(spark, _stored(spark, sf, "trace"), "trace-7").select("event_id", "trace_id", "event_timestamp")
+
+
 @query
 def page_incidents(spark, sf):
     found = _incidents(spark, sf)

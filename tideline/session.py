@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 # Runtime SQL settings. They are results-relevant (time zone, JSON duplicates) or plan-relevant (AQE).
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
+    # The default 96-bit form has no statistics, so time bounds would prune no row group.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -22,6 +22,11 @@ DAILY = "daily"
 PARKED = "parked"
 DATE_FIELD = T.StructField("event_date", T.DateType())
 
+# Every row group has a Bloom filter of its traces, as small as their number allows: a trace is looked up without a scan.
+TRACE_BLOOM = {
+    "parquet.bloom.filter.enabled#trace_id": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(1 << 20),
+}
+
 
 def area(path: str, name: str = DAILY) -> str:
     return f"{path.rstrip('/')}/{name}"
@@ -145,6 +150,6 @@ def write_daily(
     if written is not None:
         clustered = clustered.observe(written, F.count(F.lit(1)).alias("rows"))
     (
-        clustered.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("event_date")
+        clustered.write.mode(mode).options(maxRecordsPerFile=rows_per_file, **TRACE_BLOOM).partitionBy("event_date")
         .parquet(area(path, which))
     )
