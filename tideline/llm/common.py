@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from tideline.session import scratch_path
+from tideline.sources.tables import folder
 
 # The words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +24,13 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes the files of a ``saved`` table that no later work reads: what is made of it must have been written."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        fs, where = folder(table.sparkSession, path)
+        fs.delete(where, True)
+
+
 def local_table(spark: SparkSession, schema: str, rows: Iterable[tuple]) -> DataFrame:
     """A small table made on the driver, of known size: Spark broadcasts it under its threshold and shuffles beyond."""
     fields = StructType.fromDDL(schema)

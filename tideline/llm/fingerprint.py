@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import minhash
-from tideline.llm.common import saved, shuffle_partitions, text_or_empty
+from tideline.llm.common import discard, saved, shuffle_partitions, text_or_empty
 from tideline.llm.components import components
 
 #: Sampled steps of a fingerprint.
@@ -30,8 +30,8 @@ SAMPLES = 128
 #: Characters share so many walks; walks repeat after so many steps.
 WALKS, PERIOD = 256, 1 << 16
 SEED = 77
-#: Characters walked at a time.
-PIECE = 1 << 16
+#: Characters walked at a time, by one text and by texts side by side; fewer texts than so many go on one by one.
+PIECE, SIDE_BY_SIDE, TOGETHER = 1 << 16, 1 << 21, 48
 #: Blocks of consecutive ids for each shuffle partition, and in all: their heads are a constant of the plan. A larger
 #: block takes a task longer and spills its sort; it is never held whole.
 BLOCKS_A_PARTITION, MOST_BLOCKS = 4, 8_192
@@ -62,7 +62,7 @@ class Walk:
         for j in range(PERIOD - 1, -1, -1):
             ahead = np.where(moves[:, j], 1, np.minimum(ahead + 1, 255))
             stay[:, j] = ahead
-        self.stay = [row.tobytes() for row in stay]
+        self.stay, self.flat = [row.tobytes() for row in stay], stay.ravel()
         # Steps that are ever among the SAMPLES smallest priorities of a prefix: [enters, leaves).
         self.steps: list[int] = []
         self.leaves: dict[int, int] = {}
@@ -96,12 +96,53 @@ class Walk:
         steps, leaves = self._arrays
         return steps[(steps < length) & (leaves >= length)]
 
+    @staticmethod
+    def kinds(codes: np.ndarray) -> np.ndarray:
+        """The class of each character."""
+        return (_mix(codes.astype(np.uint64) + np.uint64(SEED)) & np.uint64(WALKS - 1)).astype(np.uint8)
+
+    def ends_of(self, many: list[np.ndarray], at: list[int]) -> list[np.ndarray]:
+        """``ends`` of many texts (code points) that start at steps of their own, walked side by side.
+
+        Texts are ranked by length, and characters laid out by place first, so that those of one place lie side by side:
+        one lookup moves every text that is long enough. Where few are left, each goes on alone.
+        """
+        lengths = np.array([len(c) for c in many], np.int64)
+        rank = np.argsort(-lengths, kind="stable")
+        longest = int(lengths.max(initial=0))
+        # How many texts are longer than each place, and where the characters of a place start.
+        active = np.searchsorted(-lengths[rank], -np.arange(longest), side="left")
+        together = int(np.searchsorted(-active, -TOGETHER, side="right"))
+        starts = np.concatenate([[0], np.cumsum(active[:together])])
+        kinds = np.empty(starts[-1], np.uint32)
+        place = np.arange(together)
+        for r, k in enumerate(rank.tolist()):
+            head = min(int(lengths[k]), together)
+            if not head:
+                break
+            kinds[starts[:head] + r] = self.kinds(many[k][:head])
+        kinds *= np.uint32(PERIOD)
+        walked, position = np.empty(starts[-1], np.int64), np.array(at, np.int64)[rank]
+        mask, flat = PERIOD - 1, self.flat
+        for t in place.tolist():
+            low, high = starts[t], starts[t + 1]
+            now = position[: high - low]
+            now += flat.take((now & mask) + kinds[low:high])
+            walked[low:high] = now
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(many)
+        for r, k in enumerate(rank.tolist()):
+            head = min(int(lengths[k]), together)
+            own = walked[starts[:head] + r]
+            rest = many[k][head:]
+            out[k] = np.concatenate([own, self.ends(rest, int(position[r]))[0]]) if len(rest) else own
+        return out
+
     def ends(self, codes: np.ndarray, at: int) -> tuple[np.ndarray, int]:
         """The step after each character's last, for a walk that starts at step ``at``."""
         stay, mask = self.stay, PERIOD - 1
         out = np.empty(len(codes), np.int64)
         for lo in range(0, len(codes), PIECE):
-            kinds = (_mix(codes[lo : lo + PIECE].astype(np.uint64) + np.uint64(SEED)) & np.uint64(WALKS - 1)).astype(np.uint8).tobytes()
+            kinds = self.kinds(codes[lo : lo + PIECE]).tobytes()
             ends = []
             put = ends.append
             for k in kinds:
@@ -251,29 +292,37 @@ def text_key(text: str) -> str:
 class _Doc:
     def __init__(self, key: int | None, text: str) -> None:
         self.key, self.text, self.codes = key, text, code_points(text)
-        self.ends, _ = shared_walk().ends(self.codes, 0)
-        self.fingerprint = fingerprint_of(self.codes, self.ends)
-
-    def edited(self, following: _Doc) -> tuple[str, str]:
-        """This text with its second half from the start of the next, and its fingerprint; the first half's walk is kept."""
-        half = len(self.codes) // 2
-        stays = len(self.codes) - half
-        codes = np.concatenate([self.codes[:stays], following.codes[:half]])
-        at = int(self.ends[stays - 1]) if stays else 0
-        ends = np.concatenate([self.ends[:stays], shared_walk().ends(following.codes[:half], at)[0]])
-        return self.text[:stays] + following.text[:half], fingerprint_of(codes, ends)
-
-    def row(self, following: _Doc) -> tuple:
-        text, fingerprint = self.edited(following)
-        return (
-            self.key, len(self.codes), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), self.fingerprint, fingerprint,
-            likeness(self.fingerprint, fingerprint), likeness(self.fingerprint, following.fingerprint), text_key(self.text),
-        )
+        self.ends: np.ndarray | None = None
+        self.fingerprint = ""
+
+
+def _rows_of(pairs: list[tuple[_Doc, _Doc]]) -> list[tuple]:
+    """Rows (``RESULT``) of documents and the ones that follow; all their texts are walked side by side, then all edited ones.
+
+    An edited text is the document's with its second half from the start of the next; the first half's walk is kept.
+    """
+    walk = shared_walk()
+    fresh = list({id(d): d for pair in pairs for d in pair if d.ends is None}.values())
+    for doc, ends in zip(fresh, walk.ends_of([d.codes for d in fresh], [0] * len(fresh)), strict=True):
+        doc.ends, doc.fingerprint = ends, fingerprint_of(doc.codes, ends)
+    halves = [len(doc.codes) // 2 for doc, _ in pairs]
+    from_next = [following.codes[:half] for (_, following), half in zip(pairs, halves, strict=True)]
+    at = [int(doc.ends[-half - 1]) if len(doc.codes) else 0 for (doc, _), half in zip(pairs, halves, strict=True)]
+    rows = []
+    for (doc, following), half, tail, ends in zip(pairs, halves, from_next, walk.ends_of(from_next, at), strict=True):
+        stays = len(doc.codes) - half
+        text = doc.text[:stays] + following.text[:half]
+        edited = fingerprint_of(np.concatenate([doc.codes[:stays], tail]), np.concatenate([doc.ends[:stays], ends]))
+        rows.append((
+            doc.key, len(doc.codes), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), doc.fingerprint, edited,
+            likeness(doc.fingerprint, edited), likeness(doc.fingerprint, following.fingerprint), text_key(doc.text),
+        ))
+    return rows
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, guest, doc_id, text) sorted by block, guests last: each document meets the one after it."""
-    waiting, block, rows = None, None, []
+    waiting, block, pairs, chars = None, None, [], 0
     for batch in batches:
         for b, guest, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != block:
@@ -282,11 +331,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             following = _Doc(key, text)
             if waiting is not None:
-                rows.append(waiting.row(following))
+                pairs.append((waiting, following))
+                chars += len(following.codes)
+                if chars > SIDE_BY_SIDE:
+                    yield _batch(_rows_of(pairs))
+                    pairs, chars = [], 0
             waiting = None if guest else following
-        if rows:
-            yield _batch(rows)
-            rows = []
+    if pairs:
+        yield _batch(_rows_of(pairs))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -371,7 +423,8 @@ def band_keys(fingerprint: str) -> list[int]:
         return [0] * BANDS
     steps = steps.astype(np.uint64)
     salts = _mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(SEED << 30))
-    order = np.argsort(_mix(steps[None, :] ^ salts[:, None]), axis=1, kind="stable")[:, :BAND_STEPS]
+    drawn = _mix(steps[None, :] ^ salts[:, None])
+    order = np.argpartition(drawn, BAND_STEPS - 1, axis=1)[:, :BAND_STEPS] if len(steps) > BAND_STEPS else np.argsort(drawn, axis=1)
     said = _mix(_mix(steps) + symbols.astype(np.uint64))
     return _mix(said[order].sum(axis=1, dtype=np.uint64)).astype(np.int64).tolist()
 
@@ -457,8 +510,9 @@ def near_links(prints: DataFrame, at_least: float = 0.8, texts: Callable[[DataFr
     """Verified links ``doc_id, leader, likeness``, which connect all near texts that share a band.
 
     A band's members meet its smallest id first. Members that no verified link connects are then compared with the
-    rest of their band in blocks (``across``), first for as many pairs as connect them; where verification of such a
-    pair fails, for all pairs. So no pair of a band is left out unless its two texts are connected already.
+    rest of their band in blocks (``across``), first for as many pairs as connect them; where verification refuses such
+    a pair, the bands that hold it give all their pairs. So no pair of a band is left out unless its two texts are
+    connected already.
 
     Every link is verified on the whole fingerprints, and on the edit distance of the whole texts if ``texts`` gives
     these (``doc_id, text`` for a frame of ``doc_id``). Without texts, equal fingerprints are made one before banding.
@@ -485,20 +539,28 @@ def near_links(prints: DataFrame, at_least: float = 0.8, texts: Callable[[DataFr
     members = saved(keyed, "print-bands")
     leads = members.groupBy("band", "code").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     shared = saved(members.join(leads.drop("n"), ["band", "code"]), "shared-print-bands")
+    discard(members)
     stars = shared.filter("doc_id <> leader").select("doc_id", "leader").distinct()
     links = saved(alike(stars, unique, at_least), "star-links")
     if texts is not None:
         # One leader is enough to verify: what that leaves unconnected is compared again below.
         first = links.groupBy("doc_id").agg(F.min_by(F.struct("leader", "likeness"), "leader").alias("s"))
         links = verified(saved(first.select("doc_id", "s.leader", "s.likeness"), "first-links"), "star-links")
-    for whole in (False, True):
-        pairs = across(shared.drop("leader"), components(ends(links)), unique, at_least, whole)
-        found = saved(alike(pairs, unique, at_least), "links-across")
-        more = verified(found, "links-across")
-        links = links.unionByName(more)
-        if more.count() == found.count():
-            break  # all that is near in a band is connected
-    return links
+    pairs = across(shared.drop("leader"), components(ends(links)), unique, at_least, whole=False)
+    found = saved(alike(pairs, unique, at_least), "links-across")
+    more = verified(found, "links-across")
+    links = links.unionByName(more)
+    judged = found.select(F.col("doc_id").alias("x"), F.col("leader").alias("y"))
+    refused = saved(judged.join(more.select(F.col("doc_id").alias("x"), F.col("leader").alias("y")), ["x", "y"], "left_anti"), "refused-links")
+    if refused.isEmpty():
+        return links
+    # A band that does not hold both ends of a refused pair has connected what is near in it; the others give all pairs.
+    held = shared.select("band", "code", "doc_id")
+    both = refused.join(held.withColumnRenamed("doc_id", "x"), "x").join(held.withColumnRenamed("doc_id", "y"), ["band", "code", "y"])
+    again = shared.drop("leader").join(both.select("band", "code").distinct(), ["band", "code"], "left_semi")
+    pairs = across(again, components(ends(links)), unique, at_least, whole=True)
+    new = pairs.join(refused, (F.col("doc_id") == F.col("x")) & (F.col("leader") == F.col("y")), "left_anti")
+    return links.unionByName(verified(saved(alike(new, unique, at_least), "links-again"), "links-again"))
 
 
 def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
