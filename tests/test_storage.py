@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.cursor import read_cursor
 from tideline.functions.frames import local_frame
-from tideline.operators import dedupe, reads, reports, retention
+from tideline.operators import dedupe, reads, reports, retention, windows
 from tideline.operators.detect import Rule, detect
 from tideline.operators.windows import replay_windows, window_stats
 from tideline.schema import BOOLEAN, INT, LONG, PARTITION, STRING, TELEMETRY, TIMESTAMP, columns
@@ -88,8 +88,11 @@ def test_inclusive_ticks_count_twice(spark):
 
 
 @pytest.mark.parametrize("mode", ["inclusive", "half_open"])
-def test_hot_service_replay_matches_brute_force(spark, mode):
-    """One service holds most rows, many arrive late; every tick is compared with a literal count."""
+@pytest.mark.parametrize("few", [8, 0])
+def test_hot_service_replay_matches_brute_force(spark, mode, few, monkeypatch):
+    """One service holds most rows, many arrive late; every tick is compared with a literal count, spread and running."""
+    monkeypatch.setattr(windows, "FEW_TICKS", few)
+    monkeypatch.setattr(windows, "BLOCK_TICKS", 5)
     rows = [event(n, DAY + timedelta(seconds=(n * 37) % 600), "critical" if n % 4 == 0 else "warn", "hot" if n % 5 else f"s{n % 7}",
                   DAY + timedelta(seconds=(n * 37) % 600 + (n * 13) % 90)) for n in range(400)]
     window, step = timedelta(seconds=60), timedelta(seconds=15)
@@ -108,6 +111,22 @@ def test_hot_service_replay_matches_brute_force(spark, mode):
     assert got == want
 
 
+@pytest.mark.parametrize("mode", ["inclusive", "half_open"])
+def test_running_sums_equal_spread_counts(spark, mode, monkeypatch):
+    """Odd lookbacks together, bounds on both sides, events seen after their last tick, gaps over several blocks."""
+    rows = [event(n, DAY + timedelta(milliseconds=(n * n * 7_919) % 900_000 + (5_000_000 if n % 31 == 0 else 0)), "error" if n % 3 else "info", f"s{n % 3}") for n in range(300)]
+    for n, r in enumerate(rows):
+        r["processed_at"] = r["event_timestamp"] + timedelta(milliseconds=(n * 613) % 70_000)
+    lookbacks, step = [timedelta(seconds=s) for s in (20, 37.5, 600)], timedelta(seconds=15)
+    found = []
+    for few in (1_000, 0):
+        monkeypatch.setattr(windows, "FEW_TICKS", few)
+        monkeypatch.setattr(windows, "BLOCK_TICKS", 16)
+        ticks = replay_windows(frame(spark, rows), lookbacks, step, mode=mode, start=DAY + timedelta(seconds=100), until=DAY + timedelta(seconds=5_200))
+        found.append(sorted(map(tuple, ticks.collect())))
+    assert found[0] == found[1] and len(found[0]) > 300
+
+
 def test_rule_boundaries(spark):
     cases = [(20, 15, 1), (10, 5, 1), (10, 4, 0), (50, 0, 0), (4, 4, 0), (5, 5, 1)]
     schema = columns(tick=TIMESTAMP, window_us=LONG, tenant_id=STRING, service_name=STRING, total=LONG, errors=LONG, new_errors=LONG)

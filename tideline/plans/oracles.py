@@ -502,6 +502,12 @@ SELECT t.tick, 172800000000 AS window_us, tenant_id, service_name, count(*) AS t
   count(*) FILTER (severity IN ('error','critical') AND event_timestamp >= t.tick - INTERVAL 12 HOUR) AS new_errors
 FROM telemetry e, (SELECT unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-02-05', INTERVAL 12 HOUR)) AS tick) t
 WHERE e.event_timestamp < t.tick AND e.event_timestamp >= t.tick - INTERVAL 48 HOUR GROUP BY ALL""", "telemetry"),
+    "replay_long_lookbacks": _with("""
+SELECT t.tick, w.days * 86400000000 AS window_us, tenant_id, service_name, count(*) AS total,
+  count(*) FILTER (severity IN ('error','critical')) AS errors,
+  count(*) FILTER (severity IN ('error','critical') AND (event_timestamp >= t.tick - INTERVAL 2 HOUR OR t.tick = TIMESTAMP '2024-01-10')) AS new_errors
+FROM telemetry e, (VALUES (1), (10)) w(days), (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-02-05', INTERVAL 2 HOUR)) AS tick) t
+WHERE e.processed_at <= t.tick AND e.event_timestamp >= t.tick - to_days(w.days) GROUP BY ALL""", "telemetry"),
     "detect_error_rate": _with("SELECT * FROM det", "det"),
     "rules_x_windows": _with("SELECT * FROM det UNION ALL SELECT * FROM det_burst", "det", "det_burst"),
     "rules_two_lookbacks": _with("SELECT * FROM det UNION ALL SELECT * FROM det_spike", "det", "det_spike"),

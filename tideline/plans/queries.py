@@ -275,6 +275,14 @@ def replay_windows_half_open(spark, sf):
     return replay_windows(given.telemetry(spark, sf), timedelta(hours=48), timedelta(hours=12), mode="half_open")
 
 
+@query
+def replay_long_lookbacks(spark, sf):
+    """Lookbacks of 12 and 120 ticks, as running sums of what each tick gains and loses."""
+    return replay_windows(
+        given.telemetry(spark, sf), [timedelta(days=1), timedelta(days=10)], timedelta(hours=2), start=datetime(2024, 1, 10), until=datetime(2024, 2, 5)
+    )
+
+
 @query
 def detect_error_rate(spark, sf):
     return _detections_flat(given.detections(spark, sf))
