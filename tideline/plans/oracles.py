@@ -544,11 +544,17 @@ UNION ALL SELECT 'remediation_actions', r, count(*) FILTER (step_index = 1) FROM
 UNION ALL SELECT 'remediation_actions', r, 0 FROM (VALUES ('step_index'), ('status'), ('runbook_id')) v(r)""", "damaged_inc", "dirty", "notes", "actions_"),
     "on_call_at": _with(f"""
 SELECT i.id, l.level, {_contact('l.level', 'i.opened_at')} AS contact, CAST(l.offset_us AS BIGINT) AS offset_us FROM inc i, levels_ l""", "inc", "levels_"),
+    "load_policy": _with(f"""
+SELECT i.id, l.level, l.target, {_contact('l.level', 'i.opened_at')} AS contact, CAST(l.offset_us AS BIGINT) AS offset_us FROM inc i, levels_ l""", "inc", "levels_"),
     "first_ack_or_resolve": _with("SELECT id, stopped_at, signalled_at FROM watched", "watched"),
     "alert_starts": _with("SELECT id, started_at FROM starts WHERE event_count % 6 <> 0", "starts"),
     "escalation_timeline": _with("SELECT id, incident_id, level, target, contact, contact_address, reason, sent_at FROM pages_", "pages_"),
     "notification_rows": _with("SELECT * FROM notes", "notes"),
     "match_runbook": _with("""
+SELECT id, CASE WHEN event_count % 7 = 0 THEN NULL WHEN service_name = 'svc-7' THEN 'tag-only' WHEN event_count % 5 = 0 THEN 'hold-critical'
+    ELSE 'drain-then-fail-over' END AS runbook_id,
+  CASE WHEN event_count % 7 = 0 THEN NULL WHEN service_name = 'svc-7' OR event_count % 5 = 0 THEN 1 ELSE 3 END AS n_steps FROM inc""", "inc"),
+    "load_runbooks": _with("""
 SELECT id, CASE WHEN event_count % 7 = 0 THEN NULL WHEN service_name = 'svc-7' THEN 'tag-only' WHEN event_count % 5 = 0 THEN 'hold-critical'
     ELSE 'drain-then-fail-over' END AS runbook_id,
   CASE WHEN event_count % 7 = 0 THEN NULL WHEN service_name = 'svc-7' OR event_count % 5 = 0 THEN 1 ELSE 3 END AS n_steps FROM inc""", "inc"),
@@ -652,6 +658,9 @@ SELECT path, count(*) FILTER (NOT failed) AS requests, count(*) FILTER (NOT fail
   count(*) FILTER (failed) = 0 AND bool_and(status = 200) AS is_clean FROM samples o GROUP BY path""", "samples"),
     "stream_ingest": _with("""
 SELECT DISTINCT n_id AS event_id, event_timestamp, n_tenant AS tenant_id, n_severity AS severity, CAST(event_timestamp AS DATE) AS event_date
+FROM accepted WHERE n % 230 <> 0 AND (n % 250 = 0 OR (n % 270 <> 0 AND n % 290 <> 0))""", "accepted"),
+    "read_event_stream": _with("""
+SELECT DISTINCT n_id AS event_id, event_timestamp, n_tenant AS tenant_id, n_severity AS severity, CAST(event_timestamp AS DATE) AS event_date
 FROM accepted WHERE n % 230 <> 0 AND (n % 250 = 0 OR (n % 270 <> 0 AND n % 290 <> 0))""", "accepted"),
     "stream_windows": _with("SELECT * FROM live_windows", "live_windows"),
     "stream_rule_windows": _with("SELECT * FROM live_windows UNION ALL SELECT * FROM live_windows48", "live_windows", "live_windows48"),

@@ -20,7 +20,7 @@ from tideline.operators import constraints, contract, dedupe, detect, incidents,
 from tideline.operators.windows import replay_windows, window_stats as window_stats_of
 from tideline.schema import DETECTION, OPERATOR_ACTION, TELEMETRY
 from tideline.session import configure, scratch_path
-from tideline.sources import batches, driver_tables as given, streams, tables
+from tideline.sources import batches, config, driver_tables as given, streams, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -419,6 +419,31 @@ def on_call_at(spark, sf):
     return opened.select("id", F.col("rung.level").alias("level"), contact["name"].alias("contact"), F.col("rung.offset_us").alias("offset_us"))
 
 
+def _document(spark, text, label):
+    """A configuration file in the shared folder."""
+    path = scratch_path(spark, label)
+    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+@query
+def load_policy(spark, sf):
+    """Every level of the policy file for every incident, with who was on call when it opened."""
+    levels = config.load_policy(spark, _document(spark, given.POLICY, "policy"))
+    opened = _incidents(spark, sf).select("id", "opened_at", F.explode(oncall.policy_value(levels)).alias("rung"))
+    return opened.select(
+        "id", F.col("rung.level").alias("level"), F.col("rung.target").alias("target"),
+        oncall.on_call_at(F.col("rung"), F.col("opened_at"))["name"].alias("contact"), F.col("rung.offset_us").alias("offset_us"),
+    )
+
+
+@query
+def load_runbooks(spark, sf):
+    """The runbook of the catalog file that fits each incident."""
+    steps = config.load_runbooks(spark, _document(spark, given.CATALOG, "catalog"))
+    return remediation.match_runbook(_varied(spark, sf), steps).select("id", "runbook_id", F.size("steps").alias("n_steps"))
+
+
 @query
 def first_ack_or_resolve(spark, sf):
     return oncall.first_ack_or_resolve(_incidents(spark, sf)).select("id", "stopped_at", "signalled_at")
@@ -847,6 +872,18 @@ def stream_ingest(spark, sf):
     return tables.scan_events(spark, f"{path}/table").select("event_id", "event_timestamp", "tenant_id", "severity", "event_date")
 
 
+@query
+def read_event_stream(spark, sf):
+    """The topic as files that carry its columns, read and ingested file by file."""
+    from tideline.streaming.ingest import start_ingest
+
+    path = scratch_path(spark, "topic")
+    given.stream_records(spark, sf).drop("seq").repartition(4, "partition").write.parquet(f"{path}/topic")
+    records = streams.read_event_stream(spark, "parquet", f"{path}/topic", maxFilesPerTrigger="2")
+    start_ingest(records, f"{path}/table", f"{path}/quarantine", f"{path}/checkpoint", clock=lambda: given.NOW, available_now=True).awaitTermination()
+    return tables.scan_events(spark, f"{path}/table").select("event_id", "event_timestamp", "tenant_id", "severity", "event_date")
+
+
 @query
 def stream_windows(spark, sf):
     from tideline.streaming.detection import stream_windows as windows
