@@ -71,10 +71,11 @@ def scan_events(spark, sf):
 
 @query
 def scan_incidents(spark, sf):
-    """Recorded twice, the second time with the alert marker: readers see the last state."""
+    """Recorded, compacted, and recorded again with the alert marker: readers see the last state."""
     path = scratch_path(spark, "incident-table")
     found = _incidents(spark, sf)
     tables.record_incidents(found, path)
+    tables.compact_changes(spark, "incidents", path)
     marked = found.filter("event_count % 3 = 0").withColumns({"alerted_at": F.col("updated_at"), "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 SECOND")})
     tables.record_incidents(marked, path)
     return tables.scan_incidents(spark, path).drop("details")

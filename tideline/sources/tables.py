@@ -17,7 +17,11 @@ from pyspark.sql import types as T
 
 from tideline.schema import TABLES
 from tideline.session import scratch_path
+from tideline.sources import latest
+from tideline.sources.files import exists, folder
 
+# Tables of which readers see the last state of each id.
+LATEST = ("incidents", "remediation_actions")
 DAILY = "daily"
 PARKED = "parked"
 DATE_FIELD = T.StructField("event_date", T.DateType())
@@ -32,17 +36,6 @@ def area(path: str, name: str = DAILY) -> str:
     return f"{path.rstrip('/')}/{name}"
 
 
-def folder(spark: SparkSession, path: str):
-    """The file system and path object behind ``path`` (works for any store Spark can write to)."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, jvm_path = folder(spark, path)
-    return fs.exists(jvm_path)
-
-
 def read_telemetry(spark: SparkSession, path: str, which: str = DAILY) -> DataFrame:
     """The day-partitioned telemetry; empty when nothing was stored yet."""
     schema = T.StructType([*TABLES["telemetry_events"].fields, DATE_FIELD])
@@ -58,6 +51,8 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
         raise ValueError(f"unknown table {name!r}; known: {', '.join(TABLES)}")
     if name == "telemetry_events":
         return read_telemetry(spark, path)
+    if name in LATEST:
+        return latest.read_latest(spark, TABLES[name], path)
     return spark.read.schema(TABLES[name]).parquet(path)
 
 
@@ -65,16 +60,9 @@ def scan_events(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, "telemetry_events", path)
 
 
-def _latest(rows: DataFrame) -> DataFrame:
-    """The row of each id that changed last; of equal times, the larger row."""
-    whole = F.struct(*rows.columns)
-    newest = rows.groupBy("id").agg(F.max_by(whole, F.struct("updated_at", whole)).alias("row"))
-    return newest.select("row.*")
-
-
 def scan_incidents(spark: SparkSession, path: str) -> DataFrame:
     """Each incident as it was recorded last."""
-    return _latest(read_table(spark, "incidents", path))
+    return read_table(spark, "incidents", path)
 
 
 def scan_notifications(spark: SparkSession, path: str) -> DataFrame:
@@ -83,12 +71,17 @@ def scan_notifications(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_actions(spark: SparkSession, path: str) -> DataFrame:
     """Each remediation step with its last status."""
-    return _latest(read_table(spark, "remediation_actions", path))
+    return read_table(spark, "remediation_actions", path)
 
 
 def record_changes(df: DataFrame, name: str, path: str) -> None:
     """Append the present state of incidents or actions; readers see the last one of each id. Repeating it changes nothing."""
-    _declared(df, name).write.mode("append").parquet(path)
+    latest.add_changes(_declared(df, name), path)
+
+
+def compact_changes(spark: SparkSession, name: str, path: str) -> bool:
+    """Fold the changes of incidents or actions into sorted base files, which are then read as they are."""
+    return latest.compact(spark, TABLES[name], path)
 
 
 def record_incidents(df: DataFrame, path: str) -> None:
