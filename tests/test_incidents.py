@@ -166,3 +166,19 @@ def test_actions_ahead_of_detections_lose_nothing(spark, tmp_path):
     got = sorted(map(tuple, last.filter("opened_at IS NOT NULL").collect()))
     assert got == sorted(map(tuple, batch.select("fingerprint", "opened_at", "event_count", "last_seen_at", "acknowledged_at", "resolved_at", "auto_resolved").collect()))
     assert len(got) == 5 and [r.action_id for r in log.filter("change = 'rejected'").collect()] == ["b2"]
+
+
+@pytest.mark.parametrize("block", [1_000_000, 86_400_000_000])
+def test_overlaps_are_found_in_any_blocks(spark, block):
+    from tideline.operators.constraints import active_twice
+
+    draw = random.Random(block)
+    rows = []
+    for n in range(200):
+        start = draw.randint(0, 900)
+        rows.append({"id": f"i{n:03d}", "fingerprint": f"f{n % 7}", "opened_at": at(start / 15), "resolved_at": None if draw.random() < 0.01 else at((start + draw.randint(0, 40)) / 15)})
+    far = at(10_000)
+    want = {r["id"] for r in rows for e in rows if e["fingerprint"] == r["fingerprint"] and (e["opened_at"], e["id"]) < (r["opened_at"], r["id"]) and (e["resolved_at"] or far) > r["opened_at"]}
+    found = active_twice(local_frame(spark, rows, columns(id=STRING, fingerprint=STRING, opened_at=INCIDENT["opened_at"].dataType, resolved_at=INCIDENT["resolved_at"].dataType)), block)
+    got = [r.id for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and 0 < len(want) < 200

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.text import floor_div
 from tideline.schema import (
     INCIDENT_STATUSES,
     NOTIFICATION_STATUSES,
@@ -58,7 +59,36 @@ def check_constraints(df: DataFrame, table: str) -> DataFrame:
     return counted.select(F.inline(report))
 
 
-def violations(df: DataFrame, table: str) -> DataFrame:
-    """The rows that break at least one rule."""
-    broken = [F.coalesce(~rule, F.lit(False)) for rule in _rules(table).values()]
-    return df.filter(reduce(lambda a, b: a | b, broken))
+# --- rules across rows -----------------------------------------------------------------------------
+
+def active_twice(incidents: DataFrame, block_us: int = 86_400_000_000) -> DataFrame:
+    """Incidents that open while an earlier one of their fingerprint is still active (an open one is active for good).
+
+    Incidents are swept in order of opening, in blocks of time first: a block needs of the ones before it only how long
+    the latest of them lasts. So a noisy fingerprint is many blocks and not one long task.
+    """
+    opened, ends = F.unix_micros("opened_at"), F.coalesce(F.unix_micros("resolved_at"), F.lit((1 << 63) - 1))
+    placed = incidents.select("*", opened.alias("_from"), ends.alias("_to"), floor_div(opened, block_us).alias("_block"))
+    whole = placed.groupBy(F.col("fingerprint").alias("_f"), F.col("_block").alias("_b")).agg(F.max("_to").alias("_lasts"))
+    in_turn = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.select("_f", "_b", F.max("_lasts").over(in_turn).alias("_before"))
+    inside = Window.partitionBy("fingerprint", "_block").orderBy("_from", "id").rowsBetween(Window.unboundedPreceding, -1)
+    swept = placed.join(before, (F.col("fingerprint") == F.col("_f")) & (F.col("_block") == F.col("_b"))).withColumn("_earlier", F.max("_to").over(inside))
+    return swept.filter(F.greatest("_before", "_earlier") > F.col("_from")).select(*incidents.columns)
+
+
+def check_references(incidents: DataFrame, actions: DataFrame, notifications: DataFrame) -> DataFrame:
+    """``problem, id``: a row for each row of the three tables that breaks a rule across rows.
+
+    ``active_twice`` (``active_twice``), ``step_twice`` (a step of an incident that has several actions, each of them),
+    ``orphan_action`` and ``orphan_notification`` (of an incident that is not there).
+    """
+    steps = actions.groupBy(F.col("incident_id").alias("_i"), F.col("step_index").alias("_s")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    twice = actions.join(steps, (F.col("incident_id") == F.col("_i")) & (F.col("step_index") == F.col("_s")), "left_semi")
+    known = incidents.select(F.col("id").alias("_id"))
+    found = {
+        "active_twice": active_twice(incidents), "step_twice": twice,
+        "orphan_action": actions.join(known, F.col("incident_id") == F.col("_id"), "left_anti"),
+        "orphan_notification": notifications.join(known, F.col("incident_id") == F.col("_id"), "left_anti"),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("problem"), "id") for name, df in found.items()])

@@ -390,6 +390,11 @@ SELECT {uuid5(ACTION_NS, "incident_id || ':' || step_index")} AS id, incident_id
   SELECT *, min("at") OVER w AS created_at, max("at") OVER w AS updated_at,
     row_number() OVER (PARTITION BY incident_id, step_index ORDER BY "at" DESC, seq DESC) AS k
   FROM log_ WINDOW w AS (PARTITION BY incident_id, step_index)) WHERE k = 1""", "log_")
+_cte("planted_inc", """
+SELECT id, fingerprint, opened_at, resolved_at FROM inc WHERE event_count % 7 <> 3
+UNION ALL SELECT 'copy-' || id, fingerprint, opened_at + INTERVAL 1 HOUR, resolved_at + INTERVAL 1 HOUR FROM inc WHERE event_count % 7 <> 3 AND event_count % 5 = 0""", "inc")
+_cte("planted_actions", """
+SELECT id, incident_id, step_index FROM actions_ UNION ALL SELECT 'copy-' || id, incident_id, step_index FROM actions_ WHERE step_index = 2""", "actions_")
 _cte("spans", """
 SELECT incident_id, step_index, step_name, min("at") FILTER (status = 'pending') AS pending_at,
   min("at") FILTER (status IN ('approved','rejected','timed_out')) AS ended_at,
@@ -544,6 +549,13 @@ UNION ALL SELECT 'remediation_actions', r, count(*) FILTER (step_index = 1) FROM
 UNION ALL SELECT 'remediation_actions', r, 0 FROM (VALUES ('step_index'), ('status'), ('runbook_id')) v(r)""", "damaged_inc", "dirty", "notes", "actions_"),
     "on_call_at": _with(f"""
 SELECT i.id, l.level, {_contact('l.level', 'i.opened_at')} AS contact, CAST(l.offset_us AS BIGINT) AS offset_us FROM inc i, levels_ l""", "inc", "levels_"),
+    "check_references": _with("""
+SELECT 'active_twice' AS problem, id FROM planted_inc i WHERE EXISTS (
+  SELECT 1 FROM planted_inc e WHERE e.fingerprint = i.fingerprint AND (e.opened_at, e.id) < (i.opened_at, i.id)
+    AND (e.resolved_at IS NULL OR e.resolved_at > i.opened_at))
+UNION ALL SELECT 'step_twice', id FROM planted_actions WHERE step_index = 2
+UNION ALL SELECT 'orphan_action', id FROM planted_actions WHERE incident_id NOT IN (SELECT id FROM planted_inc)
+UNION ALL SELECT 'orphan_notification', id FROM notes WHERE incident_id NOT IN (SELECT id FROM planted_inc)""", "planted_inc", "planted_actions", "notes"),
     "load_policy": _with(f"""
 SELECT i.id, l.level, l.target, {_contact('l.level', 'i.opened_at')} AS contact, CAST(l.offset_us AS BIGINT) AS offset_us FROM inc i, levels_ l""", "inc", "levels_"),
     "first_ack_or_resolve": _with("SELECT id, stopped_at, signalled_at FROM watched", "watched"),

@@ -406,6 +406,19 @@ def check_constraints(spark, sf):
     return reduce(DataFrame.unionByName, reports_)
 
 
+@query
+def check_references(spark, sf):
+    """Some incidents are there twice, an hour apart, and some are gone; some steps were recorded twice."""
+    found = _incidents(spark, sf)
+    hour = F.expr("INTERVAL 1 HOUR")
+    again = found.filter("event_count % 5 = 0").withColumns({"id": F.concat(F.lit("copy-"), "id"), "opened_at": F.col("opened_at") + hour, "resolved_at": F.col("resolved_at") + hour})
+    actions = written(_remediation(found), "actions")
+    repeated = actions.filter("step_index = 2").withColumn("id", F.concat(F.lit("copy-"), "id"))
+    return constraints.check_references(
+        found.unionByName(again).filter("event_count % 7 <> 3"), actions.unionByName(repeated), _notifications(found)
+    )
+
+
 # --- escalation and remediation --------------------------------------------------------------------------
 
 def _pages(found):
