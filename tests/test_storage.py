@@ -14,7 +14,7 @@ from tideline.operators.windows import replay_windows, window_stats
 from tideline.schema import BOOLEAN, INT, LONG, PARTITION, STRING, TELEMETRY, TIMESTAMP, columns
 from tideline.sources import streams, tables
 from tideline.streaming.detection import stream_windows
-from tideline.streaming.ingest import read_quarantine, start_ingest
+from tideline.streaming.ingest import dedupe_stream, read_quarantine, start_ingest
 
 DAY = datetime(2026, 7, 20, 12, tzinfo=timezone.utc)
 LATER = datetime(2026, 7, 25, tzinfo=timezone.utc)
@@ -278,3 +278,14 @@ def test_a_stray_old_row_reads_back_its_own_hour(spark, tmp_path, monkeypatch):
     # As many days as no plan should list: the same outcome by a join.
     monkeypatch.setattr(dedupe, "MOST_DAYS_IN_PLAN", 0)
     assert dedupe.append_events(frame(spark, [*more, event(7, DAY - timedelta(days=29)), event(8, DAY - timedelta(days=3))]), path) == (1, 51)
+
+
+def test_redeliveries_are_dropped_before_the_sink(spark, tmp_path):
+    """Copies within the delay are dropped, across triggers too; the same id at another time is another event."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([event(1), event(1), event(2)], [event(1), event(2, DAY + timedelta(seconds=5)), event(3)]):
+        frame(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        stream = dedupe_stream(spark.readStream.schema(TELEMETRY).parquet(source), timedelta(minutes=5))
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination()
+    got = sorted((r.event_id[-1], r.event_timestamp.second) for r in spark.read.parquet(out).collect())
+    assert got == [("1", 0), ("2", 0), ("2", 5), ("3", 0)]
