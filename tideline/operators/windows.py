@@ -73,13 +73,13 @@ def _runs(df: DataFrame, lookbacks: Sequence[int], d: int, mode: str, begin: int
     slot = floor_div(ts, d)
     first = ceil_div(seen, d) if mode == "inclusive" else slot + 1
     # A lookback that is no multiple of the step ends a tick later for events late enough in their slot.
-    rests = sorted({w % d for w in lookbacks})
-    later = F.array(*((ts - slot * F.lit(d) + F.lit(r) >= F.lit(d)).cast("int") for r in rests))
-    counts = df.select(*SERVICE, is_error().alias("_error"), first.alias("_first"), slot.alias("_slot"), later.alias("_later")).groupBy(
-        *SERVICE, "_first", "_slot", "_later"
+    rests = {w % d: f"_later{k}" for k, w in enumerate(lookbacks) if w % d}
+    later = [(ts - slot * F.lit(d) + F.lit(r) >= F.lit(d)).cast("int").alias(name) for r, name in rests.items()]
+    counts = df.select(*SERVICE, is_error().alias("_error"), first.alias("_first"), slot.alias("_slot"), *later).groupBy(
+        *SERVICE, "_first", "_slot", *rests.values()
     ).agg(F.count(F.lit(1)).alias("_total"), F.count_if("_error").alias("_errors"))
     each = F.array(*(
-        F.struct(F.lit(w).cast("long").alias("w"), (F.col("_slot") + F.lit(w // d) + F.get("_later", F.lit(rests.index(w % d)))).alias("last"))
+        F.struct(F.lit(w).cast("long").alias("w"), (F.col("_slot") + F.lit(w // d) + (F.col(rests[w % d]) if w % d else F.lit(0))).alias("last"))
         for w in lookbacks
     ))
     met = counts.withColumn("_each", F.explode(each))
@@ -92,9 +92,7 @@ def _runs(df: DataFrame, lookbacks: Sequence[int], d: int, mode: str, begin: int
 
 def _spread(runs: DataFrame, begin: int | None) -> DataFrame:
     """Every run at each of its ticks, added up."""
-    ticks = runs.groupBy("_w", *SERVICE, "_first", "_last", "_last_new").agg(F.sum("_total").alias("_total"), F.sum("_errors").alias("_errors")).select(
-        "_w", *SERVICE, "_total", "_errors", "_last_new", F.explode(F.sequence("_first", "_last")).alias("_tick")
-    )
+    ticks = runs.select("_w", *SERVICE, "_total", "_errors", "_last_new", F.explode(F.sequence("_first", "_last")).alias("_tick"))
     fresh = F.col("_tick") <= F.col("_last_new")
     if begin is not None:
         fresh = fresh | (F.col("_tick") == F.lit(begin))
