@@ -196,6 +196,11 @@ def test_ties_have_one_winner(spark):
     rows = [event(1), event(1), event(1), event(2)]
     got = sorted(r.outcome for r in dedupe.label_outcomes(frame(spark, rows), ("processed_at",)).collect())
     assert got == ["duplicate", "duplicate", "stored", "stored"]
+    # Where positions are unique, both ways give the same.
+    placed = frame(spark, [event(n % 5, processed=DAY + timedelta(seconds=(n * 7) % 23)) for n in range(20)])
+    known = frame(spark, [event(3)])
+    both = [sorted((r.processed_at, r.event_id, r.outcome) for r in dedupe.label_outcomes(placed, ("processed_at",), known, is_unique=u).collect()) for u in (False, True)]
+    assert both[0] == both[1] and sum(o == "stored" for _, _, o in both[0]) == 4
     twice = frame(spark, [event(1), event(1)])
     assert [r.outcome for r in dedupe.label_outcomes(frame(spark, [event(1)]), ("processed_at",), twice).collect()] == ["duplicate"]
 

@@ -34,13 +34,13 @@ def dedupe_events(
 
 
 def label_outcomes(
-    df: DataFrame, order_by: Sequence[str], existing: DataFrame | None = None, keys: Sequence[str] = EVENT_KEY,
+    df: DataFrame, order_by: Sequence[str], existing: DataFrame | None = None, keys: Sequence[str] = EVENT_KEY, is_unique: bool = False,
 ) -> DataFrame:
     """Add ``outcome``: ``stored`` for the first row of a key that is not stored yet, else ``duplicate``.
 
     Of rows of a key that ``order_by`` does not tell apart (as a log position would) one is stored and the others
-    are duplicates. The winner of a key is found by a partial aggregate; the join back is one that AQE may split when
-    a key is hot.
+    are duplicates. ``is_unique`` says that there are none, as with a log position: then nothing needs to be told apart.
+    The winner of a key is found by a partial aggregate; the join back is one that AQE may split when a key is hot.
     """
     # A single plain column keeps the aggregate hash-based.
     position = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*[F.col(c) for c in order_by])
@@ -52,6 +52,8 @@ def label_outcomes(
         winners = winners.withColumn("_known", F.lit(None).cast("boolean"))
     wins = F.col("_known").isNull() & position.eqNullSafe(F.col("_first"))
     labelled = df.join(winners, list(keys), "left").withColumn("_wins", wins)
+    if is_unique:
+        return labelled.select(*df.columns, F.when(F.col("_wins"), F.lit("stored")).otherwise(F.lit("duplicate")).alias("outcome"))
     # Rows in front of their key, nearly always one a key: of several that tie, one is stored.
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*_order(order_by)))
     front = labelled.filter("_wins").withColumn("outcome", F.when(nth == 1, F.lit("stored")).otherwise(F.lit("duplicate")))

@@ -231,7 +231,7 @@ def store_outcomes(spark, sf):
     """Outcome per row against a table that already holds the first half of the month."""
     arriving = _accepted(spark, sf)
     stored = given.telemetry(spark, sf).filter(F.col("event_timestamp") < instant(SINCE))
-    return dedupe.label_outcomes(arriving, ("offset",), stored).select("offset", "outcome")
+    return dedupe.label_outcomes(arriving, ("offset",), stored, is_unique=True).select("offset", "outcome")
 
 
 @query
@@ -254,7 +254,7 @@ def append_events(spark, sf):
 
 @query
 def pipeline_metrics(spark, sf):
-    labelled = dedupe.label_outcomes(_accepted(spark, sf), ("offset",))
+    labelled = dedupe.label_outcomes(_accepted(spark, sf), ("offset",), is_unique=True)
     took = F.unix_micros("processed_at") - F.unix_micros("received_at")
     return reports.pipeline_metrics(labelled.withColumn("elapsed_us", took))
 
