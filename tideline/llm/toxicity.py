@@ -169,7 +169,7 @@ def written(kept: tuple[np.ndarray, np.ndarray]) -> bytes:
 
 def read(kept: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zlib.decompress(kept)
-    return np.cumsum(np.frombuffer(raw[: len(raw) // 2], "<i4")), np.frombuffer(raw[len(raw) // 2:], "<f4")
+    return np.cumsum(np.frombuffer(raw, "<i4", len(raw) // 8), dtype=np.int32), np.frombuffer(raw, "<f4", offset=len(raw) // 2).copy()
 
 
 def training_groups(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -191,7 +191,7 @@ def training_groups(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
 
     def with_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = pa.array([written(bag(t)) for t in b.column(3).to_pylist()], pa.binary())
+            bags = pa.array([written(bag(t.as_py())) for t in b.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], bags], ["part", "draw", "label", "bag"])
 
     one = F.sort_array(F.collect_list(F.struct("draw", "label", "bag")))
@@ -308,7 +308,7 @@ def classify_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
             if model is None:
                 score = np.full(b.num_rows, 0.5)
             else:
-                z = np.array([model.odds(t, weights) for t in b.column(1).to_pylist()], float)
+                z = np.array([model.odds(t.as_py(), weights) for t in b.column(1)], float)
                 score = 1 / (1 + np.exp(-np.clip(model.slope * z + model.shift, -500, 500)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
