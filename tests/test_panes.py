@@ -4,12 +4,13 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 
 from tideline.functions.frames import local_frame
 from tideline.operators.detect import Rule, evaluate_rules
 from tideline.operators.windows import replay_windows
 from tideline.schema import TELEMETRY
-from tideline.streaming.panes import STATE_STORE, pane_length, rule_detections, rule_windows
+from tideline.streaming.panes import STATE_STORE, Lookbacks, pane_length, rule_detections, rule_windows
 
 DAY = datetime(2026, 7, 20, 12, tzinfo=timezone.utc)
 KEY = ["tick", "window_us", "tenant_id", "service_name", "total", "errors", "new_errors"]
@@ -84,3 +85,61 @@ def test_pane_length():
     for bad in ([], [timedelta(0)]):
         with pytest.raises(ValueError):
             pane_length(timedelta(seconds=15), bad)
+
+
+class Store:
+    """A state store of one service that counts the calls."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_calls_to_the_state_do_not_grow_with_panes():
+    store, states = Store(), Lookbacks(15_000_000, 5_000_000, [20_000_000, 60_000_000])
+    states.init(store)
+    counts = {p: (1 + p % 3, p % 2) for p in range(30, 430) if p % 40 < 30}
+    told = []
+    for first, last in ((30, 200), (200, 210), (210, 430)):
+        before = store.calls
+        rows = [Row(pane=p, total=t, errors=e) for p, (t, e) in counts.items() if first <= p < last]
+        told += states.handleInputRows(("t", "s"), iter(rows), At(last * 5_000))
+        assert store.calls - before <= 3
+    # Without panes a timer closes what is left; one that comes after its tick was told says nothing.
+    assert not list(states.handleExpiredTimer(("t", "s"), At(430 * 5_000), None))
+    told += states.handleExpiredTimer(("t", "s"), At(10_000_000), None)
+    assert store.value is None
+    want = []
+    for tick in range(1, 300):
+        for lookback in (4, 12):
+            seen = [counts[p] for p in range(tick * 3 - lookback, tick * 3) if p in counts]
+            new = sum(counts[p][1] for p in range(tick * 3 - 3, tick * 3) if p in counts)
+            if seen:
+                want.append((tick * 15, lookback * 5_000_000, "t", "s", sum(t for t, _ in seen), sum(e for _, e in seen), new))
+    assert [(int(r[0].timestamp()), *r[1:]) for r in told] == want

@@ -9,12 +9,12 @@ depend on how many panes a lookback covers, and raw events meet neither the look
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 from math import gcd
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,7 +26,8 @@ from tideline.streaming.stateful import STATE_STORE
 __all__ = ["STATE_STORE", "pane_counts", "rule_detections", "rule_windows"]
 
 TALLIES = "tick timestamp, window_us long, tenant_id string, service_name string, total long, errors long, new_errors long"
-TALLY_COLUMNS = [c.split()[0] for c in TALLIES.split(", ")]
+TALLY = Row(*(c.split()[0] for c in TALLIES.split(", ")))
+HELD = "told long, totals array<long>, errors array<long>, panes array<long>, pane_totals array<long>, pane_errors array<long>"
 
 
 def pane_length(step: timedelta, lookbacks: Sequence[timedelta]) -> int:
@@ -47,7 +48,11 @@ def pane_counts(events: DataFrame, pane_us: int, late: timedelta) -> DataFrame:
 
 
 class Lookbacks(StatefulProcessor):
-    """Running sums per lookback over the panes of one service."""
+    """Running sums per lookback over the panes of one service.
+
+    The whole state of a service is one value, read and written once a trigger: a call to the state store costs more
+    than the sums of many ticks. It holds the panes of the longest lookback, and those that are not told yet.
+    """
 
     def __init__(self, step_us: int, pane_us: int, lookbacks_us: Sequence[int]) -> None:
         self.step_us, self.lookbacks_us = step_us, list(lookbacks_us)
@@ -56,9 +61,8 @@ class Lookbacks(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.panes = handle.getMapState("panes", "pane long", "total long, errors long")
-        # The last tick that was told, and the sums of each lookback at it.
-        self.running = handle.getValueState("running", "tick long, totals array<long>, errors array<long>")
+        # The last tick that was told (null: none since the sums were empty), the sums of each lookback at it, the panes in order.
+        self.held = handle.getValueState("held", HELD)
 
     def _wake(self, tick: int) -> None:
         self.handle.registerTimer(-(-tick * self.step_us // 1000))
@@ -67,35 +71,45 @@ class Lookbacks(StatefulProcessor):
         """The first tick whose windows hold a pane."""
         return pane // self.per_step + 1
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        wake: int | None = None
-        for batch in rows:
-            for pane, total, errors in zip(batch["pane"], batch["total"], batch["errors"], strict=True):
-                self.panes.updateValue((int(pane),), (int(total), int(errors)))
-                wake = min(self._first_tick(int(pane)), wake) if wake is not None else self._first_tick(int(pane))
-        if wake is not None and not self.running.exists():
-            self._wake(wake)
-        yield pd.DataFrame(columns=TALLY_COLUMNS)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def _load(self) -> tuple[int | None, list[int], list[int], dict[int, tuple[int, int]]]:
+        held = self.held.get()
+        if held is None:
+            return None, [], [], {}
+        told, totals, errors, panes, pane_totals, pane_errors = held
+        return told, list(totals), list(errors), dict(zip(panes, zip(pane_totals, pane_errors, strict=True), strict=True))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """Closed panes come in; ticks that the watermark has reached are told at once."""
+        told, totals, errors, panes = self._load()
+        for row in rows:
+            panes[row.pane] = (row.total, row.errors)
+        return self._tell(key, timerValues, told, totals, errors, panes)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Ticks without a new pane."""
+        told, totals, errors, panes = self._load()
+        if not panes or (told is not None and told >= self._ready(timerValues)):
+            # Told already, when panes came in.
+            return iter(())
+        return self._tell(key, timerValues, told, totals, errors, panes)
+
+    def _ready(self, timerValues) -> int:
+        return int(timerValues.getCurrentWatermarkInMs()) * 1000 // self.step_us
+
+    def _tell(
+        self, key: tuple, timerValues, told: int | None, totals: list[int], errors: list[int], panes: dict[int, tuple[int, int]]
+    ) -> Iterator[Row]:
         """All ticks up to the watermark: their panes are complete."""
-        panes = {p[0]: v for p, v in self.panes.iterator()}
         waiting = sorted(panes)
-        if self.running.exists():
-            told, totals, errors = self.running.get()
-            totals, errors = list(totals), list(errors)
-        elif panes:
+        if told is None:
             told, totals, errors = self._first_tick(waiting[0]) - 1, [0] * len(self.lengths), [0] * len(self.lengths)
-        else:
-            return
-        out, longest = [], max(self.lengths)
-        ready = int(timerValues.getCurrentWatermarkInMs()) * 1000 // self.step_us
+        out, ready = [], self._ready(timerValues)
         while told < ready:
             if not any(totals):
-                ahead = [p for p in waiting if self._first_tick(p) > told]
-                if not ahead:
+                ahead = bisect_left(waiting, told * self.per_step)
+                if ahead == len(waiting):
                     break
-                told = max(told, self._first_tick(ahead[0]) - 1)
+                told = max(told, self._first_tick(waiting[ahead]) - 1)
                 if told >= ready:
                     break
             told += 1
@@ -109,25 +123,20 @@ class Lookbacks(StatefulProcessor):
             if self.per_step > min(self.lengths):
                 # A lookback shorter than the step never meets the older panes of the step.
                 self._short(panes, before, end, totals, errors)
-            out += [(told, w, *key, totals[k], errors[k], min(new, errors[k])) for k, w in enumerate(self.lookbacks_us) if totals[k]]
-            for p in [p for p in waiting if p < end - longest]:
-                self.panes.removeKey((p,))
-                waiting.remove(p)
-                del panes[p]
+            at = datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=told * self.step_us)
+            out += [TALLY(at, w, *key, totals[k], errors[k], min(new, errors[k])) for k, w in enumerate(self.lookbacks_us) if totals[k]]
+        # Panes that no later tick takes off its sums are let go: all that were told, once the sums are empty.
+        left = waiting[bisect_left(waiting, told * self.per_step - (max(self.lengths) if any(totals) else 0)):]
         if any(totals):
-            self.running.update((told, totals, errors))
             self._wake(told + 1)
+        elif left:
+            self._wake(self._first_tick(left[0]))
+            told = None
+        if left:
+            self.held.update((told, totals, errors, left, [panes[p][0] for p in left], [panes[p][1] for p in left]))
         else:
-            self.running.clear()
-            ahead = [p for p in waiting if self._first_tick(p) > told]
-            for p in waiting:
-                if p not in ahead:
-                    self.panes.removeKey((p,))
-            if ahead:
-                self._wake(self._first_tick(ahead[0]))
-        frame = pd.DataFrame(out, columns=TALLY_COLUMNS)
-        frame["tick"] = pd.to_datetime(frame["tick"] * self.step_us, unit="us", utc=True)
-        yield frame
+            self.held.clear()
+        return iter(out)
 
     def _short(self, panes: dict, before: int, end: int, totals: list[int], errors: list[int]) -> None:
         for k, length in enumerate(self.lengths):
@@ -149,7 +158,11 @@ def rule_windows(events: DataFrame, lookbacks: Sequence[timedelta], step: timede
     wanted = sorted(set(lookbacks))
     pane_us = pane_length(step, wanted)
     processor = Lookbacks(micros(step), pane_us, [micros(w) for w in wanted])
-    return pane_counts(events, pane_us, late).groupBy(*SERVICE).transformWithStateInPandas(
+    counts = pane_counts(events, pane_us, late)
+    # One instant carries the watermark with less to hand over than a window; it is the same to the millisecond, as watermarks are.
+    if pane_us % 1000 == 0:
+        counts = counts.withColumn("window", F.window_time("window"))
+    return counts.groupBy(*SERVICE).transformWithState(
         processor, TALLIES, "Append", "EventTime", eventTimeColumnName="tick"
     )
 
