@@ -5,12 +5,14 @@ from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.functions.cursor import read_cursor
 from tideline.functions.frames import local_frame
 from tideline.operators import dedupe, reads, reports, retention, windows
 from tideline.operators.detect import Rule, detect
 from tideline.operators.windows import replay_windows, window_stats
+from tideline.plans import queries
 from tideline.schema import BOOLEAN, INT, LONG, PARTITION, STRING, TELEMETRY, TIMESTAMP, columns
 from tideline.sources import streams, tables
 from tideline.streaming.detection import stream_windows
@@ -294,3 +296,20 @@ def test_redeliveries_are_dropped_before_the_sink(spark, tmp_path):
         stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination()
     got = sorted((r.event_id[-1], r.event_timestamp.second) for r in spark.read.parquet(out).collect())
     assert got == [("1", 0), ("2", 0), ("2", 5), ("3", 0)]
+
+
+def test_topic_files_grow_with_the_events(spark, tmp_path, monkeypatch):
+    """No task writes a fixed share of the topic; copies of an event lie in one file, and two triggers read all."""
+    rows = [{"event_id": n, "ts": datetime(2024, 1, 2) + timedelta(minutes=n), "user_id": n % 7, "event_type": "view", "value": 1.0, "props": '{"k": 1}'} for n in range(1, 1_001)]
+    given = local_frame(spark, rows, columns(event_id=LONG, ts=TIMESTAMP, user_id=LONG, event_type=STRING, value=T.DoubleType(), props=STRING))
+    given.write.parquet(str(tmp_path / "sf/events.parquet"))
+    monkeypatch.setattr(queries, "EVENTS_PER_FILE", 50)
+    monkeypatch.setattr(queries, "scratch_path", lambda _, label: str(tmp_path / label))
+    stored = queries.QUERIES["read_event_stream"](spark, str(tmp_path / "sf"))
+    topic = spark.read.parquet(str(tmp_path / "topic/topic")).withColumn("file", F.input_file_name())
+    sizes = [r["count"] for r in topic.groupBy("file").count().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 1_050 and max(sizes) < 150
+    assert topic.groupBy(F.expr("offset div 2")).agg(F.count_distinct("file").alias("files")).filter("files > 1").count() == 0
+    assert len(list((tmp_path / "topic/checkpoint/commits").glob("[0-9]*"))) == 2
+    refused = {n for n in range(1, 1_001) if any(n % k == 0 for k in (90, 130, 150, 170, 190, 210, 70, 230)) or (n % 250 and (n % 270 == 0 or n % 290 == 0))}
+    assert sorted(int(r.event_id[-12:]) for r in stored.collect()) == [n for n in range(1, 1_001) if n not in refused]

@@ -886,14 +886,25 @@ def stream_ingest(spark, sf):
     return tables.scan_events(spark, f"{path}/table").select("event_id", "event_timestamp", "tenant_id", "severity", "event_date")
 
 
+#: Events whose records one file of the topic holds, about.
+EVENTS_PER_FILE = 100_000
+
+
+def _topic_files(events: int) -> int:
+    """An even number of files that grows with the events, so that no task writes a fixed share of the topic."""
+    return 2 * max(2, -(-events // (2 * EVENTS_PER_FILE)))
+
+
 @query
 def read_event_stream(spark, sf):
-    """The topic as files that carry its columns, read and ingested file by file."""
+    """The topic as files that carry its columns, half of them read and ingested in each of two triggers."""
     from tideline.streaming.ingest import start_ingest
 
     path = scratch_path(spark, "topic")
-    given.stream_records(spark, sf).drop("seq").repartition(4, "partition").write.parquet(f"{path}/topic")
-    records = streams.read_event_stream(spark, "parquet", f"{path}/topic", maxFilesPerTrigger="2")
+    files = _topic_files(given.read_events(spark, sf).count())
+    # The copies of an event stay in one file, and so in one trigger.
+    given.stream_records(spark, sf).repartition(files, "seq").drop("seq").write.parquet(f"{path}/topic")
+    records = streams.read_event_stream(spark, "parquet", f"{path}/topic", maxFilesPerTrigger=str(files // 2))
     start_ingest(records, f"{path}/table", f"{path}/quarantine", f"{path}/checkpoint", clock=lambda: given.NOW, available_now=True).awaitTermination()
     return tables.scan_events(spark, f"{path}/table").select("event_id", "event_timestamp", "tenant_id", "severity", "event_date")
 
